@@ -5,9 +5,8 @@ pre-token in one probe. Tier two, for the rest: a heap of ranked neighbour pairs
 list of the pre-token's bytes, O(n log n) even for a pre-token of a whole long text.
 
 A worker keeps results of recent pre-token groups in a two-generation memo of bounded size, so
-that the Python cost is that of distinct groups. A group ends where white space
-follows other text, and where a mark follows an ASCII letter: no token of the split pattern
-reaches across either place.
+that the Python cost is that of distinct groups. A group ends where a space
+stands alone between other text: no token of the split pattern begins before it and goes past it.
 
 Defined results: a null or empty text has no tokens (digests of zero bytes); repeated rows each
 have their own; an empty table gives an empty table; only the id and the text are read.
@@ -35,7 +34,8 @@ MEMO = 300_000
 #: Keys per bucket of the perfect hash, on average.
 BUCKET = 3
 
-_BREAK = re.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=[A-Za-z])(?=[.,;:!?])")
+_BREAK = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+_TANGLED = re.compile(r" \s|\s ")
 
 
 class PerfectHash:
@@ -76,6 +76,21 @@ class PerfectHash:
         return self.slots[-d - 1 if d < 0 else ((h & 0xFFFFFFFF) + d * ((h >> 32) & 0xFFFFFFFF) + d * d) % self.n]
 
 
+class Memo(dict):
+    """Ids of a word with the space before it; what is missing comes from the older generation or is encoded."""
+
+    def __init__(self, group, old: dict) -> None:
+        self.group, self.old = group, dict(old)
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.group(" " + word)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class Codec:
     """Encoder and decoder for one rank file."""
 
@@ -97,8 +112,7 @@ class Codec:
                 if left is not None and right is not None:
                     self.merges[left << 32 | right] = rank
         self.split = regex.compile(pattern).findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = Memo(self.group, {})
 
     def whole(self, piece: bytes) -> int | None:
         k = self.hash.slot(piece)
@@ -140,21 +154,12 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        new, old = self.new, self.old
-        if len(new) > MEMO:
-            self.old, self.new = new, {}
-            new, old = self.new, self.old
-        out = []
-        for part in _BREAK.split(text):
-            got = new.get(part)
-            if got is None:
-                got = old.get(part)
-                if got is None:
-                    got = self.group(part)
-                if len(part) <= 64:
-                    new[part] = got
-            out.append(got)
-        return b"".join(out)
+        if _TANGLED.search(text):  # white space beside a space: cut only where a token surely ends
+            return b"".join([self.group(x) for x in _BREAK.split(text)])
+        first, *rest = text.split(" ")
+        if len(self.memo) > MEMO:
+            self.memo = Memo(self.group, self.memo)
+        return self.group(first) + b"".join(map(self.memo.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
