@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, pii
+from . import byte_bpe, packing, pii
 
 
 def queries() -> dict:
     return {
         "op3_pii": pii.op3_pii,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op5_packing": packing.op5_packing,
     }
 
 
