@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, pii
+from . import byte_bpe, packing, pii, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_pii": pii.op3_pii,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_packing": packing.op5_packing,
+        "op8_secrets": secrets.op8_secrets,
     }
 
 
