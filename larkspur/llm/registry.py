@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, pii, secrets, substring_dedup, suffix_array
+from . import byte_bpe, embedding_dedup, packing, pii, secrets, simhash, substring_dedup, suffix_array
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_simhash": simhash.op2_simhash,
         "op3_pii": pii.op3_pii,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_packing": packing.op5_packing,
+        "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
         "op8_secrets": secrets.op8_secrets,
         "op9_suffix_array": suffix_array.op9_suffix_array,
     }
