@@ -23,6 +23,7 @@ an empty table; only the id and the text are read.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,16 +36,22 @@ from .common import arrow, drop, durable, read, steps, texts
 CAPACITY = 4096
 END = 1
 #: Words that one memo generation of a worker holds.
-MEMO = 300_000
+MEMO = 500_000
+#: Words that the pre-token pattern below splits as the tokenizer does, and that NFC leaves alone.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įıĲ-ſ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = f"{PIECES}, sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids by a tokenizer that drops white space, word by word.
+    """Ids by a tokenizer that lower-cases, drops white space and marks the ends of its pre-tokens.
 
     Such a tokenizer's ids of a text are those of its white-space separated words one after the
-    other; words repeat, so each is encoded once a generation and taken from the memo afterwards.
+    other, and a word's are those of its pre-tokens. Both are kept: words in a memo of two
+    generations, so that each is worked out about once, and pre-tokens within a step, so that case
+    and marks around a word cost no second encoding. Words with other than Latin letters and ASCII
+    marks go to the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,20 +59,48 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)  # a vocabulary installed on every executor
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def pre_tokens(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, all encoded as one text: each has one id that ends it, its last."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(parts), 50_000):
+            some = parts[i : i + 50_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            out.update(zip(some, (data[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        return out
+
+    def learn(self, missing: list[bytes]) -> None:
+        split: dict[bytes, list[str]] = {}
+        odd: list[bytes] = []
+        for w in missing:
+            x = w.decode()
+            if _PLAIN.fullmatch(x):
+                split[w] = _PARTS.findall(x.lower())
+            else:
+                odd.append(w)
+        known = self.pre_tokens(list({p for ps in split.values() for p in ps}))
+        for w, ps in split.items():
+            self.new[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False), strict=True):
+            self.new[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         words = [x.encode().split() for x in texts]
-        missing = list({w for ws in words for w in ws} - self.memo.keys())
-        if len(self.memo) + len(missing) > MEMO:
-            used = {w for ws in words for w in ws}
-            self.memo = {w: v for w, v in self.memo.items() if w in used}
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        missing = set().union(*words) - self.new.keys()
+        for w in missing & self.old.keys():
+            self.new[w] = self.old[w]
+        self.learn(list(missing - self.new.keys()))
+        get = self.new.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
