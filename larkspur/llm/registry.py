@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, packing, pii, secrets, simhash, substring_dedup, suffix_array
+from . import byte_bpe, embedding_dedup, multi_index, packing, pii, quality, secrets, simhash, substring_dedup, suffix_array
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_pii": pii.op3_pii,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_packing": packing.op5_packing,
+        "op6_quality": quality.op6_quality,
         "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
         "op8_secrets": secrets.op8_secrets,
         "op9_suffix_array": suffix_array.op9_suffix_array,
+        "op10_multi_index": multi_index.op10_multi_index,
     }
 
 
