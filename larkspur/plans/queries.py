@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import validate as V
 from ..operators import access, bm25, search, sync
-from ..sources import files, index
+from ..sources import files, index, tables
 from ..streaming import live
 from . import fixtures as X
 
@@ -29,7 +29,8 @@ def query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = tables.read(spark, sf_dir, table)
+    return tables.dealt(df) if table in ("documents", "pages") else df
 
 
 def values(spark: SparkSession, sql: str) -> DataFrame:
