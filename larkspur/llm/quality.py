@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, read, steps, texts
+from .common import arrow, durable, fresh, read, steps, texts
 
 #: Labelled documents, at most, that the model is fitted on: those with the smallest hashes of doc_id.
 TRAIN = 20_000
@@ -169,8 +169,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows that are not rejected, with all columns; rows without a doc_id stay."""
-    rejected = classify(docs, labels, id_col, **options).filter("not kept").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col(f"`{id_col}`") == F.col("_rejected"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "rejected_id")
+    rejected = classify(docs, labels, id_col, **options).filter("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(rejected, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, multi_index, packing, pii, quality, secrets, simhash, substring_dedup, suffix_array
+from . import byte_bpe, embedding_dedup, multi_index, oracle, packing, pii, quality, secrets, simhash, substring_dedup, suffix_array
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -14,7 +14,7 @@ boundary of 3 bits holds about half of a leaf's nodes, so the number of visits g
 to the power of the depth: that is the price of the method, and of exactness.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; texts that tie
-share a component; rows that repeat a doc_id each have a row; an empty table gives an empty table;
+share a component; rows that repeat a doc_id each have a row, those without one belong to a component but don't name it; an empty table gives an empty table;
 only the id and the text are read, and ``keep_one`` keeps all columns.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, gathered, read, steps, texts
+from .common import arrow, durable, fresh, gathered, read, steps, texts
 from .components import components
 from .repeats import words
 
@@ -218,9 +218,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows whose doc_id is their component's smallest; all columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows whose doc_id is their component's smallest, with all columns; rows without a doc_id can't be told apart and stay."""
+    mark = fresh(docs, "kept_id")
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    own = F.col(f"`{id_col}`")
+    return docs.join(kept, own == F.col(mark), "left").filter(own.isNull() | F.col(mark).isNotNull()).drop(mark)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, read, texts
+from .common import arrow, fresh, read, texts
 from .repeats import Kind, covered, kept_flags
 
 WINDOW = 50
@@ -80,17 +80,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], text_col: str, spans_col: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.schema.get_field_index(text_col)
         new = []
-        for text, spans in zip(b.column(at).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+        for text, spans in zip(b.column(at).to_pylist(), b.column(spans_col).to_pylist(), strict=True):
             if spans:
                 words = text.encode().split()
                 text = b" ".join([words[k] for k in np.flatnonzero(kept_flags(spans, len(words))).tolist()]).decode()
             new.append(text)
         b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
-        yield b.drop_columns(["_spans"])
+        yield b.drop_columns([spans_col])
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, **options) -> DataFrame:
@@ -106,9 +106,10 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def rewrite_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The same rows and columns; where words are removed, the others joined by single spaces."""
-    spans = repeated_words(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col("_id"), "left").drop("_id")
-    return arrow(joined, _rewrite, docs.schema, text_col=text_col)
+    key, name = fresh(docs, "span_id"), fresh(docs, "spans")
+    spans = repeated_words(docs, id_col, text_col, **options).select(F.col("doc_id").alias(key), F.col("spans").alias(name))
+    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col(key), "left").drop(key)
+    return arrow(joined, _rewrite, docs.schema, text_col=text_col, spans_col=name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
