@@ -283,7 +283,8 @@ def covered(docs: DataFrame, kind: Kind, method: str, ordered: bool, hot: int =
     own = F.when(whole, F.array(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1 + kind.size).alias("hi")))).otherwise(
         F.transform("spans", lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))
     )
-    hit = runs.join(known.filter("many > 1 or spans is not null"), ["h", "e"]).select("doc_id", own.alias("spans")).filter(F.size("spans") > 0)
+    # from the runs' side: classes are unique, so the join has a row for each run, whatever the size of its class
+    hit = runs.join(known.filter("many > 1 or spans is not null"), ["h", "e"], "left").select("doc_id", own.alias("spans")).filter(F.size("spans") > 0)
     return hit.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
