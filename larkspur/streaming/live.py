@@ -9,8 +9,9 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HITS = "origin string, search_id long, rank int, peer string, doc string, score double"
@@ -66,7 +67,7 @@ def merge_hits(hits: DataFrame, ttl_ms: int = 900_000) -> DataFrame:
     return hits.groupBy("origin", "search_id").applyInPandasWithState(merge, HITS, "held string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def route(messages: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
+def route(messages: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
     """A query that hands each micro-batch's rows to the handler of their kind; other kinds are left."""
 
     def fan_out(batch: DataFrame, epoch: int) -> None:
@@ -81,3 +82,9 @@ def route(messages: DataFrame, handlers: dict[str, Callable[[DataFrame, int], No
 def ring(events: DataFrame, size: int = 200, by: str = "event_id") -> DataFrame:
     """The latest ``size`` events."""
     return events.orderBy(F.desc(by)).limit(size)
+
+
+def every(spark: SparkSession, seconds: int, action: Callable[[], None], checkpoint: str) -> StreamingQuery:
+    """Runs ``action`` each so many seconds, one after the other, until the query is stopped; such as a corpus' sync."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: action()).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).start()

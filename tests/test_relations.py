@@ -1,5 +1,6 @@
 """Access control, change detection, sources and streams on small relations."""
 
+import hashlib
 import io
 import time
 import zipfile
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import access, sync
+from larkspur.operators import access, login, sync
 from larkspur.plans import fixtures as X
 from larkspur.plans.queries import values
 from larkspur.sources import files
@@ -166,3 +167,39 @@ def test_expiry_is_inclusive(spark):
     assert [r[0] for r in live.live(df, F.lit(10)).collect()] == [10]
     assert [r[0] for r in access.live(df, 10).collect()] == [10]
     assert pytest.approx(1) == df.filter("expires = 10").count()
+
+
+def test_login(spark):
+    ids = {k: k * 32 for k in "abcdef"}
+    users = spark.createDataFrame([("ann", False, "h1"), ("bob", True, "h2")], "user string, locked boolean, pw_hash string")
+    got = {(r.user, r.error) for r in login.begin(spark.createDataFrame([("ann", "x"), ("bob", "y"), ("who", "z"), ("a b", "w")], "user string, challenge string"), users, 100).collect()}
+    assert got == {("ann", None), ("bob", "locked"), ("who", "not_found"), ("a b", "invalid_input")}
+    held = [(ids["a"], "ann", 160, False), (ids["b"], "ann", 99, False), (ids["c"], "ann", 160, True), (ids["d"], "bob", 160, False)]
+    challenges = spark.createDataFrame([(*h, b"n") for h in held], "challenge string, user string, expires long, used boolean, nonce binary")
+
+    def proof(challenge, pw):
+        return hashlib.sha256(hashlib.sha256(pw.encode()).digest() + b"n" + challenge.encode() + b"node").hexdigest()
+
+    tries = [("ann", ids["a"], "00"), ("ann", ids["a"], proof(ids["a"], "h1")), ("ann", ids["a"], proof(ids["a"], "h1")), ("ann", ids["b"], ""), ("ann", ids["c"], ""), ("bob", ids["d"], ""), ("bob", ids["a"], ""), ("ann", "short", ""), ("ann", ids["f"], "")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(tries)], "attempt int, user string, challenge string, proof string")
+    out = rows(login.finish(df, challenges, users, "node", 100).select("attempt", "verdict", "session_expires"), "attempt")
+    assert [r[1] for r in out] == ["unauthorized", "ok", "unauthorized", "expired", "unauthorized", "locked", "unauthorized", "invalid_input", "not_found"]
+    assert out[1][2] == 1000 and len(spark.range(1).select(login.new_id()).first()[0]) == 32
+
+
+def test_pdf_path(tmp_path):
+    (tmp_path / "a.PDF").write_bytes(b"")
+    (tmp_path / "a.txt").write_bytes(b"")
+    assert files.pdf_path_error(str(tmp_path / "a.PDF")) is None
+    assert all(files.pdf_path_error(str(tmp_path / x)) for x in ("", "a.txt", "none.pdf"))
+
+
+def test_every(spark, tmp_path):
+    done = []
+    q = live.every(spark, 1, lambda: done.append(1), str(tmp_path / "c"))
+    for _ in range(120):
+        if len(done) > 1 or not q.isActive:
+            break
+        time.sleep(0.25)
+    q.stop()
+    assert len(done) > 1
