@@ -85,7 +85,15 @@ class WordTokens:
                 split[w] = _PARTS.findall(x.lower())
             else:
                 odd.append(w)
-        known = self.pre_tokens(list({p for ps in split.values() for p in ps}))
+        known: dict[str, bytes] = {}
+        rest = []
+        for p in {p for ps in split.values() for p in ps}:
+            held = self.new.get(b := p.encode()) or self.old.get(b)  # as a word of its own, a pre-token is the same
+            if held is None:
+                rest.append(p)
+            else:
+                known[p] = held
+        known |= self.pre_tokens(rest)
         for w, ps in split.items():
             self.new[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
         for w, e in zip(odd, self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False), strict=True):
