@@ -196,8 +196,8 @@ def _links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 def link(nodes: DataFrame, bits: int = BITS, leaf: int = LEAF) -> DataFrame:
     """(u, v): links that connect whatever fingerprints (distinct ``fp``) are within ``bits`` of each other."""
     spark = nodes.sparkSession
-    depth = 0
-    while leaf << depth < nodes.count():
+    depth, many = 0, nodes.count()
+    while leaf << depth < many:
         depth += 1
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if depth else []
     top = tree(np.array(sample, np.int64).view(np.uint64), depth)
