@@ -39,4 +39,15 @@ s AS (SELECT doc_id, {', '.join(f'{_spans(r)} AS k{i}' for i, r in enumerate(RUL
 a AS (SELECT *, list_sort({' || '.join(f'k{i}' for i in range(len(RULES)))}) AS every, list_sort(k0 || k1 || k2) AS base FROM s)
 SELECT doc_id, len(k0) AS n_assign, len(k1) AS n_access, len(k2) AS n_hex,
  sha256(coalesce(array_to_string(list_transform(base, lambda x: {_NAME}), ','), '')) AS base_sha256, coalesce(array_to_string(list_transform(every, lambda x: {_NAME}), ','), '') AS spans FROM a""",
+    "op9_suffix_array": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800),
+h AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM w),
+r AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS begins FROM r),
+s AS (SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM g),
+sp AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM s GROUP BY doc_id, nth),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM sp),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
 }
