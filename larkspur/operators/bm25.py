@@ -50,7 +50,7 @@ def length_stats(docs: DataFrame, tokens: Column) -> DataFrame:
 def matched(docs: DataFrame, tokens: Column, terms: list[str], keep: list[str]) -> DataFrame:
     """(keep..., dl, tfs array<long>): length and frequencies of the terms, in their order."""
     wanted = F.array(*map(F.lit, terms)).cast("array<string>")
-    held = docs.select(*keep, tokens.alias("tokens")).select(*keep, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("hits"))
+    held = docs.select(*keep, tokens.alias("tokens")).select(*keep, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("hits"))
     return held.select(*keep, "dl", F.transform(wanted, lambda w: F.size(F.filter("hits", lambda h: h == w))).alias("tfs"))
 
 
