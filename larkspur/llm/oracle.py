@@ -15,6 +15,31 @@ def _spans(rule) -> str:
     return f"(SELECT list_filter({each}, lambda x: x.n >= {rule.least}) FROM (SELECT regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS b, regexp_extract_all(t, '{p}', {rule.group}) AS g))"
 
 
+def _found(kind: int, pattern: str, good: str = "true", group: str = "length(x.m)", start: str = "0") -> str:
+    """Spans of a pattern's matches x.m (first group x.g) that are good, ``start`` into a match and ``group`` long."""
+    p = pattern.replace("'", "''")
+    begin = "(list_sum([length(y) for y in b[1:i]]) + coalesce(list_sum([length(y) for y in m[1:i-1]]), 0))::BIGINT"
+    each = f"list_transform(range(1, len(m) + 1), lambda i: {{'s': {begin}, 'm': m[i], 'g': g[i]}})"
+    rows = f"list_filter({each}, lambda x: {good})"
+    return f"(SELECT list_transform({rows}, lambda x: {{'s': x.s + {start}, 'k': {kind}, 'e': x.s + {start} + {group}}}) FROM (SELECT regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS b, regexp_extract_all(t, '{p}', 1) AS g))"
+
+
+_DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_DIGIT = f"(substr({_DIGITS}, length({_DIGITS}) - j::INT, 1)::INT * (1 + j % 2))"
+_FLAT = "replace(x.g, ' ', '')"
+_CHECKED = f"list_reduce(list_transform(string_split(substr({_FLAT}, 5) || substr({_FLAT}, 1, 4), ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)"
+_AFTER = {"group": "length(x.g)", "start": "length(x.m) - length(x.g)"}
+_PRIVATE = [
+    _found(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    _found(1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0"),
+    _found(2, r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length({_DIGITS})), lambda j: {_DIGIT} - CASE WHEN {_DIGIT} > 9 THEN 9 ELSE 0 END)) % 10 = 0"),
+    _found(3, r"(\+[0-9][\x20().0-9-]+[0-9])", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    _found(4, r"(?:IBAN|iban|Iban)[ \t\n:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)", f"length({_FLAT}) BETWEEN 15 AND 34 AND {_CHECKED} = 1", **_AFTER),
+    _found(5, r"(?:SSN|ssn)[ \t\n:=#.]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})", **_AFTER),
+    _found(6, r"://([^\x00-\x20/@:?#]+:[^\x00-\x20/@?#]+)@[A-Za-z0-9-]", group="length(x.g)", start="3"),
+]
+_PRIVATE_NAME = "['email', 'ip', 'card', 'phone', 'iban', 'ssn', 'login'][x.k + 1] || ':' || x.s || ':' || x.e"
+
 _NAME = f"[{', '.join(repr(r.kind) for r in RULES)}][x.k + 1] || ':' || x.s || ':' || x.e"
 
 SQL = {
@@ -26,6 +51,12 @@ later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION B
 gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM later) GROUP BY doc_id),
 k AS (SELECT d.doc_id, len(ws) AS n, coalesce(len(ps), 0) AS r, list_filter(ws, lambda w, j: ps IS NULL OR NOT list_contains(ps, j)) AS kept FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
+    "op3_pii": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, {', '.join(f'{x} AS k{i}' for i, x in enumerate(_PRIVATE))} FROM d),
+a AS (SELECT *, list_sort({' || '.join(f'k{i}' for i in range(7))}) AS every, list_sort(k0 || k1 || k2 || k3) AS base FROM s)
+SELECT doc_id, len(k0) AS n_email, len(k1) AS n_ip, len(k2) AS n_card, len(k3) AS n_phone,
+ sha256(coalesce(array_to_string(list_transform(base, lambda x: {_PRIVATE_NAME}), ','), '')) AS base_sha256, coalesce(array_to_string(list_transform(every, lambda x: {_PRIVATE_NAME}), ','), '') AS spans FROM a""",
     "op7_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

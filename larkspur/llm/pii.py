@@ -38,9 +38,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DIAL = re.compile(r"[ ().0-9-]*")
-_IBAN = re.compile(r"[\s:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_SSN = re.compile(r"[\s:=#.]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-_LOGIN = re.compile(r"[^\s/@:?#]+:[^\s/@?#]+(?=@[A-Za-z0-9-])")
+#: What may stand between a cue and what it announces.
+_JOIN = r"[ \t\n:=#.]{0,4}"
+_IBAN = re.compile(_JOIN + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)")
+_SSN = re.compile(_JOIN + r"([0-9]{3}-[0-9]{2}-[0-9]{4})")
+_LOGIN = re.compile(r"([^\x00-\x20/@:?#]+:[^\x00-\x20/@?#]+)@[A-Za-z0-9-]")
 
 _AUTOMATON = None
 
@@ -79,7 +81,7 @@ def _octet(part: str) -> bool:
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, index into KINDS, end), sorted."""
     out: list[tuple[int, int, int]] = []
-    email_end = number_end = grouped_end = dial_end = 0
+    email_end = number_end = grouped_end = dial_end = iban_end = 0
     for last, (kind, width) in automaton().iter(text):
         if kind == "digit":
             if last >= number_end:  # a chain of numbers joined by single dots, taken in fours
@@ -111,14 +113,15 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
                     if 9 <= 1 + sum(c in _DIGITS for c in body) <= 15:
                         out.append((last, 3, dial_end))
         elif kind == "iban":
-            if (m := _IBAN.match(text, last + 1)) and _iban_ok(m[1]):
-                out.append((m.start(1), 4, m.end(1)))
+            if last - width >= iban_end - 1 and (m := _IBAN.match(text, last + 1)):
+                iban_end = m.end()
+                if _iban_ok(m[1]):
+                    out.append((m.start(1), 4, iban_end))
         elif kind == "ssn":
-            start = last - width + 1
-            if not (start and text[start - 1].isalpha()) and (m := _SSN.match(text, last + 1)):
-                out.append((m.start(1), 5, m.end(1)))
+            if m := _SSN.match(text, last + 1):
+                out.append((m.start(1), 5, m.end()))
         elif m := _LOGIN.match(text, last + 1):
-            out.append((m.start(), 6, m.end()))
+            out.append((m.start(1), 6, m.end(1)))
     out.sort()
     return out
 
