@@ -63,7 +63,9 @@ def with_snippets(hits: DataFrame, docs: DataFrame, query: str, scaled: bool, id
     found = docs.select(F.col(id_col).alias("doc"), text_col).join(F.broadcast(hits.select("doc")), "doc", "left_semi")
     text = F.coalesce(F.col(text_col), F.lit(""))
     make = T.snippet_scaled if scaled else T.snippet_exact
-    return hits.join(found.select("doc", T.head(make(text, query)).alias("snippet")), "doc", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+    out = hits.join(found.select("doc", T.head(make(text, query)).alias("snippet")), "doc", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+    # a join keeps no order: the few hits are ranked again, ties as before
+    return out.orderBy(*[F.desc(c) for c in ("score", "cosine", "bm") if c in hits.columns], "doc")
 
 
 def vector_query_snippets(vectors: DataFrame, docs: DataFrame, query: str, query_vector: Sequence[float], k: int, n: int = T.NGRAM_DEFAULT) -> DataFrame:
@@ -78,9 +80,9 @@ def hybrid_join(hits: DataFrame, vectors: DataFrame, query_vector: Sequence[floa
 
 
 def fuse(joined: DataFrame, best: float, k: int) -> DataFrame:
-    """(doc, score) by weighted keyword score, divided by the best one but not by less than 1, and cosine."""
+    """(doc, score, bm) by weighted keyword score, divided by the best one but not by less than 1, and cosine."""
     mixed = BM25_WEIGHT * F.col("score") / F.lit(max(best, 1.0)) + VEC_WEIGHT * F.greatest("cosine", F.lit(0.0))
-    return joined.select("doc", F.round(mixed, bm25.DECIMALS).alias("fused"), F.col("score").alias("bm")).orderBy(F.desc("fused"), F.desc("bm"), "doc").limit(k).select("doc", F.col("fused").alias("score"))
+    return joined.select("doc", F.round(mixed, bm25.DECIMALS).alias("fused"), F.col("score").alias("bm")).orderBy(F.desc("fused"), F.desc("bm"), "doc").limit(k).select("doc", F.col("fused").alias("score"), "bm")
 
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], k: int = 10, n: int = T.NGRAM_DEFAULT) -> DataFrame:
