@@ -1,5 +1,7 @@
 """Operators that compare documents or vectors, against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -115,6 +117,43 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs).count() == 4 and simhash.keep_one(docs).count() == 4
 
 
+def near_texts(seed=3):
+    """Texts of 40 to 400 words, each with copies in which more and more words differ; repeated lines; copies in other case."""
+    rnd = random.Random(seed)
+    docs = []
+    for k in range(30):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([40, 120, 400]))]
+        docs.append(" ".join(base))
+        for share in (0.005, 0.01, 0.015, 0.02, 0.03, 0.05):
+            docs.append(" ".join(f"v{rnd.randrange(5000)}" if rnd.random() < share else w for w in base))
+        docs += [" ".join(base).upper(), "\n".join([" ".join(base[:20])] * 9), " ".join(base[: len(base) * 9 // 10])]
+    return list(enumerate([*docs, None, "", "one", "ONE", "two words"]))
+
+
+def jaccard_groups(docs):
+    sets = {}
+    for i, t in docs:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    return linked(sets, [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize("leaf, members", [(16_384, 2048), (40, 3)])
+def test_stage_keeps_one_of_similar_texts(spark, leaf, members):
+    docs = near_texts()
+    whole = jaccard_groups(docs)
+    assert len(set(whole.values())) < len(docs) - 60
+    kept = simhash.keep_similar(frame(spark, docs), leaf=leaf, members=members)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(whole.values()))
+
+
+def test_stage_links_what_three_bits_miss(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = jaccard_groups([(r.doc_id, r.text) for r in docs.collect()])
+    assert whole[145] == 6 and whole[177] == 1
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, sf_dir).collect()) == sorted(set(whole.values()))
+
+
 def test_leaf_search_is_exact():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
