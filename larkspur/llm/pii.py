@@ -7,8 +7,9 @@ allows, so the work is linear in the text.
 
 Kinds: ``email``, ``ip`` (four numbers up to 255), ``card`` (12-19 digits, Luhn), ``phone``
 (9-15 digits after a plus), which are the leftmost non-overlapping matches of fixed patterns, and
-the anchors' own ``iban`` (after its cue, mod-97 checked), ``ssn`` (after its cue) and ``login``
-(user:password of a URL).
+the anchors' own ``iban`` (after its cue, the longest run of whole words that mod-97 accepts), ``ssn``
+(after its cue, which no letter precedes, and not within a longer number) and ``login`` (user:password
+of a URL).
 
 Defined results: a null or empty text has no spans; repeated rows each have their own; an empty
 table gives an empty table; columns besides the id and the text are not read by ``find_pii``, and
@@ -34,6 +35,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = "0123456789"
+_ALNUM = _LOCAL - frozenset("._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])*")
@@ -41,7 +43,7 @@ _DIAL = re.compile(r"[ ().0-9-]*")
 #: What may stand between a cue and what it announces.
 _JOIN = r"[ \t\n:=#.]{0,4}"
 _IBAN = re.compile(_JOIN + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)")
-_SSN = re.compile(_JOIN + r"([0-9]{3}-[0-9]{2}-[0-9]{4})")
+_SSN = re.compile(_JOIN + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _LOGIN = re.compile(r"([^\x00-\x20/@:?#]+:[^\x00-\x20/@?#]+)@[A-Za-z0-9-]")
 
 _AUTOMATON = None
@@ -73,6 +75,14 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """End of the longest checked account number that starts at ``start`` and ends at a boundary up to ``end``, or 0."""
+    for e in range(end, start + 14, -1):
+        if text[e - 1] != " " and not (e < len(text) and text[e] in _ALNUM) and _iban_ok(text[start:e]):
+            return e
+    return 0
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or "0") <= 255
@@ -114,11 +124,12 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
                         out.append((last, 3, dial_end))
         elif kind == "iban":
             if last - width >= iban_end - 1 and (m := _IBAN.match(text, last + 1)):
-                iban_end = m.end()
-                if _iban_ok(m[1]):
-                    out.append((m.start(1), 4, iban_end))
+                if e := _iban_end(text, m.start(1), m.end()):
+                    iban_end = e
+                    out.append((m.start(1), 4, e))
         elif kind == "ssn":
-            if m := _SSN.match(text, last + 1):
+            start = last - width + 1
+            if not (start and text[start - 1].isalpha()) and (m := _SSN.match(text, last + 1)):
                 out.append((m.start(1), 5, m.end()))
         elif m := _LOGIN.match(text, last + 1):
             out.append((m.start(1), 6, m.end(1)))

@@ -43,6 +43,26 @@ def test_pii_cards_and_extras():
     assert pii.masked("mail a@b.co now") == "mail <EMAIL> now" and pii.masked("clean") == "clean"
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("IBAN: ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", ["ES91 2100 0418 4502 0005 1332"]),
+        ("IBAN BE68 5390 0754 7034 OK", ["BE68 5390 0754 7034"]),
+        ("IBAN BE68 5390 0754 7034 PLEASE", ["BE68 5390 0754 7034"]),
+        ("IBAN BE68539007547034 and", ["BE68539007547034"]),
+        ("IBAN BE00 0000 0000 IBAN BE68 5390 0754 7034", ["BE68 5390 0754 7034"]),
+        ("IBAN BE68 5390 0754 7034abc", []),
+        ("IBAN BE69 5390 0754 7034 OK", []),
+        ("SSN 123-45-6789.", ["123-45-6789"]),
+        ("SSN 123-45-67890", []),
+        ("lessn 123-45-6789", []),
+    ],
+)
+def test_pii_boundaries(text, found):
+    assert [text[a:b] for a, k, b in pii.spans_of(text) if pii.KINDS[k] in ("iban", "ssn")] == found
+    assert all(x not in pii.masked(text) for x in found)
+
+
 def test_pii_over_documents(spark):
     docs = [*EDGE, (20, "x@y.zz +49 (30) 1234567"), (20, "x@y.zz +49 (30) 1234567")]
     out = pii.find_pii(frame(spark, docs)).collect()
