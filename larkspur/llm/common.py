@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +40,8 @@ def arrow(df: DataFrame, target: Callable, schema: str, **params) -> DataFrame:
 
     The wrapper travels by value and adds the library's folder to the search path, so that
     workers in local mode find it whatever the working folder; a cluster ships the package.
+    ``params`` are plain values (numbers, texts, arrays, tuples): an instance of a class of this
+    library would be unpickled before the path is there.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root, module, name = str(Path(__file__).resolve().parents[2]), target.__module__, target.__name__
@@ -72,16 +75,24 @@ def steps(batches: Iterator[pa.RecordBatch], chars: int = STEP_CHARS) -> Iterato
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; a local one only where none is set and Spark runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+        if held.isDefined():
+            return held.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Durable tables of this session that are not dropped yet.
+_TABLES: set[str] = set()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once, and a lost executor costs no rerun.
 
@@ -91,17 +102,33 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _TABLES.discard(path)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a durable() table that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/larkspur-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    ends = {x.rpartition("/")[0].rpartition("/")[2] for x in df.inputFiles()}
+    for path in [t for t in _TABLES if t.rpartition("/")[2] in ends]:
+        delete(spark, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the durable tables that were made inside; what they led to must be written by then."""
+    before = set(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES - before:
+            delete(spark, path)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:

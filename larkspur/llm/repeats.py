@@ -1,58 +1,57 @@
 """Repeated windows across a corpus: what the two exact substring operators share.
 
-A window is ``size`` consecutive symbols (words, or bytes) of one document. Both operators sort
-suffixes only as far as a window reaches, and both divide them first by a prefix that windows
-agree on. That prefix is the window's *anchor*: of all ``gram``-symbol strings inside the window
-the one with the smallest hash, the leftmost of equals. Equal windows have equal anchors at equal
-places, so suffixes may be dealt out by anchor without losing a repeat, and neighbouring windows
-share their anchor, so that a *run* of windows costs one row (about 2 rows for each
-size-gram symbols) instead of one row each.
-
-1. ``runs``: one row per run: anchor hash, place, and a digest of all symbols the run covers.
-2. ``classes``: runs with equal digests hold the same windows: they are counted and go on as one
-   class. A class alone under its anchor holds no repeat with other text, and falls away.
-3. ``contents``: one run of each class that shares its anchor with other classes is cut out of its
-   document and dealt out by a longer prefix: the anchor and half a window on its longer side.
-   Prefixes held by more than ``HOT`` classes are lengthened to the whole window, where an
-   aggregate decides (`hot_windows`); the rest fit in memory, and the operator's own method finds
-   equal windows there.
-4. ``covered``: each run looks its class up; spans are gathered by document.
-
-Digests are 64 bits under an anchor of 64 bits: what is compared are 128-bit keys.
-
-Nothing is dropped or capped: a hot class is one row from step 2 on, and a hot prefix is divided.
+A window is the first ``size`` symbols (words, or bytes) of a suffix of one document. Both operators
+order suffixes only as far as a window reaches, in groups that fit in memory, and both form those
+groups by prefixes of the suffixes whose length varies:
+
+1. ``runs``. A window's *anchor* is, of all ``gram``-symbol strings inside it, the one with the
+   smallest hash, the leftmost of equals. Equal windows have equal anchors at equal places, and
+   neighbouring windows share theirs, so a *run* of suffixes that share an anchor is one row.
+   Anchors that stand once in the corpus have no repeat, and their runs fall away.
+2. ``leaves``. Runs with the same symbols are one leaf with a weight (how many runs) and the smallest
+   doc_id. They are told apart by salted 128-bit BLAKE2b digests of their bytes. However many
+   copies a text has, it is cut out once.
+3. Prefixes. Suffixes whose places to their anchor fall into the same stride are dealt out by a prefix
+   of the last of them, which all of them hold. With a stride as long as a run that prefix is the
+   anchor; a group with more than ``FIT`` rows gets a third of the stride, and so longer prefixes, and so on
+   until its parts fit. With a stride of one the prefix is a whole window: such a group is one node, and
+   what is asked of it (its weight and smallest doc_id) is an aggregate, however many rows it has.
+4. The operator's own method orders the suffixes of each group by their real symbols and says
+   which windows are equal. A window's weight and smallest doc_id go back to its leaf, from there to
+   each run, and spans are gathered by row.
+
+A row of ``docs`` is known by (doc_id, k), k being a hash of its text: rows that share a doc_id but not
+the text are told apart, rows that share both are equal and share their spans.
+
+Nothing is dropped or capped. Texts longer than ``STEP_CHARS`` are read in steps that overlap.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, drop, durable, steps
+from .common import STEP_CHARS, arrow, drop, durable
 
 U = np.uint64
-#: Classes under one prefix that are still compared in memory.
-HOT = 20_000
-#: Symbols that the in-memory method works on at a time.
-ROOM = 1_500_000
+#: Rows (leaves, or parts of leaves) under one prefix that are ordered in memory.
+FIT = 1024
+#: Bytes of bodies that are ordered at a time: a word has several, and a byte is a symbol of its own.
+ROOM = {True: 6_000_000, False: 1_500_000}
 
-RUNS = "h long, e long, doc_id long, a int, s int, n int"
-CONTENTS = "p long, h long, e long, least long, w int, n int, body binary"
-MARKS = "h long, e long, spans array<struct<lo:int,hi:int>>"
-
-
-@dataclass(frozen=True)
-class Kind:
-    """What windows are made of. ``of_words``: symbols are words, else bytes."""
-
-    size: int
-    gram: int
-    of_words: bool
+RUNS = "h long, e1 long, e2 long, doc_id long, k long, a int, s int, n int"
+LEAVES = "g long, h long, e1 long, e2 long, least long, many long, o int, w int, n int, body binary"
+MARKS = "h long, e1 long, e2 long, lo int, hi int, low long"
+LEAF = ("h", "e1", "e2")
+NONE = np.iinfo(np.int64).max  # the doc_id of rows that have none: larger than all others
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +78,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ranges:
-    """Hashes of any ranges of a symbol sequence, from prefix sums."""
+    """Hashes of ranges of a symbol sequence, from prefix sums. They choose anchors; no equality rests on them."""
 
     def __init__(self, symbols: np.ndarray) -> None:
         up, self.down = powers(len(symbols))
@@ -102,16 +101,9 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def symbols(texts: list[str], of_words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row, and where each text's begin (one more entry ends the last)."""
-    raw = [x.encode() for x in texts]
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
-    coded = BYTES[data]
-    if not of_words:
-        return coded, begin
-    start, end = words(data)
-    return Ranges(coded).of(start, end), np.searchsorted(start, begin)
+def row_key(text: str = "text") -> Column:
+    """64 bits of a text's SHA-256: with the doc_id, they name a row."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
 
 
 def lowest(x: np.ndarray, n: int) -> np.ndarray:
@@ -123,175 +115,252 @@ def lowest(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
-def _runs(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    for ids, texts in steps(batches):
-        coded, begin = symbols(texts, kind.of_words)
-        length = np.diff(begin) - (not kind.of_words)  # a separator ends each text's bytes
-        if not (length >= kind.size).any():
+def _cuts(batches: Iterator[pa.RecordBatch], size: int, of_words: bool, room: int) -> Iterator[list[tuple[int | None, int, int, bytes]]]:
+    """Lists of (doc_id, k, place of the first symbol, bytes) of about ``room`` bytes. Words are joined by single blanks; a longer
+    text is cut into parts, each of which ends with the ``size`` - 1 symbols that the next begins with, so no window is in two."""
+    out: list[tuple[int | None, int, int, bytes]] = []
+    held = 0
+    for batch in batches:
+        for i, k, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "text")), strict=True):
+            data = text.encode()
+            if of_words:
+                data = b" ".join(data.split())
+            if len(data) < (2 * size - 1 if of_words else size):
+                continue
+            if len(data) <= room:
+                parts = [(0, data)]
+            elif of_words:
+                start, end = words(np.frombuffer(data, np.uint8))
+                step = max(1, room // 8)
+                parts = [(x, data[start[x] : end[min(x + step + size - 1, len(end)) - 1]]) for x in range(0, max(len(start) - size + 1, 0), step)]
+            else:
+                parts = [(x, data[x : x + room + size - 1]) for x in range(0, len(data) - size + 1, room)]
+            for x, part in parts:
+                out.append((i, k, x, part))
+                held += len(part)
+                if held >= room:
+                    yield out
+                    out, held = [], 0
+    if out:
+        yield out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: int, gram: int, of_words: bool, salt: bytes, room: int) -> Iterator[pa.RecordBatch]:
+    for cut in _cuts(batches, size, of_words, room):
+        ids, ks, places, parts = zip(*cut, strict=True)
+        raw = b" ".join(parts)
+        data = np.frombuffer(raw, np.uint8)
+        begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])])
+        coded = BYTES[data]
+        if of_words:
+            first, last = words(data)
+            coded = Ranges(coded).of(first, last)
+            begin = np.searchsorted(first, begin)
+        length = np.diff(begin) - (not of_words)  # a separator ends each part's bytes
+        if not (length >= size).any():
             continue
-        ranges = Ranges(coded)
-        grams = ranges.grams(kind.gram)
-        place = lowest((grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U), kind.size - kind.gram + 1)
-        many = np.maximum(length - kind.size + 1, 0)
+        grams = Ranges(coded).grams(gram)
+        place = lowest((grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U), size - gram + 1)
+        many = np.maximum(length - size + 1, 0)
         start = np.arange(many.sum()) + np.repeat(begin[:-1] - (np.cumsum(many) - many), many)
-        doc = np.repeat(np.arange(len(ids)), many)
+        part = np.repeat(np.arange(len(parts)), many)
         anchor = (place[start] & U(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        n = np.diff(np.r_[first, len(anchor)])
-        s, a, d = start[first], anchor[first], doc[first]
-        e = mix(ranges.of(s, s + n - 1 + kind.size) + (a - s).astype(U) * U(0x9E3779B97F4A7C15))
-        base = begin[d]
-        yield pa.RecordBatch.from_arrays([pa.array(grams[a].view(np.int64)), pa.array(e.view(np.int64)), pa.array(np.array(ids)[d]), pa.array((a - base).astype(np.int32)), pa.array((s - base).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "e", "doc_id", "a", "s", "n"])
+        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
+        n = np.diff(np.r_[new, len(anchor)])
+        s, a, p = start[new], anchor[new], part[new]
+        lo, hi = (first[s], last[s + n - 2 + size]) if of_words else (s, s + n - 1 + size)
+        e = np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=16, salt=salt).digest() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+        base = (np.array(places) - begin[:-1])[p]
+        of = pa.array(ids, pa.int64()).take(pa.array(p))
+        cols = [pa.array(grams[a].view(np.int64)), pa.array(e[:, 0]), pa.array(e[:, 1]), of, pa.array(np.array(ks)[p]), *(pa.array(x.astype(np.int32)) for x in (a + base, s + base, n))]
+        yield pa.RecordBatch.from_arrays(cols, ["h", "e1", "e2", "doc_id", "k", "a", "s", "n"])
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
 
-def _contents(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """Bodies of the wanted runs. A body holds windows on one side of their anchor; its prefix p is the anchor and half a window there."""
-    half = kind.size // 2
+def _leaves(batches: Iterator[pa.RecordBatch], size: int, of_words: bool) -> Iterator[pa.RecordBatch]:
+    """The wanted runs cut out of their texts."""
     for batch in batches:
-        out = []
+        out, held = [], 0
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            coded, _ = symbols([text], kind.of_words)
-            ranges = Ranges(coded)
-            body = coded if kind.of_words else np.frombuffer(text.encode(), np.uint8)
-            h, e, least, a, s, n = (np.array(c, np.int64) for c in zip(*((w["h"], w["e"], w["least"], w["a"], w["s"], w["n"]) for w in wanted), strict=True))
-            _, one = np.unique(np.stack([h, e]), axis=1, return_index=True)  # a class is cut out once
-            for i in one.tolist():
-                if s[i] + n[i] - 1 + kind.size > len(body):
-                    continue  # another text under the same doc_id
-                cut = max(0, min(int(n[i]), int(a[i] - half - s[i])))  # windows before the cut have their longer side left of the anchor
-                for lo, hi, left in ((0, cut, 1), (cut, int(n[i]), 0)):
-                    if hi > lo:
-                        at = np.array([a[i] - half * left])
-                        p = mix(ranges.of(at, at + half) + h[i : i + 1].view(U) * U(2) + U(left))
-                        out.append((int(p.view(np.int64)[0]), int(h[i]), int(e[i]), int(least[i]), lo, hi - lo, body[s[i] + lo : s[i] + hi - 1 + kind.size].tobytes()))
+            data = text.encode()
+            symbols = data.split() if of_words else data
+            for x in wanted:
+                body = symbols[x["s"] : x["s"] + x["n"] - 1 + size]
+                body = b" ".join(body) if of_words else body
+                out.append((x["h"], x["h"], x["e1"], x["e2"], NONE if x["least"] is None else x["least"], x["many"], x["a"] - x["s"], 0, x["n"], body))
+                held += len(body)
+            if held > 16_000_000:
+                yield _batch(out, LEAVES)
+                out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()], strict=True)], ["p", "h", "e", "least", "w", "n", "body"])
+            yield _batch(out, LEAVES)
 
 
-def spans_of(flags: np.ndarray, size: int) -> list[dict]:
-    """Marked window starts as spans of symbols, ends exclusive; touching spans are one."""
-    at = np.flatnonzero(flags)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > size)
-    return [{"lo": int(x), "hi": int(y) + size} for x, y in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]], strict=True)]
+def strides(size: int, gram: int) -> list[int]:
+    """Suffixes that are dealt out together: as many as share an anchor, then a third each time, then one."""
+    out = [size - gram + 1]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // 3))
+    return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[dict[str, list]]:
-    """Rows of whole prefixes, about ``room`` bytes of bodies at a time; prefixes with one row are passed over."""
-    names = ["p", "h", "e", "least", "w", "n", "body"]
-    held: list[tuple] = []
-    weight = 0
+def _split(batches: Iterator[pa.RecordBatch], size: int, of_words: bool, stride: int) -> Iterator[pa.RecordBatch]:
+    """Rows divided by ``stride``, each under the prefix, of size - stride + 1 symbols, of the last suffix of its stride."""
+    names = LEAVES.replace(",", "").split()[::2]
+    for batch in batches:
+        out = []
+        for _, h, e1, e2, least, many, o, w, n, body in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+            symbols = body.split(b" ") if of_words else body
+            for j in range((o - w - n + 1) // stride, (o - w) // stride + 1):
+                # suffixes of the run from first to last (the anchor is o symbols behind the run's start)
+                first, last = max(w, o - (j + 1) * stride + 1), min(w + n - 1, o - j * stride)
+                at = o - j * stride - w
+                prefix, part = symbols[at : at + size - stride + 1], symbols[first - w : last - w + size]
+                if of_words:
+                    prefix, part = b" ".join(prefix), b" ".join(part)
+                g = xxhash.xxh3_64_intdigest(prefix, (h + j) & 0xFFFFFFFFFFFFFFFF)
+                out.append((g - (1 << 64) * (g >> 63), h, e1, e2, least, many, o, first, last - first + 1, part))
+            if len(out) > 20_000:
+                yield _batch(out, LEAVES)
+                out = []
+        if out:
+            yield _batch(out, LEAVES)
 
-    def full(rows: list[tuple]) -> dict[str, list]:
-        p = np.array([r[0] for r in rows])
-        same = p[1:] == p[:-1]
-        keep = np.flatnonzero(np.r_[False, same] | np.r_[same, False]).tolist()
-        return dict(zip(names, zip(*(rows[i] for i in keep), strict=True), strict=True)) if keep else {}
 
+def _groups(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.Table]:
+    """Rows of whole groups, about ``room`` bytes of bodies at a time; rows come sorted by group."""
+    held: list[pa.RecordBatch] = []
+    weight = 0
     for batch in batches:
-        for row in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
-            if weight > room and row[0] != held[-1][0]:
-                if got := full(held):
-                    yield got
-                held, weight = [], 0
-            held.append(row)
-            weight += len(row[-1])
-    if held and (got := full(held)):
-        yield got
-
-
-def _marks(batches: Iterator[pa.RecordBatch], kind: Kind, method: str, ordered: bool) -> Iterator[pa.RecordBatch]:
-    """Marks windows that are equal to another row's under the same prefix; ``ordered``: to that of a smaller ``least``."""
+        if not batch.num_rows:
+            continue
+        g = batch.column("g").to_numpy()
+        ends = np.cumsum(pc.binary_length(batch.column("body")).to_numpy())
+        at = 0
+        if held and weight > room and held[-1].column("g")[-1].as_py() != g[0]:
+            yield pa.Table.from_batches(held)
+            held, weight = [], 0
+        for cut in (np.flatnonzero(g[1:] != g[:-1]) + 1).tolist():
+            here = int(ends[cut - 1] - (ends[at - 1] if at else 0))
+            if weight + here > room:
+                yield pa.Table.from_batches([*held, batch.slice(at, cut - at)])
+                held, weight, at = [], 0, cut
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+            weight += int(ends[-1] - (ends[at - 1] if at else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _marks(batches: Iterator[pa.RecordBatch], size: int, of_words: bool, method: str, room: int) -> Iterator[pa.RecordBatch]:
+    """Spans of windows that repeat, by leaf, with the smallest doc_id that the window starts in."""
     import importlib
 
-    equal: Callable = getattr(importlib.import_module(method), "equal_windows")
-    width = 8 if kind.of_words else 1
-    for g in _groups(batches, ROOM * width):
-        # bodies one after the other; a window is named by where it starts there
-        lengths = np.array([len(b) // width for b in g["body"]])
-        body = np.frombuffer(b"".join(g["body"]), U if kind.of_words else np.uint8)
-        n = np.array(g["n"])
+    equal: Callable = importlib.import_module(method).equal_windows
+    for g in _groups(batches, room):
+        bodies = g.column("body").to_pylist()
+        n, least, many, w = (g.column(x).to_numpy() for x in ("n", "least", "many", "w"))
+        if of_words:
+            body = pa.array(b" ".join(bodies).split(b" "), pa.binary()).dictionary_encode().indices.to_numpy()
+        else:
+            body = np.frombuffer(b"".join(bodies), np.uint8)
+        lengths = n - 1 + size
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = (np.cumsum(lengths) - lengths)[row] + within
-        p = np.unique(np.array(g["p"]), return_inverse=True)[1]
-        where, group = equal(body, start, p[row], kind.size)  # windows with an equal, and a number for each set of equals
-        least = np.array(g["least"])[row[where]]
-        if ordered:
-            low = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, group, least)
-            where = where[least > low[group]]
-        flags = np.zeros(len(row), bool)
-        flags[where] = True
-        ends = np.cumsum(n)
-        out = []
-        for i in np.unique(row[where]).tolist():
-            found = spans_of(flags[ends[i] - n[i] : ends[i]], kind.size)
-            out.append((g["h"][i], g["e"][i], [{"lo": x["lo"] + g["w"][i], "hi": x["hi"] + g["w"][i]} for x in found]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))], strict=True)], ["h", "e", "spans"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a hot prefix: the prefix lengthened to the whole window."""
-    for b in batches:
-        for p, h, e, least, w, n, body in zip(*(b.column(x).to_pylist() for x in ("p", "h", "e", "least", "w", "n", "body")), strict=True):
-            coded = np.frombuffer(body, U) if kind.of_words else BYTES[np.frombuffer(body, np.uint8)]
-            at = np.arange(n)
-            f = Ranges(coded).of(at, at + kind.size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p)), pa.array(f.view(np.int64)), pa.array(np.full(n, h)), pa.array(np.full(n, e)), pa.array(np.full(n, least)), pa.array((at + w).astype(np.int32))], ["p", "f", "h", "e", "least", "w"])
-
-
-def hot_windows(contents: DataFrame, kind: Kind, ordered: bool) -> DataFrame:
-    """Marks for prefixes that too many classes share: equal windows meet in an aggregate, which combines before it shuffles."""
-    each = arrow(contents, _windows, "p long, f long, h long, e long, least long, w int", kind=kind)
-    sets = each.groupBy("p", "f").agg(F.min("least").alias("low"), F.count("*").alias("many")).filter("many > 1")
-    hit = each.join(sets, ["p", "f"]).filter("least > low" if ordered else "true")
-    return hit.select("h", "e", F.array(F.struct(F.col("w").alias("lo"), (F.col("w") + kind.size).alias("hi"))).alias("spans"))
-
-
-def covered(docs: DataFrame, kind: Kind, method: str, ordered: bool, hot: int = HOT) -> DataFrame:
-    """(doc_id, spans): spans of symbols covered by windows that repeat.
+        ends = np.cumsum(lengths)
+        start = (ends - lengths)[row] + within
+        prefix = np.unique(g.column("g").to_numpy(), return_inverse=True)[1]
+        where, group = equal(body, start, prefix[row], size, ends[row])  # windows that are equal to others here, and a number for each set of equals
+        low = least[row]
+        repeats = many[row] > 1
+        if len(where):
+            set_low = np.full(group.max() + 1, NONE)
+            np.minimum.at(set_low, group, low[where])
+            low[where] = set_low[group]
+            repeats[where] = True
+        at = np.flatnonzero(repeats)
+        if len(at):
+            r, x, y = row[at], within[at], low[at]
+            new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (y[1:] != y[:-1]) | (x[1:] - x[:-1] > size)])
+            end = np.r_[new[1:], len(at)] - 1
+            of = r[new]
+            cols = [*(g.column(c).combine_chunks().take(pa.array(of)) for c in LEAF), pa.array((x[new] + w[of]).astype(np.int32)), pa.array((x[end] + w[of] + size).astype(np.int32)), pa.array(y[new])]
+            yield pa.RecordBatch.from_arrays(cols, [*LEAF, "lo", "hi", "low"])
+
+
+def _nodes(rows: DataFrame, size: int) -> DataFrame:
+    """Marks of groups whose prefix is a whole window, by an aggregate over the window's bytes, which combines before it shuffles."""
+    node = rows.groupBy("body").agg(F.min("least").alias("low"), F.sum("many").alias("weight")).filter("weight > 1")
+    return rows.join(node, "body").select(*LEAF, F.col("w").alias("lo"), (F.col("w") + size).alias("hi"), "low")
+
+
+def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str, ordered: bool, fit: int = FIT, room: int | None = None) -> DataFrame:
+    """(doc_id, k, spans): spans of symbols covered by windows that repeat, for rows that have any.
 
     ``ordered``: windows that also start in a document with a smaller doc_id; otherwise windows
-    that also start anywhere else. ``docs`` has (doc_id, text); spans may overlap.
+    that also start anywhere else. ``docs`` has (doc_id, k, text); spans may overlap.
     """
     spark = docs.sparkSession
-    runs = durable(arrow(docs, _runs, RUNS, kind=kind))
-    classes = runs.groupBy("h", "e").agg(F.count("*").alias("many"), F.min("doc_id").alias("least"))
-    anchors = classes.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("many").alias("all")).filter("`all` > 1").select("h", (F.col("kinds") > 1).alias("mixed"))
-    classes = durable(classes.join(anchors, "h"))
-    # documents that hold the first run of a mixed class, with what to cut out of each
-    wanted = classes.filter("mixed").select("h", "e", F.col("least").alias("doc_id")).join(runs, ["h", "e", "doc_id"])
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "e", F.col("doc_id").alias("least"), "a", "s", "n")).alias("wanted"))
-    contents = durable(arrow(docs.join(wanted, "doc_id").select("text", "wanted"), _contents, CONTENTS, kind=kind))
-    sizes = contents.groupBy("p").count()
-    too_hot = sizes.filter(F.col("count") > hot).select("p")
-    hot_rows = contents.join(too_hot, "p", "left_semi")
-    cold = contents.join(sizes.filter(F.col("count").between(2, hot)).select("p"), "p", "left_semi")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = arrow(cold.repartition(n, "p").sortWithinPartitions("p"), _marks, MARKS, kind=kind, method=method, ordered=ordered)
-    if too_hot.limit(1).count():
-        marks = marks.unionByName(hot_windows(hot_rows, kind, ordered))
-    marks = marks.groupBy("h", "e").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    known = durable(classes.join(marks, ["h", "e"], "left"))
-    drop(contents)
-    drop(classes)
-    whole = F.col("doc_id") > F.col("least") if ordered else F.col("many") > 1
-    # runs of a class that is covered whole need no spans, others only those of their class
-    own = F.when(whole, F.array(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1 + kind.size).alias("hi")))).otherwise(
-        F.transform("spans", lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))
-    )
-    # from the runs' side: classes are unique, so the join has a row for each run, whatever the size of its class
-    hit = runs.join(known.filter("many > 1 or spans is not null"), ["h", "e"], "left").select("doc_id", own.alias("spans")).filter(F.size("spans") > 0)
-    return hit.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def kept_flags(spans: list[dict] | None, n: int) -> np.ndarray:
-    """True for each of n symbols outside all spans."""
-    step = np.zeros(n + 1, np.int64)
-    if spans:
-        np.add.at(step, np.minimum([x["lo"] for x in spans], n), 1)
-        np.add.at(step, np.minimum([x["hi"] for x in spans], n), -1)
-    return np.cumsum(step[:n]) == 0
+    runs = durable(arrow(docs, _runs, RUNS, size=size, gram=gram, of_words=of_words, salt=os.urandom(16), room=room or STEP_CHARS))
+    shared = runs.groupBy("h").count().filter("count > 1").select("h", F.lit(True).alias("shared"))
+    # outer, from the runs' side: a row for each run, whatever the size of its group
+    live = durable(runs.join(shared, "h", "left").filter("shared").drop("shared"))
+    drop(runs)
+    # first() takes all of a leaf's columns from one run
+    leaves = durable(live.groupBy(*LEAF).agg(F.count("*").alias("many"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("doc_id", "k", "a", "s", "n"))))
+    wanted = leaves.groupBy("doc_id", "k").agg(F.collect_list(F.struct(*LEAF, "many", "least", "a", "s", "n")).alias("wanted"))
+    own = docs.alias("x").join(wanted.alias("y"), same_row("x", "y")).select("text", "wanted")
+    level = durable(arrow(own, _leaves, LEAVES, size=size, of_words=of_words))
+    if level.count() > leaves.count():  # rows that are equal have each cut their leaves out
+        twice, level = level, durable(level.dropDuplicates([*LEAF]))
+        drop(twice)
+    drop(leaves)
+    tables, marks = [level], None
+    for stride in [*strides(size, gram)[1:], 0]:
+        big = level.groupBy("g").count().filter(F.col("count") > fit).select("g", F.lit(True).alias("big"))
+        last = not big.limit(1).count()
+        tagged = level if last else level.join(big, "g", "left")
+        fits = level if last else tagged.filter("big is null").drop("big")
+        found = arrow(fits.repartition(n, "g").sortWithinPartitions("g"), _marks, MARKS, size=size, of_words=of_words, method=method, room=ROOM[of_words])
+        marks = found if marks is None else marks.unionByName(found)
+        if last:
+            break
+        rest = tagged.filter("big").drop("big")
+        if not stride:
+            marks = marks.unionByName(_nodes(rest, size))
+            break
+        level = durable(arrow(rest, _split, LEAVES, size=size, of_words=of_words, stride=stride))
+        tables.append(level)
+    marks = durable(marks.groupBy(*LEAF).agg(F.collect_set(F.struct("lo", "hi", "low")).alias("marks")))  # at most one for each suffix of a run
+    for t in tables:
+        drop(t)
+    hit = F.filter("marks", lambda x: x["low"] < F.col("doc_id")) if ordered else F.col("marks")
+    spans = live.join(marks, [*LEAF], "left").select("doc_id", "k", F.explode(F.transform(hit, lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))).alias("span"))
+    return spans.groupBy("doc_id", "k").agg(F.collect_set("span").alias("spans"))
+
+
+def same_row(x: str, y: str) -> Column:
+    return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.k") == F.col(f"{y}.k"))
+
+
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal spans (first symbol, end), in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((x["lo"], x["hi"]) for x in spans or ()):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def outside(spans: list[tuple[int, int]], symbols: list | bytes) -> list:
+    """The pieces of ``symbols`` between spans."""
+    edges = [0, *(x for s in spans for x in s), len(symbols)]
+    return [symbols[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]

@@ -13,19 +13,21 @@ from .helpers import EDGE, by_id, corpus, frame, sha
 
 
 def words_brute(docs, size=50):
-    first, words = {}, {}
+    """A result for each row, in the order of ``docs``."""
+    first, words = {}, []
     for i, t in docs:
-        w = words[i] = (t or "").encode().split()
+        w = (t or "").encode().split()
+        words.append((i, w))
         for k in range(len(w) - size + 1):
             key = tuple(w[k : k + size])
-            first[key] = min(first.get(key, i), i)
-    out = {}
-    for i, w in words.items():
+            first[key] = min(first.get(key, 1 << 70), 1 << 69 if i is None else i)
+    out = []
+    for i, w in words:
         gone = [False] * len(w)
         for k in range(len(w) - size + 1):
-            if first[tuple(w[k : k + size])] < i:
+            if i is not None and first[tuple(w[k : k + size])] < i:
                 gone[k : k + size] = [True] * size
-        out[i] = (len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+        out.append((i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
     return out
 
 
@@ -36,7 +38,7 @@ def bytes_brute(docs, size=400):
         for k in range(len(d) - size + 1):
             h = hash(d[k : k + size])
             seen[h] = seen.get(h, 0) + 1
-    out = {}
+    out = []
     for i, d in data:
         step = np.zeros(len(d) + 1, int)
         for k in range(len(d) - size + 1):
@@ -45,33 +47,111 @@ def bytes_brute(docs, size=400):
                 step[k + size] -= 1
         gone = np.cumsum(step)[: len(d)] > 0
         runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        out[i] = (len(d), int(gone.sum()), runs, sha(np.frombuffer(d, np.uint8)[~gone].tobytes()))
+        out.append((i, len(d), int(gone.sum()), runs, sha(np.frombuffer(d, np.uint8)[~gone].tobytes())))
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-@pytest.mark.parametrize("docs", [EDGE[:11] + EDGE[12:], corpus(), corpus(60, 6)], ids=["edge", "few words", "many words"])
-def test_repeats(spark, docs, hot):
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def mixed(seed=9):
+    """Rows that share a doc_id with other texts, or with the same, or have none."""
+    docs = corpus(40, seed) + corpus(40, seed + 1)
+    return [(None if k % 7 == 0 else i // 4, t) for k, (i, t) in enumerate(docs)] + [(3, docs[5][1]), (3, docs[5][1]), (None, docs[5][1]), (None, docs[5][1]), (None, "z " * 700)]
+
+
+def colliding():
+    """Texts that differ, but not in any polynomial hash modulo 2^64 with an odd base: the Thue-Morse word and its complement."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    around = " ".join(f"u{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    return [(1, f"{around[0]} {a} {around[1]}"), (2, f"{around[0]} {b} {around[1]}"), (3, a), (4, b), (5, f"{around[0]} {a[:512]} {around[1]}"), (6, f"{around[0]} {b[:512]} {around[1]}")]
+
+
+CORPORA = {"edge": EDGE[:11] + EDGE[12:], "few words": corpus(), "many words": corpus(60, 6), "mixed ids": mixed(), "collisions": colliding()}
+
+
+@pytest.mark.parametrize("fit", [1024, 2])
+@pytest.mark.parametrize("docs", CORPORA.values(), ids=CORPORA)
+def test_repeats(spark, docs, fit):
     df = frame(spark, docs)
-    assert by_id(substring_dedup.dedup_words(df, hot=hot)) == words_brute(docs)
-    assert by_id(suffix_array.dedup_bytes(df, hot=hot)) == bytes_brute(docs)
+    assert rows(substring_dedup.dedup_words(df, fit=fit)) == sorted(words_brute(docs), key=repr)
+    assert rows(suffix_array.dedup_bytes(df, fit=fit)) == sorted(bytes_brute(docs), key=repr)
+
+
+def test_repeats_in_steps(spark):
+    """Texts longer than a step give the same."""
+    docs = [*corpus(20, 6), (7, " ".join(t for _, t in corpus(20, 6)))]
+    assert rows(substring_dedup.dedup_words(frame(spark, docs), room=1500)) == sorted(words_brute(docs), key=repr)
+    assert rows(suffix_array.dedup_bytes(frame(spark, docs), room=1500)) == sorted(bytes_brute(docs), key=repr)
 
 
 def test_repeats_edges(spark):
     none = frame(spark, EDGE).filter("false")
     assert substring_dedup.dedup_words(none).collect() == [] and suffix_array.dedup_bytes(none).collect() == []
-    twice = frame(spark, [(1, "ab " * 200), (1, "ab " * 200), (2, "cd"), (None, "x " * 60)])
-    rows = substring_dedup.dedup_words(twice).collect()
-    assert len(rows) == 4 and all(r.n_removed == 0 for r in rows)
-    assert {r.n_removed for r in suffix_array.dedup_bytes(twice).filter("doc_id = 1").collect()} == {600}
+    twice = [(1, "ab " * 200), (1, "ab " * 200), (2, "cd"), (None, "x " * 60)]
+    out = substring_dedup.dedup_words(frame(spark, twice)).collect()
+    assert len(out) == 4 and all(r.n_removed == 0 for r in out)
+    assert {r.n_removed for r in suffix_array.dedup_bytes(frame(spark, twice)).filter("doc_id = 1").collect()} == {600}
     long = frame(spark, [EDGE[11], (12, EDGE[11][1])])
     assert by_id(substring_dedup.dedup_words(long))[12][1] == 20_001
 
 
+def some_suffixes(seed, symbols=3, depth=5):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(depth, 3 * depth, 40)
+    body = rng.integers(0, symbols, lengths.sum())
+    ends = np.cumsum(lengths)
+    start = np.concatenate([np.arange(e - n, e - depth + 1) for e, n in zip(ends, lengths, strict=True)])
+    end = np.concatenate([np.full(n - depth + 1, e) for e, n in zip(ends, lengths, strict=True)])
+    return body, start, rng.integers(0, 3, len(start)), end
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_subtree_nodes(seed):
+    """Order, common prefixes and deep nodes of a group's tree, by plain comparison."""
+    depth = 5
+    body, start, prefix, end = some_suffixes(seed)
+    order, shared = substring_dedup.subtree(body, start, prefix, depth, end)
+    assert sorted(order.tolist()) == list(range(len(start)))
+    leaf = [(prefix[i], body[start[i] : end[i]].tolist()) for i in order.tolist()]
+    # ranks of one word follow the words, those of two the pairs, and so on: the order is the words' own
+    assert [(p, x[:depth]) for p, x in leaf] == sorted((p, x[:depth]) for p, x in leaf)
+    for k in range(1, len(leaf)):
+        (p, x), (q, y) = leaf[k - 1 : k + 1]
+        want = next((n for n, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+        assert shared[k] == (want if p == q else -1)
+    sets = {}
+    for n, (p, x) in enumerate(leaf):
+        sets.setdefault((p, tuple(x[:depth])), []).append(n)
+    want = []
+    for at in sets.values():
+        if len(at) > 1:
+            texts = [leaf[n][1] for n in at]
+            common = next((n for n in range(min(map(len, texts))) if len({t[n] for t in texts}) > 1), min(map(len, texts)))
+            want.append((at[0], len(at), common))
+    assert sorted(want) == list(zip(*(c.tolist() for c in substring_dedup.nodes(shared, depth)), strict=True))
+
+
+@pytest.mark.parametrize("depth", [3, 8, 29, 150])
+def test_radix_sort_orders_suffixes(depth):
+    body, start, bucket, _ = some_suffixes(depth, 2, depth)
+    body = np.where(body > 0, 255, 1).astype(np.uint8)
+    start = np.r_[start, start[:9]]  # some stand twice
+    bucket = np.r_[bucket, bucket[:9]]
+    order, new = suffix_array.radix_sort(body, start, bucket, depth)
+    got = [(bucket[i], body[start[i] : start[i] + depth].tobytes()) for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(len(start))) and got == sorted(got)
+    assert new.tolist() == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
+
+
 def test_rewrite(spark):
     docs = corpus()
     out = substring_dedup.rewrite_words(frame(spark, [*docs, (1, None)]))
-    brute = words_brute(docs)
+    brute = {r[0]: r[1:] for r in words_brute(docs)}
     assert out.columns == frame(spark, docs).columns and out.filter("text is null").count() == 1
     for r in out.filter("doc_id > 1").collect():
         assert sha(b" ".join(r.text.encode().split())) == brute[r.doc_id][2]
