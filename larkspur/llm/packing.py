@@ -1,22 +1,26 @@
-"""Best-fit packing of token sequences, bulk-synchronous.
-
-A document's ids are cut into pieces of at most ``capacity`` tokens, and pieces share sequences.
-Pieces are range-sorted by length and ranked within their length by a distributed sweep, so that a
-piece is known by (length, rank). Lengths and gaps are integers up to ``capacity``: all pieces of a
-length, and all gaps of a size, are interchangeable, and a round matches whole runs of them:
-
-* the longest unplaced length looks up the smallest gap that holds it (its successor);
-* conflicts are resolved by rank: ranks r..r+n-1 of that length go to gaps q..q+n-1 of that size;
-* the gaps shrink, and the next round sees them at their new size; where no gap is left, new
-  sequences are opened.
-
-That is exactly best-fit decreasing, but a round costs as many steps as it touches runs, not
-pieces: what the driver holds is one count per length (at most ``capacity``) and the plan's runs,
-whose number is that of lengths, not of pieces. Each piece then finds its run by binary search in
-its own task.
+"""Best-fit packing of token sequences in bulk-synchronous rounds.
+
+A document's ids are cut into pieces of at most ``capacity`` tokens, and pieces share sequences. What is
+left of a sequence is its gap. A round:
+
+1. opens sequences. Pieces longer than every gap fit nowhere; what they need at least by themselves (by their sum, and by
+   how many are longer than half a sequence) is opened as empty gaps.
+2. sorts pieces and gaps together into ranges of size, pieces before gaps of their size.
+3. sweeps each range: its pieces, longest first, each go to the smallest gap of the range that holds them (their
+   successor), and gaps shrink as they are filled. What is left over are gaps below all of the range's waiting pieces.
+4. matches across ranges. Pieces that wait in one range and gaps that are left in a higher one pair up as brackets do:
+   each gap takes the longest pieces that wait below it. The driver pairs whole stretches from two counts for each
+   range; which piece goes to which gap follows from their ranks, in the tasks, and so no two claim the same room.
+   Where the pieces of a range are short, a gap takes as many as surely fit at once.
+5. updates the gaps, and repeats with what still waits. Gaps too small for all that waits leave.
+
+Within one range that is best-fit decreasing; a gap holds at least one more piece after each round in which pieces below
+it wait, so rounds follow the pieces of a sequence, not of the corpus. Nothing but counts reaches the driver: two numbers for each
+range and three for each round.
 
 Defined results: a null or empty text is one piece, the end mark alone; pieces that tie in length
-go by (doc_id, piece); rows that repeat a doc_id are documents of their own; an empty table gives
+go by (doc_id, piece); rows that repeat a doc_id are documents of their own; null doc_ids too; special tokens that stand
+in a text are read as the tokenizer reads them; texts of any length are cut after they are encoded; an empty table gives
 an empty table; only the id and the text are read.
 """
 
@@ -26,10 +30,12 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .common import arrow, drop, durable, read, steps, texts
 
@@ -41,7 +47,6 @@ MEMO = 500_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įıĲ-ſ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SCHEMA = f"{PIECES}, sequence_id long, offset long"
 
 
 class WordTokens:
@@ -51,14 +56,14 @@ class WordTokens:
     other, and a word's are those of its pre-tokens. Both are kept: words in a memo of two
     generations, so that each is worked out about once, and pre-tokens within a step, so that case
     and marks around a word cost no second encoding. Words with other than Latin letters and ASCII
-    marks go to the tokenizer as they are.
+    marks, or with a special token in them, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)  # a vocabulary installed on every executor
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -81,7 +86,7 @@ class WordTokens:
         odd: list[bytes] = []
         for w in missing:
             x = w.decode()
-            if _PLAIN.fullmatch(x):
+            if _PLAIN.fullmatch(x) and not self.special.search(x):
                 split[w] = _PARTS.findall(x.lower())
             else:
                 odd.append(w)
@@ -137,38 +142,32 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     return arrow(texts(docs, id_col, text_col), _pieces, PIECES, path=path, capacity=capacity, end=end)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Best-fit decreasing of ``counts[length]`` pieces, as runs.
+def fill(counts: dict[int, int], sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-fit decreasing of ``counts[length]`` pieces into gaps of these ascending sizes, and the gaps' sizes after it.
 
-    A row (length, rank, n, sequence, each, offset) says: the n pieces of that length from that
-    rank on go to sequences sequence, sequence+1, ..., ``each`` pieces to each, the first at offset.
+    A row (length, rank, n, gap, each, offset) says: the n pieces of that length from that rank on go to the
+    gaps gap, gap+1, ..., ``each`` pieces to each, the first at offset. Pieces that no gap holds have no row.
     """
-    sizes: list[int] = []  # sizes of open gaps, ascending
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs (first sequence, how many)
+    starts = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]][: len(sizes)])
+    gaps = {int(sizes[i]): [(int(i), int(n))] for i, n in zip(starts, np.diff(np.r_[starts, len(sizes)]), strict=True)}
+    known = sorted(gaps)
     rows: list[tuple[int, int, int, int, int, int]] = []
-    opened = 0
 
     def leave(size: int, first: int, many: int) -> None:
         if size > 0 and many > 0:
             if size not in gaps:
-                bisect.insort(sizes, size)
+                bisect.insort(known, size)
                 gaps[size] = []
             gaps[size].append((first, many))
 
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):  # no gap holds it: open sequences for all that is left
-                each = capacity // length
-                size, first, many = capacity, opened, -(-left // each)
-                opened += many
-            else:
-                size = sizes[at]
-                first, many = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size], sizes[at]
-                each = size // length
+        while left and (at := bisect.bisect_left(known, length)) < len(known):
+            size = known[at]
+            first, many = gaps[size].pop()
+            if not gaps[size]:
+                del gaps[size], known[at]
+            each = size // length
             full, rest = divmod(min(left, many * each), each)
             offset = capacity - size
             if full:
@@ -180,53 +179,155 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             leave(size, first + full + bool(rest), many - full - bool(rest))
             rank += full * each + rest
             left -= full * each + rest
-    return np.array(rows, np.int64).reshape(-1, 6)
+    after = np.zeros(len(sizes), np.int64)
+    for size, held in gaps.items():
+        for first, many in held:
+            after[first : first + many] = size
+    return np.array(rows, np.int64).reshape(-1, 6), after
 
 
-def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition and each row's rank among that partition's rows of its length; rows come sorted by length."""
+def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """A range's pieces and gaps, sorted by size, swept once. ``what``: 0 placed, 1 waiting, 2 gap; ``rank`` numbers
+    the range's waiting pieces and the gaps that nothing went to, and is -1 for others."""
     from pyspark import TaskContext
 
-    here, last, passed = TaskContext.get().partitionId(), -1, 0
-    for b in batches:
-        length = b.column("length").to_numpy()
-        if not len(length):
-            continue
-        begins = np.flatnonzero(np.r_[True, length[1:] != length[:-1]])
-        rank = np.arange(len(length)) - np.repeat(begins, np.diff(np.r_[begins, len(length)]))
-        if length[0] == last:
-            rank[: begins[1] if len(begins) > 1 else None] += passed
-        last, passed = length[-1], rank[-1] + 1
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), here)), pa.array(rank)], [*b.schema.names, "part", "rank"])
-
-
-def _place(batches: Iterator[pa.RecordBatch], begin: np.ndarray, first: np.ndarray, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rank among all pieces of the length, then the run that holds it: both by binary search."""
-    key = runs[:, 0] << 40 | runs[:, 1]
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    size, gap = t.column("size").to_numpy(), t.column("gap").to_numpy(zero_copy_only=False)
+    at_piece, at_gap = np.flatnonzero(~gap), np.flatnonzero(gap)
+    length = size[at_piece]
+    begins = np.flatnonzero(np.r_[True, length[1:] != length[:-1]][: len(length)])
+    many = np.diff(np.r_[begins, len(length)])
+    rows, after = fill(dict(zip(length[begins].tolist(), many.tolist(), strict=True)), size[at_gap], capacity)
+    what, rank, offset = np.where(gap, 2, 1), np.full(len(size), -1), np.zeros(len(size), np.int64)
+    sequence = t.column("sequence_id").to_numpy().copy()
+    if len(rows):
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        key = rows[:, 0] << 40 | rows[:, 1]
+        nth = np.arange(len(length)) - np.repeat(begins, many)
+        r = np.searchsorted(key, length << 40 | nth, side="right") - 1
+        run = rows[np.maximum(r, 0)]
+        rest = nth - run[:, 1]
+        fits = (r >= 0) & (run[:, 0] == length) & (rest < run[:, 2])
+        where, run, rest = at_piece[fits], run[fits], rest[fits]
+        what[where] = 0
+        sequence[where] = sequence[at_gap[run[:, 3] + rest // run[:, 4]]]
+        offset[where] = run[:, 5] + rest % run[:, 4] * length[fits]
+    free = at_gap[after == size[at_gap]]
+    waits = np.flatnonzero(what == 1)
+    rank[free], rank[waits] = np.arange(len(free)), np.arange(len(waits))
+    size = size.copy()
+    size[at_gap] = after
+    new = {"size": size, "sequence_id": sequence, "what": what.astype(np.int32), "part": np.full(len(size), TaskContext.get().partitionId()), "rank": rank, "offset": offset}
+    cols = [pa.array(new[c]) if c in new else t.column(c) for c in _SWEPT]
+    yield pa.RecordBatch.from_arrays(cols, list(_SWEPT))
+
+
+_SWEPT = ("doc_id", "piece", "start", "length", "ids_crc32", "size", "sequence_id", "what", "part", "rank", "offset")
+STATE = f"{PIECES}, size long, gap boolean, sequence_id long"
+SWEPT = f"{PIECES}, size long, sequence_id long, what int, part long, rank long, offset long"
+
+
+def brackets(parts: list[tuple[int, int, int, int, int]]) -> np.ndarray:
+    """Stretches of waiting pieces and of gaps that pair up across ranges.
+
+    ``parts``: for each range in order (range, free gaps, their smallest size, waiting pieces, their largest size); the gaps of a
+    range lie below its waiting pieces. A row (gaps' range, first gap, range of pieces, first piece, pieces, each,
+    number) says: these pieces, the last of them first, go ``each`` to a gap from the first gap on; gaps are numbered from ``number``.
+    """
+    rows, waiting, number = [], [], 0
+    for part, free, least, pieces, largest in parts:
+        first = 0
+        while free and waiting:
+            of, left, longest = waiting[-1]
+            each = max(1, least // longest)
+            taken = min(left, free * each)
+            gaps = -(-taken // each)
+            rows.append((part, first, of, left - taken, taken, each, number))
+            number, first, free = number + gaps, first + gaps, free - gaps
+            if taken == left:
+                waiting.pop()
+            else:
+                waiting[-1] = of, left - taken, longest
+        if pieces:
+            waiting.append((part, pieces, largest))
+    return np.array(rows, np.int64).reshape(-1, 7)
+
+
+def _pair(batches: Iterator[pa.RecordBatch], rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds the number of the gap that a waiting piece or a free gap pairs up in (-1: none), and a piece's turn in it."""
+    by_gap = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    by_piece = rows[np.lexsort((rows[:, 3], rows[:, 2]))]
     for b in batches:
-        length = b.column("length").to_numpy()
-        rank = b.column("rank").to_numpy() + first[np.searchsorted(begin, b.column("part").to_numpy() << 32 | length)]
-        r = runs[np.searchsorted(key, length << 40 | rank, side="right") - 1]
-        at = rank - r[:, 1]
-        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(r[:, 3] + at // r[:, 4]), pa.array(r[:, 5] + at % r[:, 4] * length)], [*b.schema.names[:5], "sequence_id", "offset"])
+        what, part, rank = (b.column(c).to_numpy() for c in ("what", "part", "rank"))
+        pair, turn = np.full(len(what), -1), np.zeros(len(what), np.int64)
+        for kind, table, p, r in ((2, by_gap, 0, 1), (1, by_piece, 2, 3)):
+            at = np.flatnonzero((what == kind) & (rank >= 0))
+            k = np.searchsorted(table[:, p] << 40 | table[:, r], part[at] << 40 | rank[at], side="right") - 1
+            row = table[np.maximum(k, 0)]
+            nth = rank[at] - row[:, r]
+            inside = (k >= 0) & (row[:, p] == part[at]) & (nth < (-(-row[:, 4] // row[:, 5]) if kind == 2 else row[:, 4]))
+            at, row, nth = at[inside], row[inside], nth[inside]
+            if kind == 2:
+                pair[at] = row[:, 6] + nth
+            else:
+                back = row[:, 4] - 1 - nth
+                pair[at], turn[at] = row[:, 6] + back // row[:, 5], back % row[:, 5]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pair), pa.array(turn)], [*b.schema.names, "pair", "turn"])
+
+
+def _round(pieces: DataFrame, gaps: DataFrame | None, opened: int, capacity: int) -> tuple[list[DataFrame], DataFrame, DataFrame, int, bool]:
+    """(what is placed, what waits, gaps, sequences opened so far, whether anything waits)."""
+    spark = pieces.sparkSession
+    largest = (gaps.agg(F.max("size")).first()[0] or 0) if gaps is not None else 0
+    unfit = F.col("length") > largest
+    total, tall = pieces.agg(F.sum(F.when(unfit, F.col("length"))), F.sum(F.when(unfit & (2 * F.col("length") > capacity), 1))).first()
+    more = max(-(-(total or 0) // capacity), tall or 0)
+    own = pieces.select(*_SWEPT[:5], F.col("length").alias("size"), F.lit(False).alias("gap"), F.lit(-1).cast("long").alias("sequence_id"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PIECES.split(", "))]
+    # opened sequences are counted off, not listed on the driver
+    fresh = spark.range(opened, opened + more).select(*none, F.lit(capacity).cast("long").alias("size"), F.lit(True).alias("gap"), F.col("id").alias("sequence_id"))
+    state = own.unionByName(fresh)
+    if gaps is not None:
+        state = state.unionByName(gaps.select(*none, "size", F.lit(True).alias("gap"), "sequence_id"))
+    swept = durable(arrow(state.orderBy("size", "gap", "doc_id", "piece", "sequence_id"), _sweep, SWEPT, capacity=capacity))
+    done = [swept.filter("what = 0")]
+    tally: dict[int, list[int]] = {}
+    for r in swept.filter("rank >= 0").groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).collect():
+        at = tally.setdefault(r.part, [r.part, 0, 0, 0, 0])
+        at[1 if r.what == 2 else 3], at[2 if r.what == 2 else 4] = r.n, r.lo if r.what == 2 else r.hi
+    waits, left = swept.filter("what = 1"), swept.filter("what = 2")
+    rows = brackets([tuple(tally[k]) for k in sorted(tally)])
+    if len(rows):
+        paired = durable(arrow(swept.filter("what > 0"), _pair, f"{SWEPT}, pair long, turn long", rows=rows))
+        room = paired.filter("what = 2").select("pair", F.col("size").alias("room"), F.col("sequence_id").alias("sequence"))
+        # at most ``capacity`` pieces go to a gap
+        before = F.sum("length").over(Window.partitionBy("pair").orderBy("turn"))
+        met = durable(paired.filter("what = 1 and pair >= 0").withColumn("until", before).join(room.filter("pair >= 0"), "pair"))
+        done.append(met.withColumn("sequence_id", F.col("sequence")).withColumn("offset", capacity - F.col("room") + F.col("until") - F.col("length")))
+        used = met.groupBy("sequence").agg(F.sum("length").alias("used"))
+        waits = paired.filter("what = 1 and pair < 0")
+        left = paired.filter("what = 2").join(used, F.col("sequence_id") == F.col("sequence"), "left").withColumn("size", F.col("size") - F.coalesce("used", F.lit(0)))
+    waits = durable(waits.select(*_SWEPT[:5]))
+    shortest = waits.agg(F.min("length")).first()[0]
+    left = durable(left.select("size", "sequence_id").filter(F.col("size") >= shortest)) if shortest else left
+    return [x.select(*_SWEPT[:5], "sequence_id", "offset") for x in done], waits, left, opened + more, bool(shortest)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` from 1 to ``capacity``."""
-    n = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pieces = durable(pieces)  # texts are tokenised once, though the range sort reads its input twice
-    ranged = durable(arrow(pieces.repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece"), _rank, f"{PIECES}, part long, rank long"))
-    drop(pieces)
-    # a range partition holds a few neighbouring lengths: there are about as many rows as lengths and partitions
-    tally = sorted((part, length, many) for part, length, many in ranged.groupBy("part", "length").count().collect())
-    counts: dict[int, int] = {}
-    first = []
-    for _, length, many in tally:
-        first.append(counts.get(length, 0))
-        counts[length] = first[-1] + many
-    runs = plan(counts, capacity)
-    runs = runs[np.argsort(runs[:, 0] << 40 | runs[:, 1])]
-    return arrow(ranged, _place, SCHEMA, begin=np.array([p << 32 | s for p, s, _ in tally], np.int64), first=np.array(first, np.int64), runs=runs)
+    waits, gaps, opened, more = durable(pieces), None, 0, True  # texts are tokenised once, though a range sort reads its input twice
+    done: list[DataFrame] = []
+    while more:
+        before = waits, gaps
+        placed, waits, gaps, opened, more = _round(waits, gaps, opened, capacity)
+        done += placed
+        for t in before:
+            if t is not None:
+                drop(t)
+    return reduce(DataFrame.unionByName, done)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,27 +110,18 @@ def test_bpe_over_documents(spark, peer):
 
 @pytest.fixture(scope="module")
 def reference():
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
 
 
 def test_word_tokens_equal_library(reference):
     own = packing.WordTokens(P.path("word_bpe_49k.json"))
-    texts = [t or "" for _, t in [*EDGE, *corpus(20)]] + ["Σ aΣ É É <|endoftext|> it's ß×÷İŉ ２\x1c3\x85\xa0x"]
+    texts = [t or "" for _, t in [*EDGE, *corpus(20)]] + ["Σ aΣ É É <|endoftext|> it's ß×÷İŉ ２\x1c3\x85\xa0x", "a<|endoftext|>b <|startoftext|><|ENDOFTEXT|> <|endoftext|", "é<|endoftext|>É <|startoftext|>."]
     for t, got in zip(texts, own.encode(texts), strict=True):
         assert list(np.frombuffer(got, "<u4")) == reference.encode(t, add_special_tokens=False).ids
 
 
-def test_packing(spark, reference):
-    docs = [*EDGE, *corpus(40), (500, "word " * 9000)]
-    rows = packing.pack(packing.token_pieces(frame(spark, docs), P.path("word_bpe_49k.json"))).collect()
-    want = {}
-    for i, t in docs:
-        ids = np.array([*reference.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-        for k, at in enumerate(range(0, len(ids), 4096)):
-            want[i, k] = (at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes()))
-    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+def check_places(rows, capacity=4096):
+    """Sequences are filled from 0 without gaps or overlaps; returns how many there are."""
     used = {}
     for r in rows:
         used.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -139,14 +130,25 @@ def test_packing(spark, reference):
         for at, n in sorted(parts):
             assert at == ends
             ends += n
-        assert ends <= 4096
+        assert ends <= capacity
+    return len(used)
+
+
+def test_packing(spark, reference):
+    docs = [*EDGE, *corpus(40), (500, "word " * 9000), (500, "word " * 9000), (None, "none"), (501, "stop<|endoftext|>here <|startoftext|>")]
+    rows = packing.pack(packing.token_pieces(frame(spark, docs), P.path("word_bpe_49k.json"))).collect()
+    want = []
+    for i, t in docs:
+        ids = np.array([*reference.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=repr) == sorted(want, key=repr)
+    check_places(rows)
     empty = packing.pack(packing.token_pieces(frame(spark, docs).filter("false"), P.path("word_bpe_49k.json")))
     assert empty.collect() == []
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=80))
-def test_plan_is_best_fit_decreasing(lengths):
+def best_fit(lengths, capacity):
+    """Sequences of best-fit decreasing, piece by piece."""
     gaps: list[int] = []
     for n in sorted(lengths, reverse=True):
         fits = [g for g in gaps if g >= n]
@@ -154,11 +156,62 @@ def test_plan_is_best_fit_decreasing(lengths):
             gaps.remove(min(fits))
             gaps.append(min(fits) - n)
         else:
-            gaps.append(40 - n)
-    counts = {n: lengths.count(n) for n in lengths}
-    runs = packing.plan(counts, 40)
-    assert (max((r[3] + -(-r[2] // r[4]) for r in runs.tolist()), default=0)) == len(gaps)
-    assert sum(r[2] for r in runs.tolist()) == len(lengths)
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+LENGTHS = {
+    "equal": [1] * 3000, "long": list(range(2049, 2400)) + list(range(1500, 1800)), "mixed": [1 + (k * k * 7919) % 900 for k in range(1500)] + [4096] * 5 + [2048] * 31,
+    "skewed": [int(4096 / (k % 97 + 1)) for k in range(1500)], "one": [17], "just over": [1366] * 300 + [1400] * 50,
+}
+
+
+@pytest.mark.parametrize("ranges", [True, False], ids=["many ranges", "one range"])
+@pytest.mark.parametrize("lengths", LENGTHS.values(), ids=LENGTHS)
+def test_packing_rounds(spark, lengths, ranges):
+    """As many sequences as best-fit decreasing needs, or a twentieth more, over many ranges and in one."""
+    pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not ranges).lower())
+    try:
+        rows = packing.pack(pieces).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    used, least = check_places(rows), best_fit(lengths, 4096)
+    assert used <= (1.05 * least + 1 if ranges else least)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=80), st.lists(st.integers(1, 40), max_size=20))
+def test_fill_is_best_fit_decreasing(lengths, sizes):
+    gaps, placed = sorted(sizes), 0
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - n)
+            placed += n
+    rows, after = packing.fill({n: lengths.count(n) for n in lengths}, np.sort(np.array(sizes, np.int64)), 40)
+    assert sorted(after.tolist()) == sorted(gaps) and sum(r[0] * r[2] for r in rows.tolist()) == placed
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9)), max_size=8))
+def test_brackets_pair_gaps_with_pieces_below(counts):
+    """Each piece and gap at most once, pieces lower than their gap, and as many gaps used as pairs of brackets."""
+    parts = [(k, free, 10 * k + 1, pieces, 10 * k + 5) for k, (free, pieces) in enumerate(counts)]
+    gaps, pieces = set(), set()
+    for part, first, of, low, n, each, _ in packing.brackets(parts).tolist():
+        assert of < part and each * (10 * of + 5) <= max(10 * part + 1, 10 * of + 5)
+        for g in range(first, first - (-n // each)):
+            assert g < counts[part][0] and (part, g) not in gaps
+            gaps.add((part, g))
+        for p in range(low, low + n):
+            assert p < counts[of][1] and (of, p) not in pieces
+            pieces.add((of, p))
+    for k, (free, _) in enumerate(counts):  # a gap stays free only if nothing below it waits
+        if any((k, g) not in gaps for g in range(free)):
+            assert all((j, p) in pieces for j in range(k) for p in range(counts[j][1]))
 
 
 SECRETS = [re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
