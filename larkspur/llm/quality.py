@@ -5,30 +5,31 @@ document's evidence (log-odds without the training prior). Where documents come
 too: each host's and each path's share of good documents is estimated from all its documents by
 grouped aggregation, and shrunk, a path's towards its host's and a host's towards the corpus', by
 as much as the spread between groups warrants (method of moments): sparse sites fall back on the
-prior, and large ones speak for themselves. The posterior adds a document's evidence to its path's
-prior; a document is kept if it is good more likely than not.
+prior, and large ones speak for themselves. A document's own share is left out of its groups, so that its evidence
+counts once. The posterior adds that evidence to its path's prior; a document is kept if it is good more likely than not.
 
-Defined results: a null or empty text has the statistics of no words and is judged like any other;
-null hosts and paths are groups of their own; rows that repeat a doc_id are each judged, and
-``keep_good`` drops a doc_id if one of its rows is rejected; without labelled documents of both
+Defined results: a null or empty text has the statistics of no words and is judged like any other; a text of any length is
+read whole, in time that grows with it; null hosts and paths are groups of their own; rows that repeat a doc_id are each judged, and
+``keep_good`` drops a doc_id if one of its rows is rejected; a doc_id labelled twice is good if one of its labels says so, and
+rows that share a labelled doc_id all count; a posterior of exactly one half is kept; without labelled documents of both
 kinds there is no evidence, and all documents are kept; an empty table gives an empty table; other
-columns are not read, and kept by ``keep_good``.
+columns are not read, and kept, whatever their names, by ``keep_good``.
 """
 
 from __future__ import annotations
 
 import operator
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, fresh, read, steps, texts
+from .common import arrow, durable, fresh, read
 
-#: Labelled documents, at most, that the model is fitted on: those with the smallest hashes of doc_id.
+#: Labelled rows, at most, that the model is fitted on: those with the smallest hashes of doc_id.
 TRAIN = 20_000
 #: Weight of the penalty on the model's coefficients.
 RIDGE = 1.0
@@ -67,8 +68,7 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-@dataclass(frozen=True)
-class Model:
+class Model(NamedTuple):
     """Logistic regression over standardised statistics; ``prior`` is the training rows' log-odds."""
 
     mean: np.ndarray
@@ -77,8 +77,10 @@ class Model:
     bias: float
     prior: float
 
-    def evidence(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias - self.prior, -30, 30)
+
+def evidence(model: tuple, x: np.ndarray) -> np.ndarray:
+    mean, scale, weights, bias, prior = model
+    return np.clip(np.clip((x - mean) / scale, -8, 8) @ weights + bias - prior, -30, 30)
 
 
 def fit(x: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> Model | None:
@@ -100,24 +102,25 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> Model | None:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, found in steps(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([statistics(x) for x in found], pa.list_(pa.float64()))], ["doc_id", "x"])
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good"), pa.array([statistics(x) for x in b.column("text").to_pylist()], pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
 
-def _evidence(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+def _evidence(batches: Iterator[pa.RecordBatch], model: tuple | None) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            e = model.evidence(np.array([statistics(x) for x in b.column("text").to_pylist()])) if model else np.zeros(b.num_rows)
+            e = evidence(model, np.array([statistics(x) for x in b.column("text").to_pylist()])) if model else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), b.column("path"), pa.array(e)], ["doc_id", "host", "path", "evidence"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> tuple[Model | None, float]:
     """The model, and the labelled share of good documents (0.5 if none is labelled)."""
-    some = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("good"))
+    some = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("long").alias("good"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     held = docs.join(F.broadcast(some), "doc_id")  # at most ``rows`` short rows
-    x = arrow(held.select("doc_id", "text"), _statistics, "doc_id long, x array<double>")
-    got = x.join(F.broadcast(some), "doc_id").orderBy("doc_id", "good", "x").collect()
+    x = arrow(held.select("doc_id", "good", "text"), _statistics, "doc_id long, good long, x array<double>")
+    # rows that repeat a labelled doc_id are more than the labels: the bound holds here
+    got = x.orderBy(F.xxhash64("doc_id"), "doc_id", "good", "x").limit(rows).collect()
     if not got:
         return None, 0.5
     good = np.array([bool(r["good"]) for r in got])
@@ -129,7 +132,7 @@ def _logit(p: Column) -> Column:
 
 
 def _strength(groups: DataFrame, prior: str) -> float:
-    """How many documents a group's prior weighs, from the spread of group means around their priors (bounded)."""
+    """How many documents a group's prior weighs, from the spread of group means around their priors (bounded); groups have n and total."""
     p, n = F.col("total") / F.col("n"), F.col("n")
     noise = F.sum(F.col(prior) * (1 - F.col(prior)))
     row = groups.agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(n * (p - F.col(prior)) ** 2).alias("spread"), noise.alias("noise"), F.sum(n * F.col(prior) * (1 - F.col(prior))).alias("unit")).first()
@@ -147,26 +150,33 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"),
     )
     model, share = train(bare.select("doc_id", "text"), labels, rows)
-    scored = durable(arrow(bare, _evidence, "doc_id long, host string, path string, evidence double", model=model))
-    base = float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3))))
     # a document's own share of goodness, in millionths so that sums don't depend on their order
-    good = F.round(1e6 / (1 + F.exp(-(F.col("evidence") + base)))).cast("long")
-    paths = durable(scored.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(good)).alias("total")).select("host", "path", "n", (F.col("total") / 1e6).alias("total")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    whole = paths.agg(F.sum("n"), F.sum("total")).first()
-    prior = min(max(whole[1] / whole[0], 1e-3), 1 - 1e-3) if whole[0] else 0.5
-    hosts = hosts.withColumn("up", F.lit(prior))
-    k = _strength(hosts, "up")
-    hosts = hosts.select("host", ((F.col("total") + k * prior) / (F.col("n") + k)).alias("host_prior"))
+    base = float(np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3))))
+    own = F.round(1e6 / (1 + F.exp(-(F.col("evidence") + base)))).cast("long").alias("own")
+    scored = durable(arrow(bare, _evidence, "doc_id long, host string, path string, evidence double", model=model and tuple(model)).select("*", own))
+    paths = durable(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("own").alias("sum")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("sum").alias("host_sum"))
+    many, total = paths.agg(F.sum("n"), F.sum("sum")).first()
+    prior = _bounded(total / 1e6 / many) if many else 0.5
+    k_host = _strength(hosts.select(F.col("host_n").alias("n"), (F.col("host_sum") / 1e6).alias("total"), F.lit(prior).alias("up")), "up")
     paths = paths.join(hosts, "host")
-    k = _strength(paths, "host_prior")
-    paths = paths.select("host", "path", "host_prior", ((F.col("total") + k * F.col("host_prior")) / (F.col("n") + k)).alias("path_prior"))
+    up = (F.col("host_sum") / 1e6 + k_host * prior) / (F.col("host_n") + k_host)
+    k_path = _strength(paths.select("n", (F.col("sum") / 1e6).alias("total"), up.alias("up")), "up")
+    # each group's prior as it is without the document itself
+    rest = F.lit(_bounded(prior)) if (many or 0) < 2 else (F.lit(total) - F.col("own")) / 1e6 / (many - 1)
+    host_prior = ((F.col("host_sum") - F.col("own")) / 1e6 + k_host * rest) / (F.col("host_n") - 1 + k_host)
+    path_prior = ((F.col("sum") - F.col("own")) / 1e6 + k_path * host_prior) / (F.col("n") - 1 + k_path)
+    out = scored.join(paths, ["host", "path"]).select("doc_id", "evidence", host_prior.alias("host_prior"), path_prior.alias("path_prior"))
     bound = F.least(F.greatest("path_prior", F.lit(1e-3)), F.lit(1 - 1e-3))
-    out = scored.join(paths, ["host", "path"]).withColumn("quality", 1 / (1 + F.exp(-(F.col("evidence") + _logit(bound)))))
+    out = out.withColumn("quality", 1 / (1 + F.exp(-(F.col("evidence") + _logit(bound)))))
     kept = F.lit(True) if model is None else F.col("quality") >= 0.5
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "host_prior", "path_prior", "quality")], kept.alias("kept"))
 
 
+def _bounded(p: float) -> float:
+    return min(max(p, 1e-3), 1 - 1e-3)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows that are not rejected, with all columns; rows without a doc_id stay."""
     name = fresh(docs, "rejected_id")

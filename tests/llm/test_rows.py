@@ -12,6 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from larkspur.llm import byte_bpe, packing, pii, quality, secrets, trigrams
 
 from .helpers import EDGE, by_id, corpus, frame, sha
@@ -293,6 +295,73 @@ def labelled():
     return rows
 
 
+def plain_strength(groups):
+    """``groups``: (documents, sum of goodness, prior) of each group."""
+    if len(groups) < 3:
+        return 1e6 if len(groups) == 1 else 100.0
+    n = sum(g[0] for g in groups)
+    spread = sum(k * (t / k - p) ** 2 for k, t, p in groups)
+    between = (spread - sum(p * (1 - p) for _, _, p in groups)) / n
+    within = sum(k * p * (1 - p) for k, _, p in groups) / n
+    return min(max(within / between - 1 if between > 0 else 1e6, 1.0), 1e6)
+
+
+def plain_posterior(rows, evidence, share):
+    """(host prior, path prior, quality) of each of ``rows`` (host, path), groups gathered anew for each."""
+    import math
+
+    own = [round(1e6 / (1 + math.exp(-(e + math.log(share / (1 - share)))))) / 1e6 for e in evidence]
+
+    def group(key):
+        out = {}
+        for r, g in zip(rows, own, strict=True):
+            n, t = out.get(key(r), (0, 0))
+            out[key(r)] = n + 1, t + g
+        return out
+
+    hosts, paths, prior = group(lambda r: r[0]), group(lambda r: r), sum(own) / len(own)
+    k_host = plain_strength([(n, t, prior) for n, t in hosts.values()])
+    k_path = plain_strength([(n, t, (hosts[h][1] + k_host * prior) / (hosts[h][0] + k_host)) for (h, _), (n, t) in paths.items()])
+    out = []
+    for k, (r, g, e) in enumerate(zip(rows, own, evidence, strict=True)):
+        others = [(x, y) for j, (x, y) in enumerate(zip(rows, own, strict=True)) if j != k]
+        corpus = sum(y for _, y in others) / len(others)
+        near = [y for x, y in others if x[0] == r[0]]
+        host = (sum(near) + k_host * corpus) / (len(near) + k_host)
+        near = [y for x, y in others if x == r]
+        path = (sum(near) + k_path * host) / (len(near) + k_path)
+        p = min(max(path, 1e-3), 1 - 1e-3)
+        out.append((host, path, 1 / (1 + math.exp(-(e + math.log(p / (1 - p)))))))
+    return out
+
+
+def test_quality_posterior_equals_plain_one(spark):
+    rows = [(*r[:2], f"host{r[0] % 7 if r[0] % 11 else 90 + r[0]}", "en" if r[0] % 3 else "de", r[4] if r[0] % 7 else 0) for r in labelled()] + [(1, "Some words. " * 20, "host1", "en", 1), (None, None, "host1", "en", 1)]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[0] and r[0] % 2], "doc_id long, quality int")
+    model, share = quality.train(docs.selectExpr("doc_id", "coalesce(text, '') as text"), labels)
+    evidence = quality.evidence(model, np.array([quality.statistics(r[1] or "") for r in rows]))
+    want = plain_posterior([r[2:4] for r in rows], evidence.tolist(), share)
+    got = sorted(tuple(r) for r in quality.classify(docs, labels).select(F.coalesce("doc_id", F.lit(-1)), "evidence", "host_prior", "path_prior", "quality", "kept").collect())
+    plain = sorted((-1 if r[0] is None else r[0], e, *w, w[2] >= 0.5) for r, e, w in zip(rows, evidence, want, strict=True))
+    for a, b in zip(got, plain, strict=True):
+        assert a[0] == b[0] and a[1:5] == pytest.approx(b[1:5], abs=2e-6) and (a[5] == b[5] or abs(b[4] - 0.5) < 1e-5)
+
+
+def test_quality_training_is_bounded(spark):
+    rows = [(i % 50, f"text {i}", int(i % 2)) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 2, "doc_id long, quality int")
+    seen = []
+    held, quality.fit = quality.fit, lambda x, good: seen.append(len(x))
+    try:
+        quality.train(docs, labels, 5)
+        quality.train(docs, labels, 100_000)
+    finally:
+        quality.fit = held
+    assert seen == [5, 900]
+
+
 def test_quality_on_held_out_rows(spark):
     rows = labelled()
     docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
