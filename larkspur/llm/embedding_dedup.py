@@ -138,7 +138,7 @@ def spread(points: np.ndarray, apart: float = APART) -> np.ndarray:
 def links(classes: DataFrame, cosine: float = COSINE, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """(u, v, links) over classes (label, cid, n, embedding): forest rows with links 0, and rows u = v with a class's links."""
     spark = classes.sparkSession
-    pivots = sample(classes, pivot_count(classes.count()), by="cid") if classes.limit(1).count() else np.empty((0, 0))
+    pivots = sample(classes, pivot_count(classes.count()), by=("cid",)) if classes.limit(1).count() else np.empty((0, 0))
     if not len(pivots):
         return spark.createDataFrame([], OUT)
     pivots = spread(pivots / np.linalg.norm(pivots, axis=1, keepdims=True))

@@ -24,10 +24,10 @@ def padded(rows: list, width: int = 0) -> np.ndarray:
     return out
 
 
-def sample(vectors: DataFrame, rows: int, col: str = "embedding", by: str = "vec_id") -> np.ndarray:
+def sample(vectors: DataFrame, rows: int, col: str = "embedding", by: tuple[str, ...] = ("vec_id",), width: int = 0) -> np.ndarray:
     """At most ``rows`` vectors, those with the smallest hashes of ``by``; a bounded read whatever the table's size."""
-    got = vectors.select(F.xxhash64(by).alias("o"), col).orderBy("o").limit(rows).collect()
-    return padded([r[1] for r in got])
+    got = vectors.select(F.xxhash64(*by).alias("o"), col).orderBy("o").limit(rows).collect()
+    return padded([r[1] for r in got], width)
 
 
 def matrix(column: pa.Array, width: int = 0) -> np.ndarray:

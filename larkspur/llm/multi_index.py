@@ -1,27 +1,27 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-A vector's two halves are quantised separately, each to one of ``CENTRES`` centroids fitted on a
+A vector's two halves are quantised separately, each to one of ``centres`` centroids fitted on a
 bounded sample; a pair of centroids is a cell, and an inverted list per cell holds its vectors. A
 query walks through cells by the summed distance of its halves to their centroids, with a heap (the
 next cell is always one step along either half from a cell already taken), until the lists hold
 enough vectors, and ranks those by their exact inner product.
 
-The lists are divided by document, not by cell: a shard holds some of every list, so a cell with a
-third of all vectors is spread over all shards, and a shard has about ``SHARD`` vectors whatever
-the data. Queries with the cells they take are sent to each shard, and each shard returns the best
-it has. How many vectors a query takes is a share of all, fitted on the sample so that the sample's
-own neighbours are found with ``RECALL``.
-
-Defined results: vectors that are null, zero, of another length than most of the sample, or with a
-null or non-finite component take no part, neither do null ids; of rows that repeat a vec_id one
-counts, the smallest vector; ties go to the smaller vec_id; fewer candidates than asked for are all
-returned; an empty table gives an empty table; other columns are not read.
+Lists are stored in shards of about ``SHARD`` vectors: cells in the order of their centroids fill one shard after
+the other, and a cell larger than a shard is divided over several by a hash. A query goes only to the shards
+that hold cells it takes, and each shard returns the best it has. How many vectors a query takes is a share of
+all, fitted on the sample so that the sample's own neighbours are found with ``RECALL``; the number of centroids follows
+the number of vectors. What is sent is thus (queries) x (shards that their cells are in): few where vectors
+cluster, up to all where they point everywhere alike.
+
+Defined results: vectors that are null, zero, or with a null or non-finite component take no part, neither do null ids;
+a shorter vector is as if filled up with zeros; rows that repeat a vec_id are queries and candidates of their own, each with its own
+rank 1, 2, ...; ties go to the smaller vec_id; fewer candidates than asked for are all returned; products are in double
+precision of the column's own values; an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, gathered, read
+from .common import arrow, drop, durable, gathered, read
 from .embeddings import matrix, sample, usable
+from .repeats import mix
 
 NEAREST = 20
-CENTRES = 64
+#: Centroids of a half: as many as give cells of about 64 vectors, within these bounds.
+FEWEST, MOST = 16, 256
 #: Vectors, at most, that centroids and the share are fitted on.
 SAMPLE = 8192
+#: Queries of the sample that the share is fitted on.
+ASKED = 256
 RECALL = 0.97
 SHARD = 4096
-#: A query takes at least so many vectors.
-LEAST = 2000
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -94,36 +96,85 @@ class Cells:
         return out
 
 
-def fit(x: np.ndarray, centres: int = CENTRES, recall: float = RECALL, nearest: int = NEAREST) -> tuple[Cells, float]:
+def centre_count(vectors: int) -> int:
+    k = FEWEST
+    while k * k * 64 < vectors and k < MOST:
+        k *= 2
+    return k
+
+
+def fit(x: np.ndarray, centres: int, recall: float = RECALL, nearest: int = NEAREST) -> tuple[Cells, float]:
     """Centroids, and the share of vectors to take so that the sample's nearest are found with ``recall``."""
     half = max(1, x.shape[1] // 2)
-    cells = Cells(centroids(x[:, :half], centres), centroids(x[:, half:], centres))
-    asked = x[:: max(1, len(x) // 128)][:128]
-    a, b = cells.far(asked)
+    cells = Cells(*(inorder(centroids(y, min(centres, max(1, len(x) // 8)))) for y in (x[:, :half], x[:, half:])))
+    asked = np.arange(0, len(x), max(1, len(x) // ASKED))[:ASKED]
+    a, b = cells.far(x[asked])
     at = cells.of(x)
     far = a[:, at // len(cells.right)] + b[:, at % len(cells.right)]
-    place = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1)
-    k = min(nearest + 1, len(x))
-    best = np.argpartition(-(asked @ x.T), k - 1, axis=1)[:, :k]
-    return cells, float(min(1.0, (np.quantile(np.take_along_axis(place, best, 1), recall) + 1) / len(x)))
-
-
-def _cells(batches: Iterator[pa.RecordBatch], cells: Cells, width: int) -> Iterator[pa.RecordBatch]:
+    # the vectors of a cell are taken together: as many as are in cells not farther than the one sought
+    sorted_far = np.sort(far, axis=1)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf  # a vector isn't its own neighbour
+    k = min(nearest, max(len(x) - 1, 1))
+    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    need = np.concatenate([np.searchsorted(s, f[b], side="right") for s, f, b in zip(sorted_far, far, best, strict=True)])
+    return cells, float(min(1.0, (np.quantile(need, recall) + 1) / len(x)))
+
+
+def inorder(c: np.ndarray) -> np.ndarray:
+    """Centroids along their main direction, so that neighbours in number are neighbours in space."""
+    if len(c) < 3 or not c.shape[1]:
+        return c
+    centred = c - c.mean(0)
+    return c[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
+
+
+def shards_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first shard and how many it is divided over; shards hold about ``size``, and at most twice that."""
+    first, many = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    shard = held = 0
+    for cell, n in enumerate(counts.tolist()):
+        if n > size:  # shards of its own
+            shard += held > 0
+            first[cell], many[cell] = shard, -(-n // size)
+            shard, held = shard + int(many[cell]), 0
+            continue
+        if held + n > 2 * size or held >= size:
+            shard, held = shard + 1, 0
+        first[cell] = shard
+        held += n
+    return first, many
+
+
+def _cells(batches: Iterator[pa.RecordBatch], left: np.ndarray, right: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    cells = Cells(left, right)
     for b in gathered(batches, 4000):
         yield b.append_column("cell", pa.array(cells.of(matrix(b.column("embedding"), width)).astype(np.int32)))
 
 
-def _walks(batches: Iterator[pa.RecordBatch], cells: Cells, width: int, enough: int) -> Iterator[pa.RecordBatch]:
-    """Each query with its cells as a bit for each."""
+def _stored(batches: Iterator[pa.RecordBatch], first: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each vector with its shard; rows are numbered, so the remainder of their number divides a large cell evenly."""
+    for b in batches:
+        if b.num_rows:
+            cell, row = b.column("cell").to_numpy(), b.column("row").to_numpy()
+            yield b.append_column("shard", pa.array(first[cell] + mix(row.view(np.uint64)).astype(np.int64) % many[cell]))
+
+
+def _walks(batches: Iterator[pa.RecordBatch], left: np.ndarray, right: np.ndarray, counts: np.ndarray, first: np.ndarray, many: np.ndarray, width: int, enough: int) -> Iterator[pa.RecordBatch]:
+    """Each query with its cells as a bit for each, and the shards that hold some of them."""
+    cells = Cells(left, right, counts.tolist())
     for b in batches:
         if b.num_rows:
             a, c = cells.far(matrix(b.column("embedding"), width))
-            bits = []
+            bits, shards = [], []
             for x, y in zip(a, c, strict=True):
-                flags = np.zeros(len(cells.left) * len(cells.right), bool)
-                flags[cells.walk(x, y, enough)] = True
+                taken = np.array(cells.walk(x, y, enough), np.int64)
+                flags = np.zeros(len(counts), bool)
+                flags[taken] = True
                 bits.append(np.packbits(flags).tobytes())
-            yield b.append_column("cells", pa.array(bits, pa.binary()))
+                n = many[taken]
+                shards.append(np.unique(np.repeat(first[taken] - (np.cumsum(n) - n), n) + np.arange(n.sum())))
+            yield b.append_column("cells", pa.array(bits, pa.binary())).append_column("shards", pa.array(shards, pa.list_(pa.int64())))
 
 
 def _search(batches: Iterator[pa.RecordBatch], nearest: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -146,12 +197,12 @@ def _search(batches: Iterator[pa.RecordBatch], nearest: int, width: int) -> Iter
                     continue
                 t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 order = np.lexsort((t.column("vec_id").to_numpy(), t.column("cell").to_numpy()))
-                lists = t.column("vec_id").to_numpy()[order], matrix(t.column("embedding"), width)[order], t.column("cell").to_numpy()[order]
-            ids, x, cell = lists
+                lists = *(t.column(c).to_numpy()[order] for c in ("row", "vec_id", "cell")), matrix(t.column("embedding"), width)[order]
+            rows, ids, cell, x = lists
             asked = matrix(part.column("embedding"), width)
-            q_ids, v_ids, scores = [], [], []
-            for q, y, bits in zip(part.column("vec_id").to_pylist(), asked, part.column("cells").to_pylist(), strict=True):
-                taken = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[cell] & (ids != q))
+            found = []
+            for q, i_, y, bits in zip(part.column("row").to_pylist(), part.column("vec_id").to_pylist(), asked, part.column("cells").to_pylist(), strict=True):
+                taken = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[cell] & (rows != q))
                 if not len(taken):
                     continue
                 rough = x[taken] @ y
@@ -159,38 +210,40 @@ def _search(batches: Iterator[pa.RecordBatch], nearest: int, width: int) -> Iter
                     taken = taken[rough >= np.partition(rough, -nearest)[-nearest] - 1e-9 * (1 + np.abs(rough).max())]
                 score = (x[taken] * y).sum(axis=1)
                 best = np.lexsort((ids[taken], -score))[:nearest]
-                q_ids.append(np.full(len(best), q))
-                v_ids.append(ids[taken][best])
-                scores.append(score[best])
-            if q_ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (q_ids, v_ids, scores)], ["query_id", "vec_id", "score"])
+                found.append((np.full(len(best), q), np.full(len(best), i_), ids[taken][best], score[best]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query", "query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, share: float | None = None, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the nearest other rows found."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable())
-    rows = durable(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    sizes = Counter(r[0] for r in rows.select(F.size("embedding")).limit(SAMPLE).collect())
-    if not sizes:
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable())
+    rows = durable(rows.select(F.monotonically_increasing_id().alias("row"), "*"))  # numbers are stored, so they stay
+    kind = rows.schema["embedding"].dataType.simpleString()
+    total, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = max(sizes, key=lambda k: (sizes[k], k))
-    rows = rows.filter(F.size("embedding") == width)
-    cells, fitted = fit(sample(rows, SAMPLE), nearest=nearest)
-    listed = durable(arrow(rows, _cells, "vec_id long, embedding array<float>, cell int", cells=cells, width=width))
+    x = sample(rows, SAMPLE, by=("vec_id", "embedding"), width=width)
+    cells, fitted = fit(x, centre_count(total), nearest=nearest)
+    halves = {"left": cells.left, "right": cells.right}
+    listed = durable(arrow(rows, _cells, f"row long, vec_id long, embedding {kind}, cell int", width=width, **halves))
+    drop(rows)
     counts = np.zeros(len(cells.left) * len(cells.right), np.int64)
     for cell, many in listed.groupBy("cell").count().collect():  # as many rows as there are cells
         counts[cell] = many
-    total = int(counts.sum())
-    cells.counts = counts.tolist()
-    enough = max(LEAST, int((share or fitted) * total) + 1)
-    shards = max(1, -(-total // shard))
-    asked = arrow(listed.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), _walks, "vec_id long, embedding array<float>, cells binary", cells=cells, width=width, enough=enough)
-    stored = listed.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "vec_id", "embedding", "cell", F.lit(None).cast("binary").alias("cells"))
-    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "embedding", F.lit(0).alias("cell"), "cells")
-    met = stored.unionByName(sent).repartition(max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard", "asks")
+    first, blocks = shards_of(counts, shard)
+    shards = int((first + blocks).max())
+    enough = max(4 * nearest, int((share or fitted) * total) + 1)
+    places = {"first": first, "many": blocks}
+    asked = listed.filter(F.col("vec_id") % every == 0).select("row", "vec_id", "embedding").repartition(n)
+    asked = arrow(asked, _walks, f"row long, vec_id long, embedding {kind}, cells binary, shards array<long>", counts=counts, width=width, enough=enough, **halves, **places)
+    stored = arrow(listed, _stored, f"row long, vec_id long, embedding {kind}, cell int, shard long", **places).select("shard", F.lit(False).alias("asks"), "row", "vec_id", "embedding", "cell", F.lit(None).cast("binary").alias("cells"))
+    sent = asked.select(F.explode("shards").alias("shard"), F.lit(True).alias("asks"), "row", "vec_id", "embedding", F.lit(0).alias("cell"), "cells")
+    met = stored.unionByName(sent).repartition(max(shards, n), "shard").sortWithinPartitions("shard", "asks")
     found = arrow(met, _search, FOUND, nearest=nearest, width=width)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
