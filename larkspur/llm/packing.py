@@ -15,8 +15,8 @@ left of a sequence is its gap. A round:
 5. updates the gaps, and repeats with what still waits. Gaps too small for all that waits leave.
 
 Within one range that is best-fit decreasing; a gap holds at least one more piece after each round in which pieces below
-it wait, so rounds follow the pieces of a sequence, not of the corpus. Nothing but counts reaches the driver: two numbers for each
-range and three for each round.
+it wait, so rounds follow the pieces of a sequence, not of the corpus. The number of ranges follows the rows that
+are left. Nothing but counts reaches the driver: of each size, and four numbers for each range.
 
 Defined results: a null or empty text is one piece, the end mark alone; pieces that tie in length
 go by (doc_id, piece); rows that repeat a doc_id are documents of their own; null doc_ids too; special tokens that stand
@@ -29,6 +29,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,6 +47,8 @@ MEMO = 500_000
 #: Words that the pre-token pattern below splits as the tokenizer does, and that NFC leaves alone.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įıĲ-ſ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+#: Rows (pieces and gaps) of a range that one task sweeps.
+RANGE = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -278,56 +281,66 @@ def _pair(batches: Iterator[pa.RecordBatch], rows: np.ndarray) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pair), pa.array(turn)], [*b.schema.names, "pair", "turn"])
 
 
-def _round(pieces: DataFrame, gaps: DataFrame | None, opened: int, capacity: int) -> tuple[list[DataFrame], DataFrame, DataFrame, int, bool]:
-    """(what is placed, what waits, gaps, sequences opened so far, whether anything waits)."""
+def _ranges(state: DataFrame, rows: int, many: int) -> DataFrame:
+    """``state`` in ranges of size of about ``rows`` rows, sorted; pieces or gaps of one size may be divided over ranges."""
+    order = ["size", "gap", "doc_id", "piece", "sequence_id"]
+    n = -(-many // rows)
+    return (state.repartitionByRange(n, *order) if n > 1 else state.coalesce(1)).sortWithinPartitions(*order)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows: int = RANGE) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a ``length`` from 1 to ``capacity``."""
     spark = pieces.sparkSession
-    largest = (gaps.agg(F.max("size")).first()[0] or 0) if gaps is not None else 0
-    unfit = F.col("length") > largest
-    total, tall = pieces.agg(F.sum(F.when(unfit, F.col("length"))), F.sum(F.when(unfit & (2 * F.col("length") > capacity), 1))).first()
-    more = max(-(-(total or 0) // capacity), tall or 0)
-    own = pieces.select(*_SWEPT[:5], F.col("length").alias("size"), F.lit(False).alias("gap"), F.lit(-1).cast("long").alias("sequence_id"))
+    waits = pieces = durable(pieces.select(*_SWEPT[:5]))  # texts are tokenised once, though a range sort reads its input twice
     none = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PIECES.split(", "))]
-    # opened sequences are counted off, not listed on the driver
-    fresh = spark.range(opened, opened + more).select(*none, F.lit(capacity).cast("long").alias("size"), F.lit(True).alias("gap"), F.col("id").alias("sequence_id"))
-    state = own.unionByName(fresh)
-    if gaps is not None:
-        state = state.unionByName(gaps.select(*none, "size", F.lit(True).alias("gap"), "sequence_id"))
-    swept = durable(arrow(state.orderBy("size", "gap", "doc_id", "piece", "sequence_id"), _sweep, SWEPT, capacity=capacity))
-    done = [swept.filter("what = 0")]
+    gaps = spark.createDataFrame([], "size long, sequence_id long")
+    waiting, free = Counter(dict(waits.groupBy("length").count().collect())), Counter()  # how many of each size: at most ``capacity`` numbers
+    done, opened = [], 0
+    while waiting:
+        largest = max(free, default=0)
+        unfit = {n: k for n, k in waiting.items() if n > largest}
+        more = max(-(-sum(n * k for n, k in unfit.items()) // capacity), sum(k for n, k in unfit.items() if 2 * n > capacity))
+        # opened sequences are counted off, not listed on the driver
+        fresh = spark.range(opened, opened + more, 1, -(-more // rows) or 1).select(F.lit(capacity).cast("long").alias("size"), F.col("id").alias("sequence_id"))
+        state = waits.select(*_SWEPT[:5], F.col("length").alias("size"), F.lit(False).alias("gap"), F.lit(-1).cast("long").alias("sequence_id"))
+        state = state.unionByName(gaps.unionByName(fresh).select(*none, "size", F.lit(True).alias("gap"), "sequence_id"))
+        many = sum(waiting.values()) + sum(free.values()) + more
+        opened += more
+        swept = durable(arrow(_ranges(state, rows, many), _sweep, SWEPT, capacity=capacity))
+        done.append(swept.filter("what = 0").select(*_PLACED))
+        paired, met = _across(swept, capacity) if many > rows else (None, None)
+        waits, gaps = swept.filter("what = 1"), swept.filter("what = 2")
+        if paired is not None:
+            done.append(met.select(*_PLACED))
+            used = met.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+            waits = paired.filter("what = 1 and pair < 0")
+            gaps = paired.filter("what = 2").join(used, "sequence_id", "left").withColumn("size", F.col("size") - F.coalesce("used", F.lit(0)))
+        tally = waits.select("length", F.lit(0).alias("gap")).unionByName(gaps.select(F.col("size").alias("length"), F.lit(1).alias("gap"))).groupBy("length", "gap").count().collect()
+        waiting = Counter({r.length: r["count"] for r in tally if not r.gap})
+        least = min(waiting, default=capacity + 1)
+        gaps = gaps.filter(F.col("size") >= least).select("size", "sequence_id")
+        free = Counter({r.length: r["count"] for r in tally if r.gap and r.length >= least})
+    drop(pieces)
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], f"{PIECES}, sequence_id long, offset long")
+
+
+_PLACED = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _across(swept: DataFrame, capacity: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Waiting pieces and free gaps with the number they pair up under (-1: none), and the pieces that go to a gap."""
     tally: dict[int, list[int]] = {}
     for r in swept.filter("rank >= 0").groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).collect():
         at = tally.setdefault(r.part, [r.part, 0, 0, 0, 0])
         at[1 if r.what == 2 else 3], at[2 if r.what == 2 else 4] = r.n, r.lo if r.what == 2 else r.hi
-    waits, left = swept.filter("what = 1"), swept.filter("what = 2")
-    rows = brackets([tuple(tally[k]) for k in sorted(tally)])
-    if len(rows):
-        paired = durable(arrow(swept.filter("what > 0"), _pair, f"{SWEPT}, pair long, turn long", rows=rows))
-        room = paired.filter("what = 2").select("pair", F.col("size").alias("room"), F.col("sequence_id").alias("sequence"))
-        # at most ``capacity`` pieces go to a gap
-        before = F.sum("length").over(Window.partitionBy("pair").orderBy("turn"))
-        met = durable(paired.filter("what = 1 and pair >= 0").withColumn("until", before).join(room.filter("pair >= 0"), "pair"))
-        done.append(met.withColumn("sequence_id", F.col("sequence")).withColumn("offset", capacity - F.col("room") + F.col("until") - F.col("length")))
-        used = met.groupBy("sequence").agg(F.sum("length").alias("used"))
-        waits = paired.filter("what = 1 and pair < 0")
-        left = paired.filter("what = 2").join(used, F.col("sequence_id") == F.col("sequence"), "left").withColumn("size", F.col("size") - F.coalesce("used", F.lit(0)))
-    waits = durable(waits.select(*_SWEPT[:5]))
-    shortest = waits.agg(F.min("length")).first()[0]
-    left = durable(left.select("size", "sequence_id").filter(F.col("size") >= shortest)) if shortest else left
-    return [x.select(*_SWEPT[:5], "sequence_id", "offset") for x in done], waits, left, opened + more, bool(shortest)
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a ``length`` from 1 to ``capacity``."""
-    waits, gaps, opened, more = durable(pieces), None, 0, True  # texts are tokenised once, though a range sort reads its input twice
-    done: list[DataFrame] = []
-    while more:
-        before = waits, gaps
-        placed, waits, gaps, opened, more = _round(waits, gaps, opened, capacity)
-        done += placed
-        for t in before:
-            if t is not None:
-                drop(t)
-    return reduce(DataFrame.unionByName, done)
+    stretches = brackets([tuple(tally[k]) for k in sorted(tally)])
+    if not len(stretches):
+        return None, None
+    paired = durable(arrow(swept.filter("what > 0"), _pair, f"{SWEPT}, pair long, turn long", rows=stretches))
+    room = paired.filter("what = 2 and pair >= 0").select("pair", F.col("size").alias("room"), "sequence_id")
+    until = F.sum("length").over(Window.partitionBy("pair").orderBy("turn"))  # at most ``capacity`` pieces go to a gap
+    pieces = paired.filter("what = 1 and pair >= 0").withColumn("until", until).drop("sequence_id", "offset")
+    return paired, durable(pieces.join(room, "pair").withColumn("offset", capacity - F.col("room") + F.col("until") - F.col("length")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

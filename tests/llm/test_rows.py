@@ -168,19 +168,15 @@ LENGTHS = {
 }
 
 
-@pytest.mark.parametrize("ranges", [True, False], ids=["many ranges", "one range"])
+@pytest.mark.parametrize("rows", [150, packing.RANGE], ids=["many ranges", "one range"])
 @pytest.mark.parametrize("lengths", LENGTHS.values(), ids=LENGTHS)
-def test_packing_rounds(spark, lengths, ranges):
+def test_packing_rounds(spark, lengths, rows):
     """As many sequences as best-fit decreasing needs, or a twentieth more, over many ranges and in one."""
     pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECES)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not ranges).lower())
-    try:
-        rows = packing.pack(pieces).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
-    used, least = check_places(rows), best_fit(lengths, 4096)
-    assert used <= (1.05 * least + 1 if ranges else least)
+    got = packing.pack(pieces, rows=rows).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    used, least = check_places(got), best_fit(lengths, 4096)
+    assert used <= (1.05 * least + 1 if rows < len(lengths) else least)
 
 
 @settings(max_examples=100, deadline=None)
