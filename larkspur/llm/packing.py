@@ -44,9 +44,9 @@ CAPACITY = 4096
 END = 1
 #: Words that one memo generation of a worker holds.
 MEMO = 500_000
-#: Words that the pre-token pattern below splits as the tokenizer does, and that NFC leaves alone.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įıĲ-ſ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+#: Words with other than Latin letters and ASCII marks, one to a line: those that the pattern below might split otherwise than the tokenizer, or that NFC changes.
+_ODD = re.compile(r"^.*[^!-~À-ÖØ-öø-įıĲ-ſ\n].*$", re.MULTILINE)
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ\n]+|\n")
 #: Rows (pieces and gaps) of a range that one task sweeps.
 RANGE = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -57,55 +57,52 @@ class WordTokens:
 
     Such a tokenizer's ids of a text are those of its white-space separated words one after the
     other, and a word's are those of its pre-tokens. Both are kept: words in a memo of two
-    generations, so that each is worked out about once, and pre-tokens within a step, so that case
+    generations, so that each is worked out about once, and pre-tokens in another, so that case
     and marks around a word cost no second encoding. Words with other than Latin letters and ASCII
     marks, or with a special token in them, go to the tokenizer as they are.
     """
 
+    #: Stands between words while they are joined; no id has such bytes, at any offset.
+    BETWEEN = b"\xff\xff\xff\xff"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)  # a vocabulary installed on every executor
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile(f"^.*(?:{special or '(?!)'}).*$", re.MULTILINE)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def pre_tokens(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens, all encoded as one text: each has one id that ends it, its last."""
-        out: dict[str, bytes] = {}
-        for i in range(0, len(parts), 50_000):
-            some = parts[i : i + 50_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+    def pre_tokens(self, parts: list[str]) -> None:
+        """Learns pre-tokens, many encoded as one text: each has one id that ends it, its last."""
+        lines = [" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             data = ids.tobytes()
-            out.update(zip(some, (data[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
-        return out
+            self.parts.update(zip(parts[1000 * i : 1000 * i + 1000], (data[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
 
     def learn(self, missing: list[bytes]) -> None:
-        split: dict[bytes, list[str]] = {}
-        odd: list[bytes] = []
-        for w in missing:
-            x = w.decode()
-            if _PLAIN.fullmatch(x) and not self.special.search(x):
-                split[w] = _PARTS.findall(x.lower())
-            else:
-                odd.append(w)
-        known: dict[str, bytes] = {}
-        rest = []
-        for p in {p for ps in split.values() for p in ps}:
-            held = self.new.get(b := p.encode()) or self.old.get(b)  # as a word of its own, a pre-token is the same
-            if held is None:
-                rest.append(p)
-            else:
-                known[p] = held
-        known |= self.pre_tokens(rest)
-        for w, ps in split.items():
-            self.new[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False), strict=True):
-            self.new[w] = np.array(e.ids, "<u4").tobytes()
+        text = b"\n".join(missing).decode()
+        odd = {*_ODD.findall(text), *self.special.findall(text)}
+        if odd:
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast([*odd], add_special_tokens=False), strict=True):
+                self.new[w.encode()] = np.array(e.ids, "<u4").tobytes()
+            missing = [w for w in missing if w not in self.new]
+            text = b"\n".join(missing).decode()
+        if not missing:
+            return
+        parts = _PARTS.findall(text.lower())
+        if len(self.parts) > MEMO:
+            self.parts = {}
+        self.parts["\n"] = self.BETWEEN
+        self.pre_tokens([*(set(parts) - self.parts.keys())])
+        self.new.update(zip(missing, b"".join(map(self.parts.__getitem__, parts)).split(self.BETWEEN), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -115,7 +112,7 @@ class WordTokens:
         missing = set().union(*words) - self.new.keys()
         for w in missing & self.old.keys():
             self.new[w] = self.old[w]
-        self.learn(list(missing - self.new.keys()))
+        self.learn([*(missing - self.new.keys())])
         get = self.new.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
