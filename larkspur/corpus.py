@@ -16,6 +16,26 @@ from .sources import files, index
 Encode = Callable[[list[str]], list[Sequence[float]]]
 
 
+#: Length of the vector that stands for a text that can't be encoded, where no other text says how long vectors are.
+VECTOR = 384
+
+
+def encoded(encode: Encode, texts: list[str]) -> list[list[float]]:
+    """Vectors of texts. If a batch fails its texts are encoded one by one, and a text that fails alone has a vector of zeros, which is near nothing."""
+
+    def tried(some: list[str]) -> list[list[float]] | None:
+        try:
+            return [list(map(float, v)) for v in encode(some)]
+        except Exception:  # noqa: BLE001  an encoder is the user's own: whatever it raises is about its texts
+            return None
+
+    if (whole := tried(texts)) is not None and len(whole) == len(texts):
+        return whole
+    each = [(x := tried([t])) and x[0] for t in texts]
+    width = next((len(v) for v in each if v), VECTOR)
+    return [v or [0.0] * width for v in each]
+
+
 class Corpus:
     """Files of a folder as a searchable collection; all tables live in snapshots below ``home``.
 
@@ -44,10 +64,14 @@ class Corpus:
         # what was extracted before and is neither touched nor gone
         kept = old.join(found.select("path"), "path", "left_semi").join(read.select("path"), "path", "left_anti").join(touched, "path", "left_anti")
         texts = read.unionByName(kept)
-        docs = texts.filter("text <> ''").select(F.col("path").alias("doc"), T.keyword_tokens(F.col("text")).alias("tokens"))
-        lengths = docs.select("doc", F.size("tokens").alias("dl"))
-        postings = bm25.term_freq(docs, F.col("tokens"), "doc").join(lengths, "doc")
-        tables = {"texts": texts, "lengths": lengths, "postings": postings.repartitionByRange("term").sortWithinPartitions("term")}
+        # only what was read now is tokenised; postings of what stays are taken over
+        docs = read.filter("text <> ''").select(F.col("path").alias("doc"), T.keyword_tokens(F.col("text")).alias("tokens"))
+        postings, lengths = bm25.postings(docs, F.col("tokens"), "doc"), docs.select("doc", F.size("tokens").alias("dl"))
+        if self.table("postings") is not None:
+            stays = kept.select(F.col("path").alias("doc"))
+            postings = postings.unionByName(self.table("postings").join(stays, "doc", "left_semi"))
+            lengths = lengths.unionByName(self.table("lengths").join(stays, "doc", "left_semi"))
+        tables = {"texts": texts, "lengths": lengths, "postings": index.by_term(postings), "totals": index.totals(lengths)}
         if self.encode:
             tables["vectors"] = self._vectors(texts)
         index.save(self.home, **tables)
@@ -62,7 +86,7 @@ class Corpus:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    yield pd.DataFrame({"path": b["path"], "sha256": b["sha256"], "vec": [list(map(float, v)) for v in encode(b["text"].tolist())]})
+                    yield pd.DataFrame({"path": b["path"], "sha256": b["sha256"], "vec": encoded(encode, b["text"].tolist())})
 
         new = live.join(known, ["path", "sha256"], "left_anti").select("path", "sha256", "text").mapInPandas(run, "path string, sha256 string, vec array<double>")
         return new.unionByName(known.join(live, ["path", "sha256"], "left_semi").select("path", "sha256", "vec"))
@@ -77,19 +101,23 @@ class Corpus:
 
     def keyword_search(self, query: str, k: int = 10) -> DataFrame:
         """(doc, score); plain terms are answered from the postings alone."""
-        if set('+-"') & set(query) or {"AND", "NOT"} & set(query.split()):
+        if set('+-"()[]{}^:') & set(query) or {"AND", "OR", "NOT"} & set(query.split()):
             return bm25.keyword_topk(self._docs(), query, k)
         return index.search_keyword(self.spark, self.home, query, k)
 
-    def vector_search(self, query: str, k: int = 10) -> DataFrame:
-        """(doc, score, snippet)."""
+    def vector_search(self, query: str, k: int = 10, refresh: str | None = None) -> DataFrame:
+        """(doc, score, snippet); ``refresh``: a folder to sync first, as for a request from another peer."""
         if not self.encode:
             raise ValueError("vector search needs an encoder")
-        return search.vector_query_snippets(self._embedded(), self._docs(), query, self.encode([query])[0], k, self.ngram).select("doc", "score", "snippet")
-
-    def hybrid_search(self, query: str, k: int = 10) -> DataFrame:
-        """(doc, score, snippet)."""
-        vector = self.encode([query])[0] if self.encode else [0.0]
+        if refresh is not None:
+            self.sync(refresh)
+        return search.vector_query_snippets(self._embedded(), self._docs(), query, encoded(self.encode, [query])[0], k, self.ngram).select("doc", "score", "snippet")
+
+    def hybrid_search(self, query: str, k: int = 10, refresh: str | None = None) -> DataFrame:
+        """(doc, score, snippet); ``refresh`` as for ``vector_search``."""
+        if refresh is not None:
+            self.sync(refresh)
+        vector = encoded(self.encode, [query])[0] if self.encode else [0.0]
         return search.hybrid_search(self._docs(), self._embedded(), query, vector, k, self.ngram)
 
 

@@ -16,6 +16,7 @@ DOC_CHARS = 2_000_000
 NGRAM_DEFAULT, NGRAM_MIN, NGRAM_MAX = 5, 3, 6
 TOKEN_BYTES = 40
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CONTROL = r"[\x{0}-\x{1f}\x{7f}-\x{9f}]"
 CONTROL_BUT_TAB_AND_LINE = r"[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}-\x{9f}]"
 ALNUM = r"[\p{L}\p{N}]"
@@ -29,8 +30,8 @@ def ascii_lower(s: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at either end, in time that grows with the text: an anchored pattern would try each inner run."""
+    return F.trim(s, F.lit(SPACES))
 
 
 def collapse(s: Column) -> Column:
@@ -84,6 +85,16 @@ def truncate(s: Column, n: int) -> Column:
     return F.left(s, F.lit(n)) if n > 0 else F.lit("")
 
 
+def trim_truncate(s: Column, n: int) -> Column:
+    """At most ``n`` characters of what is left without white space at the ends."""
+    return truncate(strip(s), n)
+
+
+def score_text(score: Column, decimals: int) -> Column:
+    """A score as it is shown."""
+    return F.format_string(f"%.{decimals}f", score.cast("double"))
+
+
 def head(s: Column) -> Column:
     return F.left(s, F.lit(SNIPPET_CHARS))
 
@@ -135,7 +146,8 @@ def strip_control(s: Column) -> Column:
 
 
 def flatten_lines(s: Column) -> Column:
-    return F.translate(s, "\r\n", "  ")
+    """One line: breaks are spaces, none at the ends."""
+    return strip(F.translate(s, "\r\n", "  "))
 
 
 def is_gibberish(line: Column) -> Column:
@@ -156,6 +168,35 @@ def page_clean(s: Column) -> Column:
     return F.array_join(F.transform(F.filter(page_lines(s), lambda x: ~is_gibberish(x)), collapse), "\n")
 
 
+def py_page_clean(s: str) -> str:
+    """``page_clean`` where a page is at hand in Python; tested to be equal."""
+    import regex
+
+    def gibberish(line: str) -> bool:
+        bare = regex.sub(_py(CONTROL), "", line)
+        n = len(bare)
+        few = n >= 10 and (len(regex.findall(ALNUM, bare)) / n < 0.20 or len(regex.findall(_py(SYMBOL), bare)) / n > 0.70)
+        return n == 0 or few or bool(regex.search(_py(SYMBOL) + "{12}", bare))
+
+    lines = [x.strip(SPACES) for x in regex.sub(_py(CONTROL_BUT_TAB_AND_LINE), "", s).split("\n")]
+    return "\n".join(regex.sub(f"[{SPACES}]+", " ", x).strip(" ") for x in lines if x and not gibberish(x))
+
+
+def py_page_plausible(s: str) -> bool:
+    """``page_plausible`` in Python."""
+    import regex
+
+    n = len(bare := regex.sub(_py(CONTROL), "", s))
+    return bool(s.strip(SPACES)) and len(s) >= 5 and n > 0 and not (n >= 40 and len(regex.findall(ALNUM, bare)) / n < 0.15)
+
+
+def _py(pattern: str) -> str:
+    r"""A class of characters with its ``\x{..}`` as Python writes them."""
+    import re
+
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", pattern)
+
+
 def page_plausible(s: Column) -> Column:
     """Whether a page's text looks extracted rather than scanned."""
     bare = F.regexp_replace(s, CONTROL, "")

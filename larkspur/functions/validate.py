@@ -46,7 +46,7 @@ def topic_valid(s: Column) -> Column:
 
 def base_name(path: Column, fallback: str = "file.bin") -> Column:
     """What follows the last slash; nothing that could lead out of a folder."""
-    name = F.regexp_extract(F.regexp_replace(path, "/+$", ""), "([^/]+)$", 1)
+    name = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
     return F.when(name.isin("", ".", ".."), fallback).otherwise(name)
 
 
@@ -68,3 +68,13 @@ def bool_parse(s: Column) -> Column:
 def hex32_parse(s: Column) -> Column:
     t = strip(s)
     return F.when(t.rlike("^[0-9A-Fa-f]{64}$"), F.unhex(t))
+
+
+def epoch_ms(ts: Column) -> Column:
+    """Whole milliseconds since 1970 of a time without a zone, read as UTC."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def epoch_s(ts: Column) -> Column:
+    """Whole seconds since 1970 of a time without a zone, read as UTC."""
+    return F.floor(epoch_ms(ts) / 1000)

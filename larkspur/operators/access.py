@@ -90,9 +90,52 @@ def export(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def any_user(users: DataFrame) -> bool:
+    """Whether there is a user at all; reads one row."""
+    return not users.isEmpty()
+
+
+def verdicts(new: DataFrame, key: str, valid: Column, known: DataFrame, needs: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """Adds ``error`` to new records: invalid_input, not_found (what it needs), already_exists, in that order, or null.
+
+    Of new records with one key the first by the rest of the row is added, the others exist already.
+    """
+    held = known.select(F.col(key).alias("_key")).distinct().withColumn("_held", F.lit(True))
+    rows = new.join(held, F.col(key) == F.col("_key"), "left")
+    missing = F.lit(False)
+    if needs:
+        there, ref = needs
+        rows = rows.join(there.select(F.col(there.columns[0]).alias("_ref")).distinct().withColumn("_there", F.lit(True)), F.col(ref) == F.col("_ref"), "left")
+        missing = F.col(ref).isNotNull() & F.col("_there").isNull()
+    error = F.when(~F.coalesce(valid, F.lit(False)), "invalid_input").when(missing, "not_found").when(F.col("_held").isNotNull(), "already_exists")
+    rows = rows.select(*new.columns, error.alias("error"))
+    nth = F.row_number().over(Window.partitionBy(key, F.col("error").isNull()).orderBy(*[c for c in new.columns if c != key]))
+    return rows.withColumn("error", F.when(F.col("error").isNull() & (nth > 1), "already_exists").otherwise(F.col("error")))
+
+
+def _added(known: DataFrame, judged: DataFrame) -> DataFrame:
+    return known.unionByName(judged.filter("error is null").select(*known.columns))
+
+
+def group_verdicts(groups: DataFrame, new: DataFrame) -> DataFrame:
+    return verdicts(new, "name", V.name_valid(F.col("name")), groups)
+
+
 def add_group(groups: DataFrame, new: DataFrame) -> DataFrame:
     """Groups with the new ones (name, rights) that are valid and don't exist yet."""
-    return groups.unionByName(new.filter(V.name_valid(F.col("name"))).join(groups, "name", "left_anti"))
+    return _added(groups, group_verdicts(groups, new))
+
+
+def user_verdicts(users: DataFrame, new: DataFrame, groups: DataFrame) -> DataFrame:
+    """New users (user, grp, pw_hash): both names valid, the group there, the user not; hashes are made elsewhere and opaque."""
+    return verdicts(new, "user", V.name_valid(F.col("user")) & V.name_valid(F.col("grp")), users, (groups.select("name"), "grp"))
+
+
+def add_user(users: DataFrame, memberships: DataFrame, new: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users (user, locked, pw_hash) and memberships with the new users, each in its group."""
+    good = user_verdicts(users, new, groups).filter("error is null")
+    joined = good.select("user", "grp").join(memberships, ["user", "grp"], "left_anti")
+    return users.unionByName(good.select("user", F.lit(False).alias("locked"), "pw_hash").select(*users.columns)), memberships.unionByName(joined.select(*memberships.columns))
 
 
 def add_membership(memberships: DataFrame, new: DataFrame, groups: DataFrame, users: DataFrame) -> DataFrame:
@@ -101,11 +144,37 @@ def add_membership(memberships: DataFrame, new: DataFrame, groups: DataFrame, us
     return memberships.unionByName(known.distinct().join(memberships, ["user", "grp"], "left_anti"))
 
 
+def path_verdicts(paths: DataFrame, new: DataFrame, groups: DataFrame) -> DataFrame:
+    return verdicts(new, "path_id", V.path_valid(F.col("prefix")) & (F.col("grp").isNull() | V.name_valid(F.col("grp"))), paths, (groups.select("name"), "grp"))
+
+
 def add_path(paths: DataFrame, new: DataFrame, groups: DataFrame) -> DataFrame:
     """Rules with the new ones whose prefix is valid and whose group, if any, exists."""
-    known = groups.select(F.col("name").alias("grp"), F.lit(True).alias("known"))
-    good = new.filter(V.path_valid(F.col("prefix"))).join(known, "grp", "left").filter("grp is null or known").select(*paths.columns)
-    return paths.unionByName(good.join(paths.select("path_id"), "path_id", "left_anti"))
+    return _added(paths, path_verdicts(paths, new, groups))
+
+
+# What a collection without users starts with.
+FIRST_GROUP, FIRST_PREFIX, FIRST_RIGHTS = "admins", "Documents", ("read", "write", "create")
+
+
+def bootstrap(users: DataFrame, memberships: DataFrame, groups: DataFrame, paths: DataFrame, user: str, pw_hash: str, path_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(users, memberships, groups, paths) with a first administrator, a group with all rights and a rule; unchanged where there is any user."""
+    if any_user(users):
+        return users, memberships, groups, paths
+    spark = users.sparkSession
+    every = sum(V.RIGHTS.values())
+    some = sum(V.RIGHTS[r] for r in FIRST_RIGHTS)
+    groups = add_group(groups, spark.createDataFrame([(FIRST_GROUP, every)], "name string, rights long"))
+    first = spark.createDataFrame([(user, FIRST_GROUP, pw_hash)], "user string, grp string, pw_hash string")
+    users, memberships = add_user(users, memberships, first, groups)
+    rule = spark.createDataFrame([(path_id, FIRST_PREFIX, FIRST_GROUP, False, some)], "path_id string, prefix string, grp string, is_public boolean, rights long")
+    return users, memberships, groups, add_path(paths, rule, groups)
+
+
+def audit(actions: DataFrame, actor: str, action: str, key: str, now: int) -> DataFrame:
+    """(ts, actor, action, target, detail): a record for each judged row (``verdicts``) that was accepted, to be appended."""
+    good = actions.filter("error is null")
+    return good.select(F.lit(now).cast("long").alias("ts"), F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.col(key).alias("target"), F.lit("ok").alias("detail"))
 
 
 def login_proof(pw_hash: str, nonce: str, challenge: str, node: str) -> Column:

@@ -9,12 +9,14 @@ terms; scoring is a projection, and the top k a TakeOrdered. No shuffle carries
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scratch import releasing
 
 #: Decimals that scores are given with; ties at that are broken by document.
 DECIMALS = 6
@@ -30,9 +32,21 @@ KEYWORD = Formula(1.2, 0.75)
 NGRAM = Formula(1.5, 0.75)
 
 
+def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc, dl, term, tf): a document's length and the frequency of each of its terms, without a shuffle; rows that repeat a document each have theirs.
+
+    Counted inside the row: sorted, equal tokens stand together, and a token's last place less that of the one before is its count.
+    """
+    held = docs.select(F.col(id_col), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0)
+    ends = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: ~F.get("t", i - 1).eqNullSafe(F.get("t", i)))
+    held = held.select(id_col, F.size("t").alias("dl"), "t", ends.alias("ends"))
+    each = F.transform("ends", lambda e, i: F.struct(F.get("t", e - 1).alias("term"), (e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).cast("long").alias("tf")))
+    return held.select(id_col, "dl", F.inline(each))
+
+
 def term_freq(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
     """(doc, term, tf): the postings of a collection."""
-    return docs.select(F.col(id_col), F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return postings(docs, tokens, id_col).drop("dl")
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -50,20 +64,20 @@ def length_stats(docs: DataFrame, tokens: Column) -> DataFrame:
 def matched(docs: DataFrame, tokens: Column, terms: list[str], keep: list[str]) -> DataFrame:
     """(keep..., dl, tfs array<long>): length and frequencies of the terms, in their order."""
     wanted = F.array(*map(F.lit, terms)).cast("array<string>")
-    held = docs.select(*keep, tokens.alias("tokens")).select(*keep, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("hits"))
+    held = docs.select(*keep, tokens.alias("tokens")).select(*keep, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms) if terms else F.lit(False)).alias("hits"))
     return held.select(*keep, "dl", F.transform(wanted, lambda w: F.size(F.filter("hits", lambda h: h == w))).alias("tfs"))
 
 
 def statistics(rows: DataFrame, terms: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., n_docs, avgdl, dfs): one row per collection."""
-    dfs = [F.sum((F.col("tfs")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
+    dfs = [F.sum((F.get("tfs", F.lit(i)) > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
     out = rows.groupBy(*(by or [])).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_len"), *dfs)
     return out.select(*(by or []), "n_docs", (F.greatest("total_len", F.lit(1)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"), F.array(*[f"df{i}" for i in range(len(terms))]).cast("array<long>").alias("dfs"))
 
 
-def score(repeats: list[int], f: Formula) -> Column:
-    """BM25 from dl, tfs, n_docs, avgdl and dfs; ``repeats``: how often the query names each term."""
-    part = F.arrays_zip(F.col("tfs"), F.col("dfs"), F.array(*map(F.lit, repeats)).cast("array<long>").alias("qf"))
+def score(weights: list[float], f: Formula) -> Column:
+    """BM25 from dl, tfs, n_docs, avgdl and dfs; ``weights``: how often the query names each term, or its boosts."""
+    part = F.arrays_zip(F.col("tfs"), F.col("dfs"), F.array(*map(F.lit, weights)).cast("array<double>").alias("qf"))
     share = 1 - f.b + f.b * F.greatest(F.col("dl"), F.lit(1)) / F.col("avgdl")
 
     def add(total: Column, x: Column) -> Column:
@@ -73,15 +87,18 @@ def score(repeats: list[int], f: Formula) -> Column:
     return F.aggregate(part, F.lit(0.0), add)
 
 
-def scored(docs: DataFrame, tokens: Column, query: list[str], f: Formula, keep: list[str], by: list[str] | None = None) -> DataFrame:
-    """(keep..., dl, score) of every document, statistics over the whole collection or each of ``by``."""
-    counts = Counter(query)
+def scored(docs: DataFrame, tokens: Column, query: list[str] | Mapping[str, float], f: Formula, keep: list[str], by: list[str] | None = None) -> DataFrame:
+    """(keep..., dl, score) of every document, statistics over the whole collection or each of ``by``.
+
+    The rows that statistics and scores share are cached until the result is no longer held.
+    """
+    counts = Counter(query)  # of a list's tokens, or the weights that a mapping gives them
     terms = list(counts)
     # a row per document with a few numbers, which statistics and scores both read: tokens are made once
     rows = matched(docs, tokens, terms, keep).persist()
     stats = statistics(rows, terms, by)
     joined = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))  # one row
-    return joined.select(*keep, "dl", F.round(score([counts[t] for t in terms], f), DECIMALS).alias("score"))
+    return releasing(joined.select(*keep, "dl", F.round(score([counts[t] for t in terms], f), DECIMALS).alias("score")), rows)
 
 
 def _py_tokens(query: str) -> list[str]:
@@ -103,18 +120,18 @@ def _py_ngrams(query: str, n: int) -> list[str]:
 def keyword_topk(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, score): documents that match the query, best first.
 
-    The grammar: terms are OR-ed; ``+term`` must and ``-term`` or ``NOT term`` must not occur, ``AND``
-    binds its neighbours, ``"a phrase"`` must occur as it stands. A malformed query gives no rows.
+    The grammar is that of ``query``. A malformed query gives no rows.
     """
     from .query import parse
 
     parsed = parse(query)
-    if parsed is None or not parsed.terms or k <= 0:
+    if parsed is None or parsed.root is None or k <= 0:
         return docs.select(F.col(id_col).alias("doc"), F.lit(0.0).alias("score")).limit(0)
     tokens = T.keyword_tokens(F.coalesce(F.col(text_col), F.lit("")))
-    rows = scored(docs.withColumn("_ok", parsed.condition(tokens)), tokens, parsed.terms, KEYWORD, [id_col, "_ok"])
-    rows = rows.filter((F.col("score") > 0) & F.col("_ok"))
-    return rows.select(F.col(id_col).alias("doc"), "score").orderBy(F.desc("score"), "doc").limit(k)
+    held = docs.select(F.col(id_col).alias("_doc"), F.col(text_col), parsed.condition(tokens).alias("_ok"), parsed.constant(tokens).alias("_more"))
+    rows = scored(held, tokens, parsed.terms, KEYWORD, ["_doc", "_ok", "_more"])
+    best = rows.withColumn("score", F.round(F.col("score") + F.col("_more"), DECIMALS)).filter((F.col("score") > 0) & F.col("_ok"))
+    return releasing(best.select(F.col("_doc").alias("doc"), "score").orderBy(F.desc("score"), "doc").limit(k), rows)
 
 
 def ngram_scores(docs: DataFrame, query: str, n: int = T.NGRAM_DEFAULT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

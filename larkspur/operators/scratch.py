@@ -1,14 +1,34 @@
-"""A folder that driver and executors share, for tables that a query writes."""
+"""What outlives a call: folders that driver and executors share, and rows that are cached."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new folder below the cluster's shared checkpoint folder; a local one only where none is set and Spark runs on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"file://{tempfile.gettempdir()}"
     return f"{top}/larkspur-{uuid.uuid4().hex}"
+
+
+def releasing(result: DataFrame, *cached: DataFrame) -> DataFrame:
+    """``result``, with what it reads from the cache released once it is no longer held.
+
+    What was derived from it meanwhile stays right: it reads its source again.
+    """
+
+    def release(frames: tuple[DataFrame, ...]) -> None:
+        for f in frames:
+            if f.sparkSession.sparkContext._jsc is not None:  # else Spark has ended
+                f.unpersist()
+
+    weakref.finalize(result, release, cached).atexit = False
+    return result

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from . import bm25
+from .scratch import releasing
 
 # Candidates and weights that results depend on.
 RERANK_FACTOR = 10
@@ -90,11 +91,12 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector:
     hits = bm25.keyword_topk(docs, query, HYBRID_CANDIDATES).persist()  # two hundred rows that three plans read
     top = hits.agg(F.max("score")).first()[0]
     if top is None:
+        hits.unpersist()
         found = vector_query_snippets(vectors, docs, query, query_vector, k, n)
         return found.select("doc", "score", T.head(F.col("snippet")).alias("snippet"))
     joined = hybrid_join(hits, vectors, query_vector).persist()
     ranked = fuse(joined, top, k) if not joined.isEmpty() else hits.orderBy(F.desc("score"), "doc").limit(k)
-    return with_snippets(ranked, docs, query, False).select("doc", "score", "snippet")
+    return releasing(with_snippets(ranked, docs, query, False).select("doc", "score", "snippet"), hits, joined)
 
 
 def peer_topk(docs: DataFrame, query: str, limit: int = PEER_LIMIT, peer_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

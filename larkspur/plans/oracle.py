@@ -110,6 +110,17 @@ HEX = "list_reduce(list_transform(string_split(regexp_extract(t, '^0x\\+?0*([0-9
 NUMBER = "TRY_CAST(nullif(regexp_extract(t, '^\\+?0*([0-9]{1,20})$', 1), '') AS HUGEINT)"
 SIGNED = "CASE WHEN {0} > 9223372036854775807 THEN {0} - 18446744073709551616 ELSE {0} END"
 
+def plausible(x: str) -> str:
+    b = f"regexp_replace({x}, '{T.CONTROL}', '', 'g')"
+    return f"({strip(x)} <> '' AND length({x}) >= 5 AND length({b}) > 0 AND NOT (length({b}) >= 40 AND {count(b, T.ALNUM)} / length({b}) < 0.15))"
+
+
+CLEAN = f"coalesce(array_to_string(list_transform(list_filter({LINES}, lambda x: NOT {gibberish('x')}), lambda x: {collapse('x')}), chr(10)), '')"
+PEOPLE = "people AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE replace(c_name, '#', '_') END AS \"user\", c_mktsegment AS grp, sha256(c_name) AS pw_hash, c_acctbal < 0 AS locked FROM customer)"
+KNOWN = f"{PEOPLE}, grps AS (SELECT DISTINCT grp AS name FROM people WHERE grp <> 'MACHINERY'), users AS (SELECT \"user\", locked, pw_hash FROM people WHERE c_custkey % 5 = 0 AND c_custkey % 7 <> 0)"
+VALID = "regexp_full_match({0}, '[A-Za-z0-9_.-]{{1,64}}')"
+USER_VERDICTS = f"""SELECT "user", grp, pw_hash, CASE WHEN NOT {VALID.format('"user"')} THEN 'invalid_input' WHEN grp NOT IN (SELECT name FROM grps) THEN 'not_found' WHEN "user" IN (SELECT "user" FROM users) THEN 'already_exists' END AS error FROM people"""
+
 SQL: dict[str, str] = {
     "scan_ext_filter": f"SELECT page_id, ext, ext IN ({', '.join(repr(e) for e in ('txt', 'md', 'rs', 'py', 'json', 'pdf', 'docx', 'xlsx', 'xls', 'csv', 'pptx'))}) AS wanted FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]\\.([^./]+)$', 1)) AS ext FROM pages)",
     "vector_roundtrip": "SELECT vec_id, len(embedding)::INT AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings",
@@ -157,10 +168,10 @@ SQL: dict[str, str] = {
     "login_proof": f"SELECT challenge, pw_hash, sha256(unhex(sha256(pw_hash)) || unhex(nonce_hex) || encode(challenge) || encode(node)) AS proof FROM ({X.LOGINS})",
     "chat_topic": "SELECT a.n_name, b.n_name AS other, CASE WHEN a.n_name < b.n_name THEN 'chat-' || a.n_name || '-' || b.n_name ELSE 'chat-' || b.n_name || '-' || a.n_name END AS topic FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name",
     "sync_changed": f"WITH {TRACKER} SELECT d.doc_id AS path, d.n_chars AS mtime, CASE WHEN t.path IS NULL THEN 'new' ELSE 'changed' END AS status FROM documents d LEFT JOIN tracker t ON t.path = d.doc_id WHERE t.path IS NULL OR t.mtime <> d.n_chars",
-    "sync_deleted": "SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
+    "sync_deleted": "SELECT doc_id AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND lang = 'fr'",
     "sync_vector_changed": f"WITH {TRACKER} SELECT d.doc_id AS path, d.n_chars AS mtime, sha256(d.text) AS sha256, CASE WHEN t.path IS NULL THEN 'new' ELSE 'changed' END AS status FROM documents d LEFT JOIN tracker t ON t.path = d.doc_id WHERE {strip('coalesce(d.text, ' + repr('') + ')')} <> '' AND (t.path IS NULL OR t.mtime <> d.n_chars OR t.sha <> sha256(d.text))",
     "doc_fetch_upsert": f"SELECT coalesce(p.req_id, r.req_id) AS req_id, p.peer, p.path, r.req_id IS NOT NULL AS done, coalesce(r.text, '') AS text, coalesce(r.error, '') AS error FROM ({X.PENDING}) p FULL JOIN ({X.RESPONSES}) r ON p.req_id = r.req_id",
-    "dedup_messages": "SELECT sha256(event_type || '|' || user_id || '|' || props) AS hash, min(event_id) AS first_id, count(*) AS copies FROM events GROUP BY ALL",
+    "dedup_messages": "SELECT DISTINCT sha256(event_type || '|' || user_id || '|' || props) AS hash, event_type AS kind, user_id || '|' || props AS payload FROM events",
     "peer_presence": "SELECT user_id AS peer, event_type <> 'error' AS online FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "message_counts": "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type",
     "event_ring": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 200",
@@ -184,4 +195,39 @@ SELECT case_id, CASE WHEN no IN ('invalid_path', 'no_session') THEN NULL WHEN no
     "iam_export": f"""SELECT 'group' AS record_type, name AS key, to_json({{'name': name, 'rights': rights}})::VARCHAR AS value_json FROM ({X.GROUPS})
  UNION ALL SELECT 'membership', "user" || '::' || grp, to_json({{'user': "user", 'grp': grp}})::VARCHAR FROM ({X.MEMBERSHIPS})
  UNION ALL SELECT 'path', path_id, to_json({{'path_id': path_id, 'prefix': prefix, 'grp': grp, 'is_public': is_public, 'rights': rights}})::VARCHAR FROM ({X.PATHS})""",
+    "topic_valid": "SELECT name, regexp_full_match(name, '[A-Za-z0-9._-]{1,128}') AS valid FROM (SELECT p_name AS name FROM part UNION ALL SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation)",
+    "trim_truncate": f"SELECT doc_id, left({strip(TEXT)}, 64) AS head FROM documents",
+    "bool_parse": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN false WHEN 1 THEN true END AS flag FROM part",
+    "hex32_parse": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN sha256({TEXT}) END AS key FROM documents",
+    "flatten_lines": f"SELECT doc_id, {strip(f'translate({TEXT}, chr(13) || chr(10), chr(32) || chr(32))')} AS line FROM documents",
+    "epoch_times": "SELECT event_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000 AS ms FROM events",
+    "score_text": "SELECT p_partkey, printf('%.3f', p_retailprice) AS three, printf('%.4f', p_retailprice) AS four FROM part",
+    "new_ids": "SELECT count(*) AS n, count(*) AS different, count(*) AS well_formed FROM customer",
+    "blank_query": "SELECT doc_id AS doc, 0.0::DOUBLE AS score FROM documents WHERE false",
+    "bm25_grouped": f"WITH {bm25(DOCS, tokens('text'), ['the', 'the', 'estion', 'of', 'thering'], 1.2)} SELECT doc, score FROM scored JOIN toks USING (doc) WHERE (list_contains(tk, 'the') OR list_contains(tk, 'estion')) AND (list_contains(tk, 'of') OR list_contains(tk, 'thering')) AND NOT list_contains(tk, 'and') ORDER BY score DESC, doc LIMIT 10",
+    "extract_formats": f"""SELECT '/corpus/' || doc_id || '.' || k AS path, doc_id AS mtime, CASE WHEN k = 'bad.txt' THEN NULL WHEN k = 'csv' THEN doc_id || ' a, b ' || sha256(t) || '  ' WHEN k IN ('txt', 'TXT') THEN t ELSE '' END AS text, k = 'bad.txt' AS broken
+ FROM (SELECT doc_id, {TEXT} AS t, ['txt', 'TXT', 'md', 'csv', 'bin', 'bad.txt'][doc_id % 6 + 1] AS k FROM documents)""",
+    "pdf_text": f"""SELECT path, concat_ws(chr(10), CASE WHEN one THEN c END, CASE WHEN two THEN doc_id || '!' END) AS text, 2::INT AS pages, (one::INT + two::INT)::INT AS native, 0::INT AS scanned, (2 - one::INT - two::INT)::INT AS skipped
+ FROM (SELECT doc_id, doc_id || '.pdf' AS path, c, {plausible('c')} AS one, length(doc_id || '!') >= 5 AS two FROM (SELECT doc_id, {CLEAN} AS c FROM documents))""",
+    "sync_next_keyword": f"SELECT doc_id AS path, n_chars AS mtime FROM documents WHERE doc_id % 5 = 1 OR (doc_id % 5 <> 0 AND {TEXT} <> '')",
+    "sync_next_vector": f"""WITH {TRACKER}, now AS (SELECT doc_id, n_chars, sha256(text) AS sha FROM documents WHERE doc_id % 5 <> 1 AND {strip(TEXT)} <> ''),
+ touched AS (SELECT doc_id FROM now LEFT JOIN tracker t ON t.path = doc_id WHERE t.path IS NULL OR t.mtime <> n_chars OR t.sha <> now.sha)
+SELECT doc_id AS path, n_chars AS mtime, sha AS sha256, CASE WHEN doc_id IN (SELECT doc_id FROM touched) THEN 1 ELSE len(embedding) END::INT AS width FROM now LEFT JOIN embeddings ON vec_id = doc_id WHERE vec_id IS NOT NULL OR doc_id IN (SELECT doc_id FROM touched)""",
+    "search_poll": f"""{PEERS}, hits AS (SELECT peer, doc, score FROM ranked WHERE rn <= CASE WHEN peer = 'src0' THEN 10 ELSE 5 END ORDER BY score DESC, peer, doc LIMIT 10)
+SELECT 1::BIGINT AS search_id, true AS ok, '' AS error, true AS partial, (row_number() OVER (ORDER BY score DESC, peer, doc))::INT AS rank, peer, doc::VARCHAR AS doc, score FROM hits
+UNION ALL SELECT 2, true, '', true, NULL, NULL, NULL, NULL UNION ALL SELECT 3, false, 'not_found', true, NULL, NULL, NULL, NULL""",
+    "hybrid_only": "SELECT event_id, user_id FROM events WHERE event_type = 'click'",
+    "iam_user_verdicts": f"WITH {KNOWN} {USER_VERDICTS}",
+    "iam_group_verdicts": f"WITH {KNOWN}, new AS (SELECT n_name AS name, n_regionkey::BIGINT AS rights FROM nation UNION ALL SELECT DISTINCT grp, 2 FROM people) SELECT name, rights, CASE WHEN NOT {VALID.format('name')} THEN 'invalid_input' WHEN name IN (SELECT name FROM grps) THEN 'already_exists' END AS error FROM new",
+    "iam_path_verdicts": f"""WITH {KNOWN}, new AS (SELECT (page_id % 200)::VARCHAR AS path_id, url AS prefix, CASE page_id % 3 WHEN 0 THEN 'MACHINERY' WHEN 1 THEN 'BUILDING' END AS grp FROM pages),
+ judged AS (SELECT *, CASE WHEN NOT regexp_full_match({strip('prefix')}, '[ -~]{{1,512}}') THEN 'invalid_input' WHEN grp IS NOT NULL AND grp NOT IN (SELECT name FROM grps) THEN 'not_found' WHEN path_id IN (SELECT path_id FROM ({X.PATHS})) THEN 'already_exists' END AS e FROM new)
+SELECT path_id, prefix, CASE WHEN e IS NULL AND row_number() OVER (PARTITION BY path_id, e IS NULL ORDER BY prefix, grp NULLS FIRST) > 1 THEN 'already_exists' ELSE e END AS error FROM judged""",
+    "iam_membership_add": f"WITH {KNOWN} SELECT \"user\", grp FROM people WHERE c_custkey % 10 = 0 AND c_custkey % 7 <> 0 UNION SELECT \"user\", grp FROM people WHERE \"user\" IN (SELECT \"user\" FROM users) AND grp IN (SELECT name FROM grps)",
+    "iam_bootstrap": f"""WITH {KNOWN} SELECT 'first' AS pass, kind, key FROM (VALUES ('user', 'root'), ('membership', 'root'), ('group', 'admins'), ('path', 'Documents')) AS t(kind, key)
+ UNION ALL SELECT 'first', 'group', name FROM grps UNION ALL SELECT 'later', 'group', name FROM grps UNION ALL SELECT 'later', 'user', "user" FROM users""",
+    "audit_append": f"WITH {KNOWN}, judged AS ({USER_VERDICTS}) SELECT {X.NOW}::BIGINT AS ts, 'root' AS actor, 'add_user' AS action, \"user\" AS target, 'ok' AS detail FROM judged WHERE error IS NULL",
+    "login_begin": f"""WITH {KNOWN} SELECT p."user", md5(p.pw_hash) AS challenge, {X.NOW + 60}::BIGINT AS expires, false AS used, CASE WHEN NOT {VALID.format('p."user"')} THEN 'invalid_input' WHEN u.locked IS NULL THEN 'not_found' WHEN u.locked THEN 'locked' END AS error FROM people p LEFT JOIN users u ON u."user" = p."user\"""",
+    "login_finish": f"""WITH {PEOPLE}, tries AS (SELECT *, md5(pw_hash) AS challenge, unnest([c_custkey * 2, c_custkey * 2 + 1]) AS attempt FROM people),
+ judged AS (SELECT attempt, "user", challenge, CASE WHEN c_custkey % 7 = 0 THEN 'invalid_input' WHEN c_custkey % 11 = 0 THEN 'not_found' WHEN c_custkey % 6 = 1 OR c_custkey % 13 = 0 THEN 'unauthorized' WHEN c_custkey % 4 = 0 THEN 'expired' WHEN locked THEN 'locked' WHEN c_custkey % 3 = 0 OR attempt % 2 = 1 THEN 'unauthorized' ELSE 'ok' END AS verdict FROM tries)
+SELECT attempt, "user", challenge, verdict, CASE WHEN verdict = 'ok' THEN {X.NOW + 900}::BIGINT END AS session_expires FROM judged""",
 }

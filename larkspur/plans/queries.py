@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import validate as V
-from ..operators import access, bm25, search, sync
+from ..operators import access, bm25, login, search, sync
 from ..sources import files, index, tables
 from ..streaming import live
 from . import fixtures as X
@@ -335,8 +335,8 @@ def sync_changed(spark, d):
 
 @query
 def sync_deleted(spark, d):
-    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("path"))
-    return sync.deleted(_files(spark, d), vectors)
+    # French files are gone
+    return sync.deleted(_tracker(spark, d), _files(spark, d).filter("lang <> 'fr'"))
 
 
 @query
@@ -358,8 +358,7 @@ def _messages(spark, d):
 
 @query
 def dedup_messages(spark, d):
-    hashed = _messages(spark, d).withColumn("hash", F.sha2(F.concat_ws("|", "kind", "payload"), 256))
-    return hashed.groupBy("hash").agg(F.min("event_id").alias("first_id"), F.count("*").alias("copies"))
+    return live.dedup_messages(_messages(spark, d)).select("hash", "kind", "payload")
 
 
 @query
@@ -370,7 +369,7 @@ def peer_presence(spark, d):
 
 @query
 def message_counts(spark, d):
-    return _messages(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    return live.message_counts(_messages(spark, d))
 
 
 @query
@@ -422,3 +421,217 @@ def iam_export(spark, d):
     members = values(spark, X.MEMBERSHIPS).withColumn("key", F.concat_ws("::", "user", "grp"))
     paths = values(spark, X.PATHS).withColumn("key", F.col("path_id"))
     return access.export(group=groups, membership=members, path=paths)
+
+
+# Smaller rules
+
+
+@query
+def topic_valid(spark, d):
+    names = read(spark, d, "part").select(F.col("p_name").alias("name")).union(read(spark, d, "customer").select("c_name")).union(read(spark, d, "nation").select("n_name"))
+    return names.select("name", V.topic_valid(F.col("name")).alias("valid"))
+
+
+@query
+def trim_truncate(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.trim_truncate(_text(), 64).alias("head"))
+
+
+@query
+def bool_parse(spark, d):
+    s = F.concat(F.lit(" "), (F.col("p_size") % 3).cast("string"), F.lit("\t"))
+    return read(spark, d, "part").select("p_partkey", V.bool_parse(s).alias("flag"))
+
+
+@query
+def hex32_parse(spark, d):
+    digest = F.sha2(_text(), 256)
+    s = F.when(F.col("doc_id") % 3 == 0, F.upper(digest)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), digest)).otherwise(F.left(digest, F.lit(63)))
+    return read(spark, d, "documents").select("doc_id", F.lower(F.hex(V.hex32_parse(s))).alias("key"))
+
+
+@query
+def flatten_lines(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.flatten_lines(_text()).alias("line"))
+
+
+@query
+def epoch_times(spark, d):
+    return read(spark, d, "events").select("event_id", V.epoch_s(F.col("ts")).alias("s"), V.epoch_ms(F.col("ts")).alias("ms"))
+
+
+@query
+def score_text(spark, d):
+    return read(spark, d, "part").select("p_partkey", T.score_text(F.col("p_retailprice"), 3).alias("three"), T.score_text(F.col("p_retailprice"), 4).alias("four"))
+
+
+@query
+def new_ids(spark, d):
+    """Random ids have the right form and none stands twice."""
+    ids = read(spark, d, "customer").select("c_custkey", login.new_id().alias("id"))
+    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("different"), F.sum(F.col("id").rlike("^[0-9a-f]{32}$").cast("long")).alias("well_formed"))
+
+
+@query
+def blank_query(spark, d):
+    e, docs = read(spark, d, "embeddings"), read(spark, d, "documents")
+    vector = search.vec_lookup(e, VECTOR_OF)
+    found = bm25.keyword_topk(docs, " \t ", K).union(bm25.keyword_topk(docs, QUERY, 0))
+    for q, k in ((" ", K), (QUERY, 0)):
+        found = found.union(search.vector_query(e, docs, q, vector, k).select("doc", "score"))
+    return found
+
+
+@query
+def bm25_grouped(spark, d):
+    return bm25.keyword_topk(read(spark, d, "documents"), "(the^2 OR estion) AND (of OR thering) -and", K)
+
+
+# Files: texts as they would lie in a folder, in several formats
+
+
+def _as_files(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", _text().alias("text"))
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "TXT", "md", "csv", "bin", "bad.txt"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    cells = F.concat(F.col("doc_id").cast("string"), F.lit(',"a, b"\n'), F.sha2("text", 256), F.lit(",\n"))
+    body = F.when(kind == "csv", F.encode(cells, "UTF-8")).when(kind == "bad.txt", F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return docs.select(F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("path"), F.col("doc_id").alias("mtime"), body.alias("content"))
+
+
+@query
+def extract_formats(spark, d):
+    return files.extract(_as_files(spark, d)).select("path", "mtime", "text", F.col("error").isNotNull().alias("broken"))
+
+
+@query
+def pdf_text(spark, d):
+    """Each document as a PDF of two pages, its text and its number."""
+    shown = F.regexp_replace(_text(), r"([()\\])", r"\\$1")
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [ 3 0 R 4 0 R ] /Count 2 >> endobj\n3 0 obj << /Type /Page /Contents 5 0 R >> endobj\n4 0 obj << /Type /Page /Contents 6 0 R >> endobj\n"
+    stream = [F.concat(F.lit(f"{n} 0 obj << /Filter [] >> stream\n"), body, F.lit("\nendstream endobj\n")) for n, body in ((5, F.concat(F.lit("BT ("), shown, F.lit(") Tj ET"))), (6, F.concat(F.lit("BT 1 0 0 1 9 9 Tm [("), F.col("doc_id").cast("string"), F.lit(") -250 (\\041)] TJ ET"))))]
+    content = F.encode(F.concat(F.lit(head), *stream, F.lit("trailer << /Root 1 0 R >>")), "UTF-8")
+    made = read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.col("doc_id").alias("mtime"), content.alias("content"))
+    return files.read_pdfs(made).select("path", "text", "pages", "native", "scanned", "skipped")
+
+
+# States after a pass
+
+
+@query
+def sync_next_keyword(spark, d):
+    blank = F.when(F.col("path") % 5 == 0, "").when(F.col("path") % 5 == 1, " ").otherwise(F.col("text"))
+    return sync.next_keyword_state(_files(spark, d).withColumn("text", blank), _tracker(spark, d))
+
+
+@query
+def sync_next_vector(spark, d):
+    blank = F.when(F.col("path") % 5 == 1, " \u3000").otherwise(F.col("text"))
+    now = _files(spark, d).withColumn("text", blank)
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.col("embedding").alias("vec"))
+    fresh = sync.content_changed(now, _tracker(spark, d)).select("path", F.array(F.lit(1.0).cast("float")).alias("vec"))
+    out = sync.next_vector_state(now, vectors, _tracker(spark, d), fresh)
+    return out.select("path", "mtime", "sha256", F.size("vec").alias("width"))
+
+
+# Searches that other peers answer
+
+
+@query
+def search_poll(spark, d):
+    """What three searches hold: one with hits, one without, one that is unknown."""
+    hits = search.federated_search(read(spark, d, "documents"), QUERY, "src0", K)
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "peer", "doc"))  # ten rows
+    written = hits.select(F.lit("me").alias("origin"), F.lit(1).cast("long").alias("search_id"), rank.alias("rank"), "peer", F.col("doc").cast("string").alias("doc"), "score")
+    searches = spark.createDataFrame([("me", 1), ("me", 2)], "origin string, search_id long")
+    found = [live.poll(searches, written, "me", k) for k in (1, 2, 3)]
+    rows = found[0].union(found[1]).union(found[2])
+    each = rows.select("search_id", "ok", "error", "partial", F.explode_outer("hits").alias("hit"))
+    return each.select("search_id", "ok", "error", "partial", "hit.rank", "hit.peer", "hit.doc", "hit.score")
+
+
+@query
+def hybrid_only(spark, d):
+    kind = F.when(F.col("event_type") == "click", "hybrid").otherwise(F.col("event_type"))
+    return live.merged_kind(read(spark, d, "events").select("event_id", kind.alias("kind"), "user_id"))
+
+
+# Records with their rules, over customers
+
+
+def _people(spark, d):
+    """Every seventh has a name that isn't valid; users stand twice, in two groups."""
+    c = read(spark, d, "customer")
+    user = F.when(F.col("c_custkey") % 7 == 0, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", "_"))
+    return c.select("c_custkey", user.alias("user"), F.col("c_mktsegment").alias("grp"), F.sha2("c_name", 256).alias("pw_hash"), (F.col("c_acctbal") < 0).alias("locked"))
+
+
+def _groups(spark, d):
+    return _people(spark, d).filter("grp <> 'MACHINERY'").select(F.col("grp").alias("name"), F.lit(1).cast("long").alias("rights")).distinct()
+
+
+def _users(spark, d):
+    return _people(spark, d).filter("c_custkey % 5 = 0 and c_custkey % 7 <> 0").select("user", "locked", "pw_hash")
+
+
+@query
+def iam_user_verdicts(spark, d):
+    return access.user_verdicts(_users(spark, d), _people(spark, d).select("user", "grp", "pw_hash"), _groups(spark, d))
+
+
+@query
+def iam_group_verdicts(spark, d):
+    new = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("rights")).union(_people(spark, d).select("grp", F.lit(2).cast("long")).distinct())
+    return access.group_verdicts(_groups(spark, d), new)
+
+
+@query
+def iam_path_verdicts(spark, d):
+    new = read(spark, d, "pages").select((F.col("page_id") % 200).cast("string").alias("path_id"), F.col("url").alias("prefix"), F.when(F.col("page_id") % 3 == 0, "MACHINERY").when(F.col("page_id") % 3 == 1, "BUILDING").alias("grp"), F.lit(True).alias("is_public"), F.lit(1).cast("long").alias("rights"))
+    return access.path_verdicts(values(spark, X.PATHS), new, _groups(spark, d)).select("path_id", "prefix", "error")
+
+
+@query
+def iam_membership_add(spark, d):
+    held = _people(spark, d).filter("c_custkey % 10 = 0 and c_custkey % 7 <> 0").select("user", "grp")
+    return access.add_membership(held, _people(spark, d).select("user", "grp"), _groups(spark, d), _users(spark, d))
+
+
+@query
+def iam_bootstrap(spark, d):
+    """Once without users, and once with some, where nothing changes."""
+    users = _users(spark, d)
+    none = users.limit(0)
+    members, paths = spark.createDataFrame([], "user string, grp string"), values(spark, X.PATHS).limit(0)
+    first = access.bootstrap(none, members, _groups(spark, d), paths, "root", "hash", "p")
+    later = access.bootstrap(users, members, _groups(spark, d), paths, "root", "hash", "p")
+    out = None
+    for name, tables in (("first", first), ("later", later)):
+        for kind, key, t in zip(("user", "membership", "group", "path"), ("user", "user", "name", "prefix"), tables, strict=True):
+            rows = t.select(F.lit(name).alias("pass"), F.lit(kind).alias("kind"), F.col(key).alias("key"))
+            out = rows if out is None else out.union(rows)
+    return out
+
+
+@query
+def audit_append(spark, d):
+    judged = access.user_verdicts(_users(spark, d), _people(spark, d).select("user", "grp", "pw_hash"), _groups(spark, d))
+    return access.audit(judged, "root", "add_user", "user", X.NOW)
+
+
+@query
+def login_begin(spark, d):
+    asked = _people(spark, d).select("user", F.md5("pw_hash").alias("challenge"))
+    return login.begin(asked, _users(spark, d), X.NOW)
+
+
+@query
+def login_finish(spark, d):
+    """Everyone tries twice, every third with a wrong proof, some too late, some with another's challenge or one that was used."""
+    p, key = _people(spark, d), F.col("c_custkey")
+    challenge = F.md5("pw_hash")
+    held = p.filter("c_custkey % 11 <> 0").select(challenge.alias("challenge"), F.when(key % 13 == 0, "other").otherwise(F.col("user")).alias("user"), F.when(key % 4 == 0, X.NOW - 1).otherwise(X.NOW).cast("long").alias("expires"), (key % 6 == 1).alias("used"), F.unhex(F.lit("00ff")).alias("nonce"))
+    right = access.login_proof("pw_hash", "nonce", "challenge", "node")
+    made = p.select("c_custkey", "user", challenge.alias("challenge"), "pw_hash", F.unhex(F.lit("00ff")).alias("nonce"), F.lit("node-1").alias("node"))
+    tries = made.select("user", "challenge", F.when(key % 3 == 0, "no").otherwise(right).alias("proof"), F.explode(F.array(key * 2, key * 2 + 1)).alias("attempt"))
+    users = p.filter("c_custkey % 7 <> 0").select("user", "locked", "pw_hash")
+    return login.finish(tries, held, users, "node-1", X.NOW)

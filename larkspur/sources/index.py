@@ -1,11 +1,13 @@
 """Index tables: postings by term, document lengths, vectors; each written together with its tracker.
 
 A snapshot is a folder of its own, and a small pointer file names the live one; the pointer moves
-only after all tables are written, so a tracker never claims what an index doesn't hold.
+only after all tables are written, so a tracker never claims what an index doesn't hold. The snapshot before the
+live one stays for who still reads it; older ones are deleted.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,13 @@ def save(folder: str, **tables: DataFrame) -> str:
     for name, table in tables.items():
         table.write.parquet(f"{folder}/{version}/{name}")
     fs, path = _fs(spark, f"{folder}/LIVE")
+    before = spark.read.text(f"{folder}/LIVE").first()[0] if fs.exists(path) else ""
     out = fs.create(path, True)
     out.write(version.encode())
     out.close()
+    for entry in fs.listStatus(_fs(spark, folder)[1]):
+        if entry.isDirectory() and re.fullmatch("[0-9a-f]{32}", name := entry.getPath().getName()) and name not in (version, before):
+            fs.delete(entry.getPath(), True)
     return f"{folder}/{version}"
 
 
@@ -42,13 +48,19 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     return spark.read.parquet(f"{folder}/{version}/{name}")
 
 
+def by_term(postings: DataFrame) -> DataFrame:
+    """Range-sorted, so that a query's terms are a pushed-down filter on few row groups."""
+    return postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
+
+
+def totals(lengths: DataFrame) -> DataFrame:
+    """(n_docs, total): the one row of statistics that a query needs."""
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).coalesce(1)
+
+
 def build_keyword(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Postings range-sorted by term, so that a query's terms are a pushed-down filter on few row groups."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = docs.select(F.col(id_col).alias("doc"), T.keyword_tokens(text).alias("tokens"))
-    lengths = tokens.select("doc", F.size("tokens").alias("dl"))
-    postings = bm25.term_freq(tokens, F.col("tokens"), "doc").join(lengths, "doc")
-    return save(folder, postings=postings.repartitionByRange("term").sortWithinPartitions("term"), lengths=lengths)
+    tokens = docs.select(F.col(id_col).alias("doc"), T.keyword_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    return save(folder, postings=by_term(bm25.postings(tokens, F.col("tokens"), "doc")), totals=totals(tokens.select(F.size("tokens").alias("dl"))))
 
 
 def search_keyword(spark: SparkSession, folder: str, query: str, k: int = 10) -> DataFrame:
@@ -56,7 +68,7 @@ def search_keyword(spark: SparkSession, folder: str, query: str, k: int = 10) ->
     counts: dict[str, int] = {}
     for t in bm25._py_tokens(query):
         counts[t] = counts.get(t, 0) + 1
-    lengths = load(spark, folder, "lengths").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total")).select("n_docs", (F.greatest("total", F.lit(1)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
+    lengths = load(spark, folder, "totals").select("n_docs", (F.greatest("total", F.lit(1)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
     hits = load(spark, folder, "postings").filter(F.col("term").isin(*counts) if counts else F.lit(False))
     qf = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]) if counts else F.create_map(F.lit(""), F.lit(0))
     dfs = hits.groupBy("term").agg(F.count("*").alias("df"))

@@ -25,6 +25,11 @@ def dedup_messages(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return hashed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["hash"])
 
 
+def message_counts(messages: DataFrame) -> DataFrame:
+    """(kind, n): how many messages of each kind; works on streams too."""
+    return messages.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def presence(events: DataFrame) -> DataFrame:
     """(peer, online): one row a peer, by its latest event (peer, ts, seq, status discovered or expired)."""
     last = F.max_by("status", F.struct("ts", "seq"))
@@ -36,6 +41,30 @@ def live(rows: DataFrame, now: Column | None = None) -> DataFrame:
     return rows.filter(F.col("expires") >= (F.unix_timestamp() if now is None else now))
 
 
+#: The kind of response that is merged into searches that are polled; others are only shown.
+MERGED_KIND = "hybrid"
+
+
+def merged_kind(responses: DataFrame) -> DataFrame:
+    """Responses (kind, ...) of the kind that searches are merged from, without the kind."""
+    return responses.filter(F.col("kind") == MERGED_KIND).drop("kind")
+
+
+def poll(searches: DataFrame, hits: DataFrame, origin: str, search_id: int) -> DataFrame:
+    """What a search holds so far, one row: (search_id, ok, error, partial, hits); from what ``merge_hits`` has written.
+
+    ``searches`` (origin, search_id) are those that were opened; an unknown one is not_found. More hits
+    may always come, so an answer is always partial.
+    """
+    ours = (F.col("origin") == origin) & (F.col("search_id") == search_id)
+    last = hits.filter(ours).select(F.struct("rank", "peer", "doc", "score").alias("hit"))
+    held = last.agg(F.array_sort(F.collect_list("hit")).alias("hits"))  # at most the search's limit
+    known = searches.filter(ours).agg((F.count("*") > 0).alias("ok"))
+    rows = known.crossJoin(held)  # one row each
+    empty = F.array().cast("array<struct<rank:int,peer:string,doc:string,score:double>>")
+    return rows.select(F.lit(search_id).cast("long").alias("search_id"), "ok", F.when(F.col("ok"), "").otherwise("not_found").alias("error"), F.lit(True).alias("partial"), F.when(F.col("ok"), F.col("hits")).otherwise(empty).alias("hits"))
+
+
 def merge_hits(hits: DataFrame, ttl_ms: int = 900_000) -> DataFrame:
     """Best hits of each search so far, as updates; from (origin, search_id, lim, peer, doc, score).
 

@@ -43,6 +43,28 @@ def test_corpus_follows_its_files(spark, tmp_path):
     assert names(corpus.keyword_search("silent")) == ["b.txt"] and corpus.table("texts").count() == 2
 
 
+def test_corpus_refresh_and_encoder_faults(spark, tmp_path):
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("cannot")
+        return encode(texts)
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.txt").write_text("apple pie")
+    (folder / "b.txt").write_text("bad pear")
+    corpus = Corpus(spark, f"file://{tmp_path}/home", picky)
+    corpus.sync(str(folder))
+    assert {r.path.rpartition("/")[2]: r.vec for r in corpus.table("vectors").collect()} == {"a.txt": [1.0, 0.0, 1.0], "b.txt": [0.0] * 3}
+    (folder / "c.txt").write_text("new apple apple")
+    assert "c.txt" not in names(corpus.vector_search("apple", 3))
+    assert "c.txt" in names(corpus.vector_search("apple", 3, refresh=str(folder))) and "c.txt" in names(corpus.keyword_search("new"))
+    assert names(corpus.hybrid_search("bad", 1)) == ["b.txt"]
+    for _ in range(2):
+        corpus.sync(str(folder))
+    assert len([x for x in os.listdir(tmp_path / "home") if len(x) == 32]) == 2  # the live snapshot and the one before
+
+
 def test_corpus_without_encoder(spark, tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()

@@ -2,19 +2,22 @@
 
 import hashlib
 import io
+import os
 import time
 import zipfile
+import zlib
 from datetime import datetime
 
-
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions import validate as V
 from larkspur.operators import access, login, sync
 from larkspur.plans import fixtures as X
 from larkspur.plans.queries import values
 from larkspur.sources import files
+from larkspur.sources.pdf import pdf_pages
 from larkspur.streaming import live
 
 
@@ -94,7 +97,114 @@ def test_pdf_pages_fall_back():
     native, ocr = (lambda _: ["good page", "", "--", None]), (lambda _: ["", "scanned", "", ""])
     got = files.pdf_report(b"", native, ocr, str.strip, lambda t: len(t) >= 5)
     assert got["text"] == "good page\nscanned" and (got["pages"], got["native"], got["scanned"], got["skipped"]) == (4, 1, 1, 2)
-    assert files.pdf_report(b"", None, None, str, bool)["warnings"]
+    assert files.pdf_report(b"", lambda _: [None])["warnings"] == ["page 1 skipped"]
+
+
+def pdf(*pages, packed=False, tail=b"trailer << /Root 1 0 R >>"):
+    """A PDF with a content stream for each page; ``packed``: dictionaries in an object stream."""
+    kids = " ".join(f"{10 + 2 * i} 0 R" for i in range(len(pages)))
+    dicts = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [ {kids} ] /Count {len(pages)} >>"}
+    out = [b"%PDF-1.5\n%\xe2\xe3\n"]
+    for i, body in enumerate(pages):
+        dicts[10 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Contents [ {11 + 2 * i} 0 R ] >>"
+        data = zlib.compress(body)
+        out.append(b"%d 0 obj << /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream endobj\n" % (11 + 2 * i, len(data), data))
+    if packed:
+        places, at = [], 0
+        for n, d in dicts.items():
+            places.append(f"{n} {at}")
+            at += len(d) + 1
+        head = " ".join(places) + " "
+        data = zlib.compress((head + " ".join(dicts.values())).encode())
+        out.append(b"90 0 obj << /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length 91 0 R >> stream\r\n%s\nendstream endobj 91 0 obj %d endobj\n" % (len(dicts), len(head), data, len(data)))
+    else:
+        out += [f"{n} 0 obj {d} endobj\n".encode() for n, d in dicts.items()]
+    return b"".join([*out, tail])
+
+
+SHOWN = b"BT /F1 12 Tf 72 720 Td (Plain \\(text\\) \\101) Tj 0 -14 Td [ (spl) -20 (it ) <776f7264> ] TJ T* (\\377\\376) Tj (last) Tj ET"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_text(packed):
+    data = pdf(SHOWN, "BT (zweite Seite, für sich) Tj ET".encode(), packed=packed)
+    assert pdf_pages(data) == ["Plain (text) A\nsplit word\nlast", "zweite Seite, für sich"]
+    assert files.READERS["pdf"](data) == "Plain (text) A\nsplit word\nlast\nzweite Seite, für sich"
+
+
+def test_pdf_faults(spark, tmp_path):
+    good = pdf(SHOWN, b"BT (a) Tj ET")
+    made = {"good.pdf": good, "none.pdf": b"no", "locked.pdf": pdf(SHOWN, tail=b"trailer << /Root 1 0 R /Encrypt 5 0 R >>"), "cut.PDF": good[: len(good) // 2], "broken.pdf": good.replace(b"FlateDecode", b"FlateDecodf", 1), "loop.pdf": pdf(SHOWN).replace(b"/Kids [", b"/Kids [ 2 0 R")}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "a.txt").write_text("not one")
+    got = {r.path.rpartition("/")[2]: r for r in files.read_pdfs(files.crawl(spark, str(tmp_path))).collect()}
+    assert set(got) == set(made)
+    r = got["good.pdf"]
+    assert (r.pages, r.native, r.scanned, r.skipped, r.warnings, r.error) == (2, 1, 0, 1, ["page 2 skipped"], None) and r.text.startswith("Plain")
+    assert all(got[x].text is None and got[x].error for x in ("none.pdf", "locked.pdf"))
+    assert got["loop.pdf"].pages == 1 and got["broken.pdf"].skipped == 2 and got["cut.PDF"].error is None
+    texts = {r.path.rpartition("/")[2]: r.text for r in files.extract(files.crawl(spark, str(tmp_path))).collect()}
+    assert texts["good.pdf"] == got["good.pdf"].text and texts["none.pdf"] is None
+
+
+def test_page_rules_are_the_same_in_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    odd = ["", " \u2003 a\x85b \x07\n\n!!!!!!!!!!!!\n%%%%%%%%%% ab\n", "....,,,,,....,,,,a" * 3, "\x00\x01", "x" * 4, "\u3000" * 50, "été \u1680 ok"]
+    rows = docs.unionByName(spark.createDataFrame([(x,) for x in odd], "text string")).filter("text is not null")
+    for r in rows.select("text", T.page_clean(F.col("text")).alias("c"), T.page_plausible(F.col("text")).alias("p")).collect():
+        assert T.py_page_clean(r.text) == r.c and T.py_page_plausible(r.text) == r.p
+
+
+def test_strip_is_linear(spark):
+    text = "a" + " " * 1_000_000 + "b" + "\u2003 " * 1000
+    row = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    got = row.select(F.length(T.strip(F.col("t"))), F.length(T.page_clean(F.col("t"))), F.length(T.snippet_exact(F.col("t"), "zz")), F.length(T.snippet_scaled(F.col("t"), "b zz")), V.query_error(F.col("t"))).first()
+    assert tuple(got)[:2] == (1_000_002, 0) and got[4] == "query_too_long" and time.time() - began < 20
+
+
+def test_users_groups_and_rules_are_judged(spark):
+    def table(rows_, schema):
+        return spark.createDataFrame(rows_, schema)
+
+    groups, users, members = table([("g", 1)], "name string, rights long"), table([("ann", False, "h")], "user string, locked boolean, pw_hash string"), table([("ann", "g")], "user string, grp string")
+    paths = table([("p", "a", None, True, 1)], "path_id string, prefix string, grp string, is_public boolean, rights long")
+    new = table([("bob", "g", "x"), ("bob", "g", "y"), ("ann", "g", "z"), ("cy d", "g", "z"), ("dan", "none", "z")], "user string, grp string, pw_hash string")
+    judged = sorted((r.user, r.pw_hash, r.error) for r in access.user_verdicts(users, new, groups).collect())
+    assert judged == [("ann", "z", "already_exists"), ("bob", "x", None), ("bob", "y", "already_exists"), ("cy d", "z", "invalid_input"), ("dan", "z", "not_found")]
+    after, joined = access.add_user(users, members, new, groups)
+    assert {r.user for r in after.collect()} == {"ann", "bob"} and {tuple(r) for r in joined.collect()} == {("ann", "g"), ("bob", "g")}
+    rules = table([("p", "b", None, True, 1), ("q", "b", "none", True, 1), ("r", "b", "g", True, 1), ("s", "", None, True, 1)], "path_id string, prefix string, grp string, is_public boolean, rights long")
+    assert {r.path_id: r.error for r in access.path_verdicts(paths, rules, groups).collect()} == {"p": "already_exists", "q": "not_found", "r": None, "s": "invalid_input"}
+    log = access.audit(access.user_verdicts(users, new, groups), "root", "add_user", "user", 9)
+    assert [tuple(r) for r in log.collect()] == [(9, "root", "add_user", "bob", "ok")]
+
+
+def test_bootstrap_only_without_users(spark):
+    none = [spark.createDataFrame([], s) for s in ("user string, locked boolean, pw_hash string", "user string, grp string", "name string, rights long", "path_id string, prefix string, grp string, is_public boolean, rights long")]
+    assert not access.any_user(none[0])
+    users, members, groups, paths = access.bootstrap(*none, "root", "hash", "p1")
+    assert [tuple(r) for r in users.collect()] == [("root", False, "hash")] and [tuple(r) for r in members.collect()] == [("root", "admins")]
+    assert groups.first().rights == -(1 << 63) + 63 and tuple(paths.first()) == ("p1", "Documents", "admins", False, 7)
+    again = access.bootstrap(users, members, groups, paths, "other", "hash", "p2")
+    assert again[0].count() == 1 and again[3].count() == 1
+
+
+def test_poll(spark):
+    hits = spark.createDataFrame([("n", 1, 2, "q", "b", 0.4), ("n", 1, 1, "p", "a", 0.9), ("m", 1, 1, "p", "c", 0.8)], live.HITS)
+    searches = spark.createDataFrame([("n", 1), ("n", 2)], "origin string, search_id long")
+    one, two, none = (live.poll(searches, hits, "n", k).first() for k in (1, 2, 3))
+    assert (one.ok, one.error, one.partial, [h.doc for h in one.hits]) == (True, "", True, ["a", "b"])
+    assert (two.ok, two.hits) == (True, []) and (none.ok, none.error, none.partial, none.hits) == (False, "not_found", True, [])
+    kinds = spark.createDataFrame([("hybrid", 1), ("keyword", 2), (None, 3)], "kind string, n int")
+    assert [tuple(r) for r in live.merged_kind(kinds).collect()] == [(1,)]
+
+
+def test_canonical(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    assert files.canonical(f"{tmp_path}/link/../a/./x") == f"{os.path.realpath(tmp_path)}/a/x" and files.canonical("bad\0path") == "bad\0path"
 
 
 def test_segments_match_column(spark):
@@ -191,7 +301,7 @@ def test_pdf_path(tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"")
     (tmp_path / "a.txt").write_bytes(b"")
     assert files.pdf_path_error(str(tmp_path / "a.PDF")) is None
-    assert all(files.pdf_path_error(str(tmp_path / x)) for x in ("", "a.txt", "none.pdf"))
+    assert [files.pdf_path_error(str(tmp_path / x)) for x in ("", "a.txt", "none.pdf")] == ["folder", "suffix", "missing"]
 
 
 def test_every(spark, tmp_path):

@@ -52,6 +52,37 @@ def test_grammar(docs):
     assert found('"cherry banana"') == []
     assert found('"open') == [] and parse("AND x") is None and parse("x NOT") is None
     assert found("  ") == []
+    assert found("(apple OR cherry) AND banana") == [1, 2] and found("date OR apple AND banana") == [1, 5] and found("apple AND cherry OR fig") == [5]
+    assert found("+banana -(apple cherry)") == [] and found("(banana -cherry) date") == [1, 5] and found("NOT apple banana") == [2]
+    assert found("content:apple") == [1] and parse("path:apple") is None and parse("other:x") is None
+    assert found("[c TO d]") == [2] and found("content:[b TO cherry}") == [1, 2] and found("{cherry TO *]") == [5] and found("+banana +[cherry TO d]") == [2]
+    for bad in ("(apple", "apple)", "()x)", "-apple", "(-apple) banana", "apple AND", "OR apple", "+", "[a b]", "[a TO b", "NOT NOT a"):
+        assert found(bad) == [] and (parse(bad) is None or parse(bad).root is None), bad
+
+
+def test_boosts(docs):
+    def scores(q):
+        return {r.doc: r.score for r in bm25.keyword_topk(docs, q, 10).collect()}
+
+    one = scores("cherry")[2]
+    assert scores("cherry^2.5")[2] == pytest.approx(2.5 * one, abs=2e-6) and scores("(cherry^2 zzz)^3")[2] == pytest.approx(6 * one, abs=5e-6)
+    assert scores('"banana cherry"^2')[2] == pytest.approx(2 * scores('"banana cherry"')[2], abs=2e-6)
+    assert scores("[c TO d]^3") == {2: 3.0} and scores("cherry [c TO d]")[2] == pytest.approx(one + 1, abs=1e-6)
+
+
+def test_cached_rows_are_released(spark, docs):
+    import gc
+
+    def held():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    gc.collect()
+    before = held()
+    hit = bm25.keyword_topk(docs, "apple banana", 3)
+    assert hit.count() == 2 and held() > before
+    del hit
+    gc.collect()
+    assert held() <= before
 
 
 def test_rerank_uses_candidates_alone_and_keeps_zeros(spark, docs):
