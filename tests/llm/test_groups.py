@@ -272,23 +272,50 @@ def good(e):
     return e is not None and len(e) > 0 and all(x is not None and np.isfinite(x) for x in e) and any(e)
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_embedding_dedup(spark, block):
-    rows = vectors()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as cid", "2 as n", "3 as links", "4 as pivot")
-    ok = {i: (np.array(e, np.float32).astype(float), y) for i, e, y in rows if good(e) and y is not None}
-    near = [(a, b) for a in ok for b in ok if a < b and ok[a][1] == ok[b][1] and len(ok[a][0]) == len(ok[b][0]) and ok[a][0] @ ok[b][0] / np.linalg.norm(ok[a][0]) / np.linalg.norm(ok[b][0]) >= 0.98]
-    got = by_id(embedding_dedup.near_duplicates(df, block=block))
+def check_embeddings(spark, rows, least, kind="float", **options):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").selectExpr("*", "1 as cid", "2 as n", "3 as links", "4 as pivot", "5 as g", "6 as level")
+    one = np.float32 if kind == "float" else float
+    ok = {i: (np.array(e, one).astype(float), y) for i, e, y in rows if good(e) and y is not None}
+    unit = {i: e / np.linalg.norm(e) for i, (e, _) in ok.items()}
+    near = [(a, b) for a in ok for b in ok if a < b and ok[a][1] == ok[b][1] and len(ok[a][0]) == len(ok[b][0]) and unit[a] @ unit[b] >= 0.98]
+    got = by_id(embedding_dedup.near_duplicates(df, **options))
     links = {i: 0 for i, _, _ in rows}
     for a, b in near:
         links[a] += 1
         links[b] += 1
     assert all(got[i][0] <= links[i] for i in links)  # none below the threshold
-    assert sum(v[0] for v in got.values()) >= 0.95 * 2 * len(near)
-    if sum(v[0] for v in got.values()) == 2 * len(near):
+    found = sum(v[0] for v in got.values())
+    assert found >= least * 2 * len(near)
+    if found == 2 * len(near):
         whole = linked(links, near)
         assert got == {i: (links[i], whole[i], whole[i] == i) for i in links}
-    assert embedding_dedup.near_duplicates(df.filter("false")).collect() == []
+    return got
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_dedup(spark, block, kind):
+    check_embeddings(spark, vectors(), 0.95, kind, block=block)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "cone"])
+def test_embedding_dedup_by_shape(spark, kind):
+    """Near copies among vectors of every shape, those within a narrow cone too, have more than one pivot and are found."""
+    x = cloud(kind, 500)
+    rng = np.random.default_rng(7)
+    noise = np.median(np.linalg.norm(x - x[::-1], axis=1)) / 40
+    rows = [(i, e.tolist(), 1) for i, e in enumerate(np.concatenate([x, x[:150] + rng.normal(size=(150, 16)) * noise, x[:20]]))]
+    check_embeddings(spark, rows, 0.9, block=64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(embedding_dedup.spread(unit[:64])) >= 10
+
+
+def test_embedding_edges(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0], None)]
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (None, 0, None, True), (3, 0, 3, True)], key=repr)
 
 
 def cloud(kind, n, width=16, seed=4):
