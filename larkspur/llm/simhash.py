@@ -4,7 +4,8 @@ A fingerprint is the bitwise majority of XXH64 over 3-word shingles. Equal finge
 node from the start. A vantage-point tree, whose top is built from a bounded sample, partitions the
 nodes by Hamming distance: a node's *home* is one leaf, and it also visits each later leaf that the
 triangle bounds cannot rule out (those whose boundary it stands within 3 bits of). Two fingerprints
-within 3 bits of each other thus meet in the later of their homes. In a leaf the search goes on in
+within 3 bits of each other thus meet in the later of their homes. Leaves that hold more than a task should are
+divided in rounds, each by a subtree from a bounded sample of its own rows. In a leaf the search goes on in
 memory by rings around further vantage points, and pairs that remain are compared bit by bit, so
 the links are exact.
 
@@ -13,9 +14,10 @@ by distributed star rounds (``components``). On fingerprints that are far apart
 boundary of 3 bits holds about half of a leaf's nodes, so the number of visits grows as about 1.55
 to the power of the depth: that is the price of the method, and of exactness.
 
-Defined results: a null or empty text has fingerprint zero, linked like any other; texts that tie
+Defined results: a null or empty text has fingerprint zero, linked like any other; a text of any length is read whole, its
+shingles' bits being summed in steps; texts that tie
 share a component; rows that repeat a doc_id each have a row, those without one belong to a component but don't name it; an empty table gives an empty table;
-only the id and the text are read, and ``keep_one`` keeps all columns.
+only the id and the text are read, and ``keep_one`` keeps all columns, whatever their names.
 
 The pipeline's stage is ``keep_similar``: it links texts whose sets of 5-word shingles have a Jaccard
 similarity of 0.8 or more. Equal texts are one node; a fingerprint of 128 bits and a radius of 34 find
@@ -28,16 +30,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, durable, fresh, gathered, read, steps, texts
 from .components import components
-from .repeats import words
+from .repeats import mix, words
 
 #: Differing bits up to which fingerprints link.
 BITS = 3
@@ -52,6 +55,10 @@ MEMBERS, SHINGLES = 2048, 1_000_000
 LEAF = 16_384
 #: Fingerprints, at most, that the tree's top is built from on the driver.
 SAMPLE = 8192
+#: Hashes whose bits are summed at once.
+BITS_AT_ONCE = 1 << 20
+#: Rows of a leaf that its subtree is built from, and the subtree's greatest depth.
+LEAF_SAMPLE, LEAF_DEPTH = 1024, 6
 #: Pairs that are compared at once in memory.
 BLOCK = 4_000_000
 
@@ -76,10 +83,15 @@ def fingerprints(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
         hashes += [digest(line[a:b], 42) for a, b in zip(at[0].tolist(), at[1][shingle - 1 :].tolist(), strict=False)]
     if not which:
         return out
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     begin = np.array(first)
     many = np.diff(np.r_[begin, len(hashes)])
-    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
+    ones = np.zeros((len(begin), 64), np.int64)
+    held = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(held), BITS_AT_ONCE):  # a text may reach over several steps
+        bits = np.unpackbits(held[at : at + BITS_AT_ONCE], axis=1, bitorder="little")
+        from_ = np.searchsorted(begin, at, side="right") - 1
+        to = np.searchsorted(begin, at + len(bits))
+        ones[from_:to] += np.add.reduceat(bits, np.maximum(begin[from_:to] - at, 0), axis=0, dtype=np.int64)
     out[which] = np.packbits(2 * ones > many[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
@@ -116,11 +128,11 @@ def tree(sample: np.ndarray, depth: int) -> list[tuple[np.ndarray, int] | None]:
     return out
 
 
-def route(fp: np.ndarray, top: list[tuple[np.ndarray, int] | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home): the home leaf of each fingerprint and the later leaves it visits."""
+def route(fp: np.ndarray, top: list[tuple[np.ndarray, int] | None], bits: int, at_home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): the home leaf of each fingerprint and the later leaves it visits; one that isn't at home here visits all that it may reach."""
     fp = _worded(fp)
     row, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
-    home = np.ones(len(fp), bool)
+    home = np.ones(len(fp), bool) if at_home is None else at_home.copy()
     while True:
         inner = node < len(top)
         if not inner.any():
@@ -172,6 +184,8 @@ def near(stored: np.ndarray, asking: np.ndarray, bits: int) -> Iterator[tuple[np
 
 def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int, linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Pairs of numbers under n that keep the connectivity of all pairs, or of those that are ``linked``."""
+    if linked is None:
+        return spanning(pairs, n)
     up = list(range(n))
     out = []
     for xs, ys in pairs:
@@ -181,12 +195,29 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int, linked: Calla
                 up[a] = a = up[up[a]]
             while up[b] != b:
                 up[b] = b = up[up[b]]
-            if a != b and (linked is None or linked(x, y)):
+            if a != b and linked(x, y):
                 up[max(a, b)] = min(a, b)
                 out.append((x, y))
     return out
 
 
+def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
+    """``forest`` without a test: whole arrays of pairs at a time. A root is hooked to a smaller one, by one of its pairs a turn."""
+    up = np.arange(n)
+    out: list[tuple[int, int]] = []
+    for x, y in pairs:
+        while len(x):
+            a, b = up[x], up[y]
+            apart_ = a != b
+            x, y, a, b = x[apart_], y[apart_], a[apart_], b[apart_]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            up[high] = np.minimum(a, b)[first]
+            out += zip(x[first].tolist(), y[first].tolist(), strict=True)
+            while not np.array_equal(up, up[up]):
+                up = up[up]
+    return out
+
+
 def _links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         home = np.concatenate([b.column("home").to_numpy(zero_copy_only=False) for b in rows])
@@ -222,15 +253,60 @@ def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
         yield held
 
 
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A subtree for each leaf from its sample: vantage points, radii (-1: none), as arrays in heap order."""
+    for rows in leaves(batches):
+        fp = np.concatenate([b.column("fp").to_numpy() for b in rows]).view(np.uint64)
+        depth = int(rows[0].column("depth")[0].as_py())
+        nodes = tree(fp, depth)
+        points = [0 if x is None else int(x[0][0]) for x in nodes]
+        radii = [-1 if x is None else x[1] for x in nodes]
+        yield pa.RecordBatch.from_arrays([*(rows[0].column(c).slice(0, 1) for c in ("leaf", "size")), pa.array([np.array(points, np.uint64).view(np.int64)], pa.list_(pa.int64())), pa.array([radii], pa.list_(pa.int32()))], ["leaf", "size", "points", "radii"])
+
+
+def _divide(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of large leaves, each with its leaf's subtree, to that subtree's leaves."""
+    for b in gathered(batches, 20_000):
+        leaf, home, fp = b.column("leaf").to_numpy(), b.column("home").to_numpy(zero_copy_only=False), b.column("fp").to_numpy()
+        for k in np.unique(leaf).tolist():
+            at = np.flatnonzero(leaf == k)
+            points, radii = (np.array(b.column(c)[int(at[0])].as_py()) for c in ("points", "radii"))
+            top = [None if r < 0 else (p, int(r)) for p, r in zip(points.astype(np.int64).view(np.uint64).reshape(-1, 1), radii, strict=True)]
+            row, node, own = route(fp[at].view(np.uint64), top, bits, home[at])
+            named = mix(mix(np.array([k], np.int64).view(np.uint64)) + node.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(own), pa.array(fp[at][row]), b.column("size").take(pa.array(at[row]))], ["leaf", "home", "fp", "was"])
+
+
+def divided(routed: DataFrame, bits: int, leaf: int) -> DataFrame:
+    """``routed`` (leaf, home, fp) with leaves of at most about ``leaf`` rows, but for those that vantage points part no further."""
+    done, rows = [], durable(routed.withColumn("was", F.lit(None).cast("long")))
+    while True:
+        sizes = rows.groupBy("leaf").agg(F.count("*").alias("size"), F.max("was").alias("was"))
+        # what stands near a boundary goes to both sides, so a level leaves about three quarters of a leaf's rows in each
+        depth = F.least(F.lit(LEAF_DEPTH), F.ceil(2.6 * F.log2(F.col("size") / leaf))).cast("int")
+        sizes = sizes.filter(F.col("size") > leaf).filter("was is null or size < 0.95 * was").select("leaf", "size", depth.alias("depth"))
+        if not sizes.limit(1).count():
+            return reduce(DataFrame.unionByName, [*done, rows]).drop("was")
+        nth = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("fp"), "fp"))
+        some = rows.join(sizes, "leaf").withColumn("nth", nth).filter(F.col("nth") <= LEAF_SAMPLE).select("leaf", "size", "depth", "fp")
+        n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        made = arrow(some.repartition(n, "leaf").sortWithinPartitions("leaf"), _subtrees, "leaf long, size long, points array<long>, radii array<int>")
+        # where the root parts nothing a leaf stays as it is
+        made = durable(made.filter("radii[0] >= 0"))
+        done.append(rows.join(made.select("leaf"), "leaf", "left_anti"))
+        rows = durable(arrow(rows.drop("was").join(made, "leaf"), _divide, "leaf long, home boolean, fp long, was long", bits=bits))
+
+
 def link(nodes: DataFrame, bits: int = BITS, leaf: int = LEAF) -> DataFrame:
     """(u, v): links that connect whatever fingerprints (distinct ``fp``) are within ``bits`` of each other."""
     spark = nodes.sparkSession
     depth, many = 0, nodes.count()
-    while leaf << depth < many:
+    while leaf << depth < many and SAMPLE >> depth > 4:
         depth += 1
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if depth else []
     top = tree(np.array(sample, np.int64).view(np.uint64), depth)
     routed = arrow(nodes.select("fp"), _route, "leaf long, home boolean, fp long", top=top, bits=bits)
+    routed = divided(routed, bits, 4 * leaf)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return arrow(routed.repartition(n, "leaf").sortWithinPartitions("leaf"), _links, "u long, v long", bits=bits)
 

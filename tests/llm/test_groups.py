@@ -251,6 +251,49 @@ def test_leaf_search_is_exact():
     assert all((i, at[j]) in visits or (j, at[i]) in visits for i, j in want)
 
 
+def test_leaves_are_divided_until_they_are_small(spark):
+    """Every link within the radius still meets in a leaf, and leaves are bounded."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    x = np.unique(np.concatenate([base ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, k % 5))) for k in range(8)]))
+    routed = spark.createDataFrame([(0, k % 9 > 0, int(v)) for k, v in enumerate(x.view(np.int64))], "leaf long, home boolean, fp long")
+    got = simhash.divided(routed, 3, 150).collect()
+    sizes, homes, visits = {}, {}, set()
+    for r in got:
+        sizes[r.leaf] = sizes.get(r.leaf, 0) + 1
+        visits.add((r.fp, r.leaf))
+        if r.home:
+            assert r.fp not in homes
+            homes[r.fp] = r.leaf
+    assert len(sizes) > 8 and max(sizes.values()) <= 200 and len(homes) == sum(k % 9 > 0 for k in range(len(x)))
+    signed = x.view(np.int64).tolist()
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3).tolist():
+            a, b = signed[i], signed[j]
+            if i != j and (a in homes or b in homes):
+                assert (a in homes and (b, homes[a]) in visits) or (b in homes and (a, homes[b]) in visits)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spanning_forest(seed):
+    rng = np.random.default_rng(seed)
+    n = 60
+    pairs = [rng.integers(0, n, (2, k)) for k in (40, 0, 25, 30)]
+    kept = simhash.forest(iter([(p[0], p[1]) for p in pairs]), n)
+    every = [(int(a), int(b)) for p in pairs for a, b in p.T]
+    assert linked(range(n), kept) == linked(range(n), every) and set(kept) <= set(every)
+    assert len(kept) == n - len(set(linked(range(n), every).values()))
+
+
+def test_fingerprints_in_steps():
+    texts = [t or "" for _, t in [*EDGE, *corpus(20)]]
+    simhash.BITS_AT_ONCE, held = 7, simhash.BITS_AT_ONCE
+    try:
+        assert simhash.fingerprints(texts).tolist() == [fingerprint(t) for t in texts]
+    finally:
+        simhash.BITS_AT_ONCE = held
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(4900, 4960)]
