@@ -8,8 +8,9 @@ A worker keeps results of recent pre-token groups in a two-generation memo of bo
 that the Python cost is that of distinct groups. A group ends where a space
 stands alone between other text: no token of the split pattern begins before it and goes past it.
 
-Defined results: a null or empty text has no tokens (digests of zero bytes); repeated rows each
-have their own; an empty table gives an empty table; only the id and the text are read.
+Defined results: a null or empty text has no tokens (digests of zero bytes); rows that repeat a doc_id, or have none, each
+have their own; a text of any length is encoded whole, the memo staying within its bound; pairs of one rank merge from the left; an
+empty table gives an empty table; only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import arrow, read, steps, texts
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of one memo generation; two are held.
 MEMO = 300_000
+#: Words that are looked up between two looks at the memo's size.
+STEP = 100_000
 #: Keys per bucket of the perfect hash, on average.
 BUCKET = 3
 
@@ -157,9 +160,12 @@ class Codec:
         if _TANGLED.search(text):  # white space beside a space: cut only where a token surely ends
             return b"".join([self.group(x) for x in _BREAK.split(text)])
         first, *rest = text.split(" ")
-        if len(self.memo) > MEMO:
-            self.memo = Memo(self.group, self.memo)
-        return self.group(first) + b"".join(map(self.memo.__getitem__, rest))
+        out = [self.group(first)]
+        for i in range(0, len(rest), STEP):  # a text's words may be more than the memo holds
+            if len(self.memo) > MEMO:
+                self.memo = Memo(self.group, self.memo)
+            out += map(self.memo.__getitem__, rest[i : i + STEP])
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens

@@ -11,9 +11,10 @@ the anchors' own ``iban`` (after its cue, the longest run of whole words that mo
 (after its cue, which no letter precedes, and not within a longer number) and ``login`` (user:password
 of a URL).
 
-Defined results: a null or empty text has no spans; repeated rows each have their own; an empty
+Defined results: a null or empty text has no spans; rows that repeat a doc_id, or have none, each have their own; a text of any
+length is read whole, in time that grows with it; of spans that tie in their start the kinds' order decides; an empty
 table gives an empty table; columns besides the id and the text are not read by ``find_pii``, and
-kept by ``mask_pii``.
+kept, whatever their names, by ``mask_pii``.
 """
 
 from __future__ import annotations

@@ -20,6 +20,9 @@ groups by prefixes of the suffixes whose length varies:
    which windows are equal. A window's weight and smallest doc_id go back to its leaf, from there to
    each run, and spans are gathered by row.
 
+Anchors and leaves with more than one in ``HOT`` of all runs, of which there can't be more than that many, are known by name
+before runs are joined: theirs are not shuffled, so none of them makes a hot task.
+
 A row of ``docs`` is known by (doc_id, k), k being a hash of its text: rows that share a doc_id but not
 the text are told apart, rows that share both are equal and share their spans.
 
@@ -44,6 +47,8 @@ from .common import STEP_CHARS, arrow, drop, durable
 U = np.uint64
 #: Rows (leaves, or parts of leaves) under one prefix that are ordered in memory.
 FIT = 1024
+#: A key with more than one in so many of all runs (and more than HOT_ROWS) is joined without a shuffle.
+HOT, HOT_ROWS = 1000, 10_000
 #: Bytes of bodies that are ordered at a time: a word has several, and a byte is a symbol of its own.
 ROOM = {True: 6_000_000, False: 1_500_000}
 
@@ -308,10 +313,15 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = durable(arrow(docs, _runs, RUNS, size=size, gram=gram, of_words=of_words, salt=os.urandom(16), room=room or STEP_CHARS))
-    shared = runs.groupBy("h").count().filter("count > 1").select("h", F.lit(True).alias("shared"))
+    anchors = durable(runs.groupBy("h").count().filter("count > 1"))
+    most = max(HOT_ROWS, runs.count() // HOT)
+    hot = [r.h for r in anchors.filter(F.col("count") > most).select("h").collect()]  # fewer than HOT
+    often = F.col("h").isin(hot) if hot else F.lit(False)
     # outer, from the runs' side: a row for each run, whatever the size of its group
-    live = durable(runs.join(shared, "h", "left").filter("shared").drop("shared"))
+    cold = runs.filter(~often).join(anchors.select("h", F.lit(True).alias("shared")), "h", "left").filter("shared").drop("shared")
+    live = durable(runs.filter(often).unionByName(cold))
     drop(runs)
+    drop(anchors)
     # first() takes all of a leaf's columns from one run
     leaves = durable(live.groupBy(*LEAF).agg(F.count("*").alias("many"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("doc_id", "k", "a", "s", "n"))))
     wanted = leaves.groupBy("doc_id", "k").agg(F.collect_list(F.struct(*LEAF, "many", "least", "a", "s", "n")).alias("wanted"))
@@ -320,6 +330,7 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     if level.count() > leaves.count():  # rows that are equal have each cut their leaves out
         twice, level = level, durable(level.dropDuplicates([*LEAF]))
         drop(twice)
+    common = durable(leaves.filter(F.col("many") > most).select(*LEAF, F.lit(True).alias("common")))  # fewer than HOT
     drop(leaves)
     tables, marks = [level], None
     for stride in [*strides(size, gram)[1:], 0]:
@@ -341,7 +352,11 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     for t in tables:
         drop(t)
     hit = F.filter("marks", lambda x: x["low"] < F.col("doc_id")) if ordered else F.col("marks")
-    spans = live.join(marks, [*LEAF], "left").select("doc_id", "k", F.explode(F.transform(hit, lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))).alias("span"))
+    # a common leaf has at most one mark for each suffix of a run: few enough, with its name, to be sent
+    named = live.join(F.broadcast(common), [*LEAF], "left")
+    met = named.filter("common").drop("common").join(F.broadcast(marks.join(F.broadcast(common), [*LEAF], "left_semi")), [*LEAF], "left")
+    met = met.unionByName(named.filter("common is null").drop("common").join(marks, [*LEAF], "left"))
+    spans = met.select("doc_id", "k", F.explode(F.transform(hit, lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))).alias("span"))
     return spans.groupBy("doc_id", "k").agg(F.collect_set("span").alias("spans"))
 
 

@@ -82,6 +82,17 @@ def test_repeats(spark, docs, fit):
     assert rows(suffix_array.dedup_bytes(df, fit=fit)) == sorted(bytes_brute(docs), key=repr)
 
 
+def test_hot_anchors_and_leaves(spark, monkeypatch):
+    """Keys that are joined without a shuffle give the same."""
+    from larkspur.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_ROWS", 5)
+    monkeypatch.setattr(repeats, "HOT", 20)
+    docs = [*corpus(40, 6), *((i, "same " * 30 + " ".join(f"w{k}" for k in range(60)) + f" end{i % 3}") for i in range(300, 360))]
+    assert rows(substring_dedup.dedup_words(frame(spark, docs))) == sorted(words_brute(docs), key=repr)
+    assert rows(suffix_array.dedup_bytes(frame(spark, docs))) == sorted(bytes_brute(docs), key=repr)
+
+
 def test_repeats_in_steps(spark):
     """Texts longer than a step give the same."""
     docs = [*corpus(20, 6), (7, " ".join(t for _, t in corpus(20, 6)))]

@@ -55,3 +55,14 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in rows} == want
     assert len(rows) == len(want)
+
+
+def test_pipeline_on_few_rows(spark, sf_dir, tmp_path):
+    """Nulls, repeated rows and clashing columns; and no rows at all."""
+    rows = [(1, None), (2, ""), (3, "Plain words stand here, x@y.zz too."), (3, "Plain words stand here, x@y.zz too."), (None, "Nobody knows me.")]
+    for name, docs in (("some", frame(spark, rows)), ("none", frame(spark, rows).filter("false"))):
+        spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r.doc_id for r in out} <= {1, 2, 3, None} and all(r.length >= 1 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []

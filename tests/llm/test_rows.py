@@ -100,6 +100,23 @@ def test_perfect_hash(codec):
     assert codec.whole(b"surely not one token") is None
 
 
+def test_bpe_memo_stays_bounded(codec, peer, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO", 50)
+    monkeypatch.setattr(byte_bpe, "STEP", 20)
+    text = " ".join(f"zq{k * 7919}x" for k in range(2000))
+    assert list(memoryview(codec.encode(text)).cast("I")) == peer.encode_ordinary(text) and len(codec.memo) <= 70
+
+
+def test_rows_that_repeat_or_are_none(spark, peer):
+    path, twice = P.path("byte_bpe_multi_50k.tiktoken"), [(1, "a b"), (1, "a b"), (1, "other a@b.cc"), (None, "x"), (2, None)]
+    got = byte_bpe.round_trip(frame(spark, twice), path, P.PATTERN).collect()
+    assert sorted((repr(r.doc_id), r.n_tokens) for r in got) == sorted((repr(i), len(peer.encode_ordinary(t or ""))) for i, t in twice)
+    assert byte_bpe.round_trip(frame(spark, twice).filter("false"), path, P.PATTERN).collect() == []
+    found = pii.find_pii(frame(spark, twice)).collect()
+    assert sorted((repr(r.doc_id), r.n_email) for r in found) == sorted((repr(i), int("@" in (t or ""))) for i, t in twice)
+    assert pii.find_pii(frame(spark, twice).filter("false")).collect() == []
+
+
 def test_bpe_over_documents(spark, peer):
     docs = [*EDGE, *corpus(20)]
     got = by_id(byte_bpe.round_trip(frame(spark, docs), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN))
