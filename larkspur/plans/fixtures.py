@@ -18,8 +18,6 @@ EVENTS = """SELECT * FROM (VALUES
 ) AS t(seq, record_type, op, key, value_json)"""
 LOGINS = "SELECT * FROM (VALUES ('hash-a', '00ff10ab', 'c1', 'node-1'), ('', '', 'c2', 'node-1'), ('hash-b', 'deadbeef', '', '')) AS t(pw_hash, nonce_hex, challenge, node)"
 RIGHTS_TEXT = "SELECT * FROM (VALUES ('read'), (' Write '), ('CREATE'), ('publish'), ('local'), ('public'), ('admin'), ('0xff'), ('0x8000000000000000'), ('17'), ('18446744073709551615'), ('18446744073709551616'), ('-1'), ('none'), (''), ('0xfffffffffffffffff')) AS t(s)"
-PENDING = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'src1', 'a'), (CAST(2 AS BIGINT), 'src2', 'b'), (CAST(3 AS BIGINT), 'src1', 'c')) AS t(req_id, peer, path)"
-RESPONSES = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'text a', ''), (CAST(3 AS BIGINT), '', 'not_found'), (CAST(9 AS BIGINT), 'unasked', '')) AS t(req_id, text, error)"
 
 
 def spark(sql: str) -> str:

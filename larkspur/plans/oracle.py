@@ -118,6 +118,7 @@ def plausible(x: str) -> str:
 CLEAN = f"coalesce(array_to_string(list_transform(list_filter({LINES}, lambda x: NOT {gibberish('x')}), lambda x: {collapse('x')}), chr(10)), '')"
 PEOPLE = "people AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE replace(c_name, '#', '_') END AS \"user\", c_mktsegment AS grp, sha256(c_name) AS pw_hash, c_acctbal < 0 AS locked FROM customer)"
 KNOWN = f"{PEOPLE}, grps AS (SELECT DISTINCT grp AS name FROM people WHERE grp <> 'MACHINERY'), users AS (SELECT \"user\", locked, pw_hash FROM people WHERE c_custkey % 5 = 0 AND c_custkey % 7 <> 0)"
+RIGHTS_OF = f"{X.GROUPS} UNION ALL SELECT n_nationkey::VARCHAR, 1::BIGINT << n_nationkey FROM nation UNION ALL SELECT DISTINCT c_mktsegment, (1::BIGINT << (30 + length(c_mktsegment))::INT) + CASE WHEN c_mktsegment < 'C' THEN {X.ADMIN} ELSE 0 END FROM customer"
 VALID = "regexp_full_match({0}, '[A-Za-z0-9_.-]{{1,64}}')"
 USER_VERDICTS = f"""SELECT "user", grp, pw_hash, CASE WHEN NOT {VALID.format('"user"')} THEN 'invalid_input' WHEN grp NOT IN (SELECT name FROM grps) THEN 'not_found' WHEN "user" IN (SELECT "user" FROM users) THEN 'already_exists' END AS error FROM people"""
 
@@ -134,7 +135,7 @@ SQL: dict[str, str] = {
     "ascii_valid": f"SELECT doc_id, length({TEXT}) BETWEEN 1 AND 4096 AND regexp_full_match({TEXT}, '[ -~]*') AS valid FROM documents",
     "base_name": "SELECT page_id, CASE WHEN n IN ('', '.', '..') THEN 'file.bin' ELSE n END AS name FROM (SELECT page_id, list_last(string_split(rtrim(url, '/'), '/')) AS n FROM pages)",
     "truncate_chars": f"SELECT doc_id, substr({TEXT}, 1, 320) AS head, '' AS none FROM documents",
-    "rights_parse": f"SELECT s, CAST(CASE {' '.join(f'WHEN t = {r!r} THEN {1 << i}' for i, r in enumerate(RIGHTS))} WHEN t = 'admin' THEN {X.ADMIN} WHEN regexp_full_match(t, '0x\\+?0*[0-9a-f]{{1,16}}') THEN {SIGNED.format(HEX)} WHEN {NUMBER} < 18446744073709551616 THEN {SIGNED.format(NUMBER)} END AS BIGINT) AS rights FROM (SELECT s, lower(trim(s)) AS t FROM ({X.RIGHTS_TEXT}))",
+    "rights_parse": f"SELECT s, CAST(CASE {' '.join(f'WHEN t = {r!r} THEN {1 << i}' for i, r in enumerate(RIGHTS))} WHEN t = 'admin' THEN {X.ADMIN} WHEN regexp_full_match(t, '0x\\+?0*[0-9a-f]{{1,16}}') THEN {SIGNED.format(HEX)} WHEN {NUMBER} < 18446744073709551616 THEN {SIGNED.format(NUMBER)} END AS BIGINT) AS rights FROM (SELECT s, lower(trim(s)) AS t FROM ({X.RIGHTS_TEXT} UNION ALL SELECT ' 0X' || hex((p_retailprice * 100)::BIGINT) FROM part UNION ALL SELECT '+' || (p_retailprice * 100)::BIGINT FROM part UNION ALL SELECT p_brand FROM part))",
     "term_freq": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens(TEXT)}) AS term FROM documents) GROUP BY ALL",
     "doc_freq": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tokens(TEXT)}) AS term FROM documents) GROUP BY term",
     "doc_length_stats": f"SELECT count(*) AS n_docs, sum(len({tokens(TEXT)}))::BIGINT AS total_len, round(greatest(sum(len({tokens(TEXT)})), 1) / greatest(count(*), 1), 6) AS avgdl FROM documents",
@@ -165,19 +166,20 @@ SQL: dict[str, str] = {
     "page_clean": f"SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(lines, lambda x: NOT {gibberish('x')}), lambda x: {collapse('x')}), chr(10)), '') AS text FROM (SELECT doc_id, {LINES} AS lines FROM documents)",
     "page_plausible": f"SELECT doc_id, {strip(TEXT)} <> '' AND length({TEXT}) >= 5 AND length(b) > 0 AND NOT (length(b) >= 40 AND {count('b', T.ALNUM)} / length(b) < 0.15) AS plausible FROM (SELECT doc_id, text, regexp_replace({TEXT}, '{T.CONTROL}', '', 'g') AS b FROM documents)",
     "content_hash": f"SELECT doc_id, sha256({TEXT}) AS sha256 FROM documents",
-    "login_proof": f"SELECT challenge, pw_hash, sha256(unhex(sha256(pw_hash)) || unhex(nonce_hex) || encode(challenge) || encode(node)) AS proof FROM ({X.LOGINS})",
+    "login_proof": f"SELECT challenge, pw_hash, sha256(unhex(sha256(pw_hash)) || unhex(nonce_hex) || encode(challenge) || encode(node)) AS proof FROM ({X.LOGINS} UNION ALL SELECT c_mktsegment, md5(c_name), c_name, c_nationkey::VARCHAR FROM customer)",
     "chat_topic": "SELECT a.n_name, b.n_name AS other, CASE WHEN a.n_name < b.n_name THEN 'chat-' || a.n_name || '-' || b.n_name ELSE 'chat-' || b.n_name || '-' || a.n_name END AS topic FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name",
     "sync_changed": f"WITH {TRACKER} SELECT d.doc_id AS path, d.n_chars AS mtime, CASE WHEN t.path IS NULL THEN 'new' ELSE 'changed' END AS status FROM documents d LEFT JOIN tracker t ON t.path = d.doc_id WHERE t.path IS NULL OR t.mtime <> d.n_chars",
     "sync_deleted": "SELECT doc_id AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND lang = 'fr'",
     "sync_vector_changed": f"WITH {TRACKER} SELECT d.doc_id AS path, d.n_chars AS mtime, sha256(d.text) AS sha256, CASE WHEN t.path IS NULL THEN 'new' ELSE 'changed' END AS status FROM documents d LEFT JOIN tracker t ON t.path = d.doc_id WHERE {strip('coalesce(d.text, ' + repr('') + ')')} <> '' AND (t.path IS NULL OR t.mtime <> d.n_chars OR t.sha <> sha256(d.text))",
-    "doc_fetch_upsert": f"SELECT coalesce(p.req_id, r.req_id) AS req_id, p.peer, p.path, r.req_id IS NOT NULL AS done, coalesce(r.text, '') AS text, coalesce(r.error, '') AS error FROM ({X.PENDING}) p FULL JOIN ({X.RESPONSES}) r ON p.req_id = r.req_id",
+    "doc_fetch_upsert": f"""WITH p AS (SELECT * FROM documents WHERE doc_id % 7 <> 0), r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {TEXT} END AS t, CASE WHEN doc_id % 5 = 0 THEN 'not_found' ELSE '' END AS e FROM documents WHERE doc_id % 3 <> 0)
+SELECT coalesce(p.doc_id, r.doc_id) AS req_id, p.source AS peer, 'd/' || p.doc_id AS path, r.doc_id IS NOT NULL AS done, coalesce(t, '') AS text, coalesce(e, '') AS error FROM p FULL JOIN r ON p.doc_id = r.doc_id""",
     "dedup_messages": "SELECT DISTINCT sha256(event_type || '|' || user_id || '|' || props) AS hash, event_type AS kind, user_id || '|' || props AS payload FROM events",
     "peer_presence": "SELECT user_id AS peer, event_type <> 'error' AS online FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "message_counts": "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type",
     "event_ring": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 200",
-    "session_valid": f'SELECT session, "user", expires FROM ({X.SESSIONS}) WHERE NOT (expires < {X.NOW})',
-    "iam_group_rights": f'SELECT m."user", bit_or(g.rights) AS rights FROM ({X.MEMBERSHIPS}) m JOIN ({X.GROUPS}) g ON m.grp = g.name GROUP BY m."user"',
-    "iam_groups_list": f"SELECT name, (CASE WHEN rights < 0 THEN rights::HUGEINT + 18446744073709551616 ELSE rights::HUGEINT END)::VARCHAR AS rights FROM ({X.GROUPS}) ORDER BY name",
+    "session_valid": f'SELECT session, "user", expires FROM ({X.SESSIONS} UNION ALL SELECT event_id::VARCHAR, user_id::VARCHAR, event_id % 2000 FROM events) WHERE NOT (expires < {X.NOW})',
+    "iam_group_rights": f'SELECT m."user", bit_or(g.rights) AS rights FROM ({X.MEMBERSHIPS} UNION ALL SELECT c_name, unnest([c_mktsegment, c_nationkey::VARCHAR, \'gone\']) FROM customer) m JOIN ({RIGHTS_OF}) g ON m.grp = g.name GROUP BY m."user"',
+    "iam_groups_list": f"SELECT name, (CASE WHEN rights < 0 THEN rights::HUGEINT + 18446744073709551616 ELSE rights::HUGEINT END)::VARCHAR AS rights FROM ({RIGHTS_OF}) ORDER BY name",
     "iam_longest_prefix": f"{BEST_RULE} SELECT page_id, path_id FROM best",
     "iam_access_check": f"""{BEST_RULE},
  asked(right_name, wanted, public_scope) AS (VALUES {', '.join(f"('{n}', {w}, {str(p).lower()})" for n, w, p in X.WANTED)}),
@@ -191,9 +193,10 @@ SQL: dict[str, str] = {
   FROM best CROSS JOIN asked CROSS JOIN who LEFT JOIN live ON live.session = who.session LEFT JOIN own ON own."user" = live."user")
 SELECT case_id, CASE WHEN no IN ('invalid_path', 'no_session') THEN NULL WHEN no IS NOT NULL THEN false ELSE (eff & wanted) = wanted END AS allowed,
  coalesce(no, CASE WHEN (eff & wanted) = wanted THEN 'allow' ELSE 'deny' END) AS reason, CASE WHEN no IS NULL THEN eff ELSE 0 END::BIGINT AS effective FROM judged""",
-    "iam_replay": f"SELECT record_type, key, value_json FROM (SELECT *, row_number() OVER (PARTITION BY record_type, key ORDER BY seq DESC) AS rn FROM ({X.EVENTS}) WHERE trim(key) <> '' AND strlen(key) <= 512 AND (op = 'delete' OR value_json IS NOT NULL)) WHERE rn = 1 AND op = 'upsert'",
-    "iam_export": f"""SELECT 'group' AS record_type, name AS key, to_json({{'name': name, 'rights': rights}})::VARCHAR AS value_json FROM ({X.GROUPS})
- UNION ALL SELECT 'membership', "user" || '::' || grp, to_json({{'user': "user", 'grp': grp}})::VARCHAR FROM ({X.MEMBERSHIPS})
+    "iam_replay": f"""WITH e AS ({X.EVENTS} UNION ALL SELECT event_id + 100, event_type, CASE WHEN event_id % 4 = 0 THEN 'delete' ELSE 'upsert' END, CASE WHEN user_id % 50 = 0 THEN ' ' ELSE user_id::VARCHAR END, CASE WHEN event_id % 9 <> 0 THEN props END FROM events)
+SELECT record_type, key, value_json FROM (SELECT *, row_number() OVER (PARTITION BY record_type, key ORDER BY seq DESC) AS rn FROM e WHERE trim(key) <> '' AND strlen(key) <= 512 AND (op = 'delete' OR value_json IS NOT NULL)) WHERE rn = 1 AND op = 'upsert'""",
+    "iam_export": f"""WITH {PEOPLE} SELECT 'group' AS record_type, name AS key, to_json({{'name': name, 'rights': rights}})::VARCHAR AS value_json FROM ({RIGHTS_OF})
+ UNION ALL SELECT 'membership', "user" || '::' || grp, to_json({{'user': "user", 'grp': grp}})::VARCHAR FROM people
  UNION ALL SELECT 'path', path_id, to_json({{'path_id': path_id, 'prefix': prefix, 'grp': grp, 'is_public': is_public, 'rights': rights}})::VARCHAR FROM ({X.PATHS})""",
     "topic_valid": "SELECT name, regexp_full_match(name, '[A-Za-z0-9._-]{1,128}') AS valid FROM (SELECT p_name AS name FROM part UNION ALL SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation)",
     "trim_truncate": f"SELECT doc_id, left({strip(TEXT)}, 64) AS head FROM documents",

@@ -125,7 +125,11 @@ def truncate_chars(spark, d):
 
 @query
 def rights_parse(spark, d):
-    return values(spark, X.RIGHTS_TEXT).select("s", V.rights_parse(F.col("s")).alias("rights"))
+    """The fixed spellings, and every part's sizes and prices written as numbers."""
+    p = read(spark, d, "part")
+    cents = (F.col("p_retailprice") * 100).cast("long")
+    made = p.select(F.concat(F.lit(" 0X"), F.hex(cents)).alias("s")).union(p.select(F.concat(F.lit("+"), cents.cast("string")))).union(p.select("p_brand"))
+    return values(spark, X.RIGHTS_TEXT).union(made).select("s", V.rights_parse(F.col("s")).alias("rights"))
 
 
 # Aggregates of a collection
@@ -304,7 +308,9 @@ def content_hash(spark, d):
 
 @query
 def login_proof(spark, d):
-    return values(spark, X.LOGINS).withColumn("nonce", F.unhex("nonce_hex")).select("challenge", "pw_hash", access.login_proof("pw_hash", "nonce", "challenge", "node").alias("proof"))
+    c = read(spark, d, "customer").select(F.col("c_mktsegment").alias("pw_hash"), F.md5("c_name").alias("nonce_hex"), F.col("c_name").alias("challenge"), F.col("c_nationkey").cast("string").alias("node"))
+    rows = values(spark, X.LOGINS).unionByName(c).withColumn("nonce", F.unhex("nonce_hex"))
+    return rows.select("challenge", "pw_hash", access.login_proof("pw_hash", "nonce", "challenge", "node").alias("proof"))
 
 
 @query
@@ -346,7 +352,11 @@ def sync_vector_changed(spark, d):
 
 @query
 def doc_fetch_upsert(spark, d):
-    return sync.upsert(values(spark, X.PENDING), values(spark, X.RESPONSES))
+    """Fetches of every document but each seventh, answered for all but each third, some with an error."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("req_id"), F.col("source").alias("peer"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), _text().alias("text"))
+    failed = F.col("req_id") % 5 == 0
+    answers = docs.filter("req_id % 3 <> 0").select("req_id", F.when(failed, "").otherwise(F.col("text")).alias("text"), F.when(failed, "not_found").otherwise("").alias("error"))
+    return sync.upsert(docs.filter("req_id % 7 <> 0").drop("text"), answers)
 
 
 # Messages and presence, over events
@@ -379,7 +389,8 @@ def event_ring(spark, d):
 
 @query
 def session_valid(spark, d):
-    return access.live(values(spark, X.SESSIONS), X.NOW)
+    sessions = read(spark, d, "events").select(F.col("event_id").cast("string").alias("session"), F.col("user_id").cast("string").alias("user"), (F.col("event_id") % 2000).alias("expires"))
+    return access.live(values(spark, X.SESSIONS).unionByName(sessions), X.NOW)
 
 
 # Access control
@@ -387,13 +398,15 @@ def session_valid(spark, d):
 
 @query
 def iam_group_rights(spark, d):
-    return access.group_rights(values(spark, X.MEMBERSHIPS), values(spark, X.GROUPS))
+    """Everyone is in the group of their segment, of their nation and of one that doesn't exist."""
+    p = read(spark, d, "customer").select(F.col("c_name").alias("user"), F.explode(F.array("c_mktsegment", F.col("c_nationkey").cast("string"), F.lit("gone"))).alias("grp"))
+    return access.group_rights(values(spark, X.MEMBERSHIPS).unionByName(p), _rights(spark, d))
 
 
 @query
 def iam_groups_list(spark, d):
     shown = F.when(F.col("rights") < 0, F.col("rights").cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.col("rights").cast("decimal(20,0)"))
-    return values(spark, X.GROUPS).select("name", shown.cast("string").alias("rights")).orderBy("name")
+    return _rights(spark, d).select("name", shown.cast("string").alias("rights")).orderBy("name")
 
 
 @query
@@ -412,13 +425,17 @@ def iam_access_check(spark, d):
 
 @query
 def iam_replay(spark, d):
-    return access.replay(values(spark, X.EVENTS))
+    """The fixed cases, and an event for each of the event table: deletes, upserts with and without a value, blank keys."""
+    e = read(spark, d, "events")
+    key = F.when(F.col("user_id") % 50 == 0, F.lit(" ")).otherwise(F.col("user_id").cast("string"))
+    made = e.select((F.col("event_id") + 100).alias("seq"), F.col("event_type").alias("record_type"), F.when(F.col("event_id") % 4 == 0, "delete").otherwise("upsert").alias("op"), key.alias("key"), F.when(F.col("event_id") % 9 != 0, F.col("props")).alias("value_json"))
+    return access.replay(values(spark, X.EVENTS).unionByName(made))
 
 
 @query
 def iam_export(spark, d):
-    groups = values(spark, X.GROUPS).withColumn("key", F.col("name"))
-    members = values(spark, X.MEMBERSHIPS).withColumn("key", F.concat_ws("::", "user", "grp"))
+    groups = _rights(spark, d).withColumn("key", F.col("name"))
+    members = _people(spark, d).select("user", "grp").withColumn("key", F.concat_ws("::", "user", "grp"))
     paths = values(spark, X.PATHS).withColumn("key", F.col("path_id"))
     return access.export(group=groups, membership=members, path=paths)
 
@@ -569,6 +586,13 @@ def _groups(spark, d):
     return _people(spark, d).filter("grp <> 'MACHINERY'").select(F.col("grp").alias("name"), F.lit(1).cast("long").alias("rights")).distinct()
 
 
+def _rights(spark, d):
+    """The fixed groups, one for each nation with the right of its number, and one for each segment."""
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.expr("shiftleft(1L, n_nationkey)").alias("rights"))
+    segments = read(spark, d, "customer").select("c_mktsegment").distinct().select(F.col("c_mktsegment").alias("name"), F.expr("shiftleft(1L, 30 + length(c_mktsegment)) + IF(c_mktsegment < 'C', -9223372036854775807L - 1L, 0L)").alias("rights"))
+    return values(spark, X.GROUPS).unionByName(nations).unionByName(segments)
+
+
 def _users(spark, d):
     return _people(spark, d).filter("c_custkey % 5 = 0 and c_custkey % 7 <> 0").select("user", "locked", "pw_hash")
 
