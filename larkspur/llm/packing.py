@@ -226,7 +226,6 @@ def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
 
 
 _SWEPT = ("doc_id", "piece", "start", "length", "ids_crc32", "size", "sequence_id", "what", "part", "rank", "offset")
-STATE = f"{PIECES}, size long, gap boolean, sequence_id long"
 SWEPT = f"{PIECES}, size long, sequence_id long, what int, part long, rank long, offset long"
 
 

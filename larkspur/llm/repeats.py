@@ -26,7 +26,7 @@ before runs are joined: theirs are not shuffled, so none of them makes a hot tas
 A row of ``docs`` is known by (doc_id, k), k being a hash of its text: rows that share a doc_id but not
 the text are told apart, rows that share both are equal and share their spans.
 
-Nothing is dropped or capped. Texts longer than ``STEP_CHARS`` are read in steps that overlap.
+Nothing is dropped or capped. Texts longer than ``READ`` are read in steps that overlap.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ U = np.uint64
 FIT = 1024
 #: A key with more than one in so many of all runs (and more than HOT_ROWS) is joined without a shuffle.
 HOT, HOT_ROWS = 1000, 10_000
-#: Bytes of bodies that are ordered at a time: a word has several, and a byte is a symbol of its own.
-ROOM = {True: 6_000_000, False: 1_500_000}
+#: Bytes of bodies that are ordered at a time, and of texts that are read at a time: a word has several, and a byte is a symbol of its own.
+ROOM = {True: 6_000_000, False: 700_000}
+READ = {True: STEP_CHARS, False: 800_000}
 
 RUNS = "h long, e1 long, e2 long, doc_id long, k long, a int, s int, n int"
 LEAVES = "g long, h long, e1 long, e2 long, least long, many long, o int, w int, n int, body binary"
@@ -165,6 +166,7 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, gram: int, of_words: boo
         if not (length >= size).any():
             continue
         grams = Ranges(coded).grams(gram)
+        coded = None
         place = lowest((grams >> U(32) << U(32)) | np.arange(len(grams), dtype=U), size - gram + 1)
         many = np.maximum(length - size + 1, 0)
         start = np.arange(many.sum()) + np.repeat(begin[:-1] - (np.cumsum(many) - many), many)
@@ -312,7 +314,7 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = durable(arrow(docs, _runs, RUNS, size=size, gram=gram, of_words=of_words, salt=os.urandom(16), room=room or STEP_CHARS))
+    runs = durable(arrow(docs, _runs, RUNS, size=size, gram=gram, of_words=of_words, salt=os.urandom(16), room=room or READ[of_words]))
     anchors = durable(runs.groupBy("h").count().filter("count > 1"))
     most = max(HOT_ROWS, runs.count() // HOT)
     hot = [r.h for r in anchors.filter(F.col("count") > most).select("h").collect()]  # fewer than HOT
@@ -351,11 +353,14 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     marks = durable(marks.groupBy(*LEAF).agg(F.collect_set(F.struct("lo", "hi", "low")).alias("marks")))  # at most one for each suffix of a run
     for t in tables:
         drop(t)
-    hit = F.filter("marks", lambda x: x["low"] < F.col("doc_id")) if ordered else F.col("marks")
-    # a common leaf has at most one mark for each suffix of a run: few enough, with its name, to be sent
-    named = live.join(F.broadcast(common), [*LEAF], "left")
-    met = named.filter("common").drop("common").join(F.broadcast(marks.join(F.broadcast(common), [*LEAF], "left_semi")), [*LEAF], "left")
-    met = met.unionByName(named.filter("common is null").drop("common").join(marks, [*LEAF], "left"))
+    # A common leaf has at most one mark for each suffix of a run: few enough, with its name, to be sent. Both joins are from the
+    # runs' side; a run of a common leaf has a key of its own in the second, which nothing has and which spreads such runs.
+    sent = marks.join(F.broadcast(common), [*LEAF], "left_semi").withColumnRenamed("marks", "sent")
+    met = live.join(F.broadcast(sent), [*LEAF], "left")
+    own = F.when(F.col("sent").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "k", "s"))
+    met = met.withColumn("h", own).withColumn("e2", F.when(F.col("sent").isNull(), F.col("e2"))).join(marks, [*LEAF], "left")
+    marks = F.coalesce("sent", "marks")
+    hit = F.filter(marks, lambda x: x["low"] < F.col("doc_id")) if ordered else marks
     spans = met.select("doc_id", "k", F.explode(F.transform(hit, lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))).alias("span"))
     return spans.groupBy("doc_id", "k").agg(F.collect_set("span").alias("spans"))
 

@@ -32,7 +32,7 @@ WINDOW = 400
 #: Bytes of an anchor.
 GRAM = 96
 #: Bytes that a pass reads: one digit at first, which parts most buckets, then several.
-DIGIT, PASS = 8, 64
+DIGIT, PASS = 8, 32
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
