@@ -20,8 +20,8 @@ groups by prefixes of the suffixes whose length varies:
    which windows are equal. A window's weight and smallest doc_id go back to its leaf, from there to
    each run, and spans are gathered by row.
 
-Anchors and leaves with more than one in ``HOT`` of all runs, of which there can't be more than that many, are known by name
-before runs are joined: theirs are not shuffled, so none of them makes a hot task.
+Anchors, leaves and prefixes with more than one in ``HOT`` of all rows, of which there can't be more than that many, are known by
+name before rows are joined: theirs are not shuffled, so none of them makes a hot task.
 
 A row of ``docs`` is known by (doc_id, k), k being a hash of its text: rows that share a doc_id but not
 the text are told apart, rows that share both are equal and share their spans.
@@ -336,10 +336,15 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     drop(leaves)
     tables, marks = [level], None
     for stride in [*strides(size, gram)[1:], 0]:
-        big = level.groupBy("g").count().filter(F.col("count") > fit).select("g", F.lit(True).alias("big"))
-        last = not big.limit(1).count()
-        tagged = level if last else level.join(big, "g", "left")
-        fits = level if last else tagged.filter("big is null").drop("big")
+        sizes = level.groupBy("g").count().filter(F.col("count") > fit)
+        limit = max(fit, level.count() // HOT)
+        named = [r.g for r in sizes.filter(F.col("count") > limit).select("g").collect()]  # fewer than HOT
+        tagged = level.withColumn("big", F.col("g").isin(named) if named else F.lit(False))
+        if limit > fit:  # others, none of which makes a hot task, are found by a join
+            others = sizes.filter(F.col("count") <= limit).select("g", F.lit(True).alias("other"))
+            tagged = tagged.filter("big").unionByName(tagged.filter("not big").join(others, "g", "left").select(*level.columns, F.coalesce("other", F.lit(False)).alias("big")))
+        last = not named and (limit == fit or not sizes.limit(1).count())
+        fits = level if last else tagged.filter("not big").drop("big")
         found = arrow(fits.repartition(n, "g").sortWithinPartitions("g"), _marks, MARKS, size=size, of_words=of_words, method=method, room=ROOM[of_words])
         marks = found if marks is None else marks.unionByName(found)
         if last:

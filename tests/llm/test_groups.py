@@ -89,8 +89,9 @@ def test_hot_anchors_and_leaves(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_ROWS", 5)
     monkeypatch.setattr(repeats, "HOT", 20)
     docs = [*corpus(40, 6), *((i, "same " * 30 + " ".join(f"w{k}" for k in range(60)) + f" end{i % 3}") for i in range(300, 360))]
-    assert rows(substring_dedup.dedup_words(frame(spark, docs))) == sorted(words_brute(docs), key=repr)
-    assert rows(suffix_array.dedup_bytes(frame(spark, docs))) == sorted(bytes_brute(docs), key=repr)
+    for fit in (2, 1024):
+        assert rows(substring_dedup.dedup_words(frame(spark, docs), fit=fit)) == sorted(words_brute(docs), key=repr)
+        assert rows(suffix_array.dedup_bytes(frame(spark, docs), fit=fit)) == sorted(bytes_brute(docs), key=repr)
 
 
 def test_repeats_in_steps(spark):
