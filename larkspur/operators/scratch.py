@@ -13,7 +13,7 @@ def folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder; a local one only where none is set and Spark runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.gettempdir()}"
     return f"{top}/larkspur-{uuid.uuid4().hex}"
