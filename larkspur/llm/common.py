@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import operator
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -131,6 +133,29 @@ def scope(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+#: Keys that more than one in so many rows have (and more than OFTEN_ROWS) meet their table without a shuffle.
+OFTEN, OFTEN_ROWS = 1000, 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each of ``keys`` at most once (null where it has none).
+
+    Keys that many rows share are counted first, and are fewer than OFTEN: their rows of ``table`` are sent to
+    where ``rows`` are, and those rows, and rows without a key, are spread by a salt in the join that the others meet the table in. So no key
+    makes a hot task, whatever its share. Both joins have a row for each of ``rows``.
+    """
+    names = [c for c in table.columns if c not in keys]
+    many = rows.groupBy(*keys).count()
+    most = F.lit(max(OFTEN_ROWS, rows.count() // OFTEN))
+    often = many.filter(F.col("count") > most).select(*keys)
+    sent = table.join(F.broadcast(often), keys, "left_semi").select(*keys, F.struct(*names).alias("_sent"))
+    met = rows.join(F.broadcast(sent), keys, "left")
+    meets = F.col("_sent").isNull() & reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
+    met = met.withColumn("_salt", F.when(meets, 0).otherwise(F.spark_partition_id() + 1))
+    held = table.select(*keys, F.lit(0).alias("_salt"), F.struct(*names).alias("_held"))
+    return met.join(held, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_sent", "_held")).select(*rows.columns, "_found.*")
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least ``rows``, for steps with a cost per batch."""
     held: list[pa.RecordBatch] = []

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, gathered, read
+from .common import arrow, durable, gathered, lookup, read
 from .components import components
 from .embeddings import matrix, sample, usable
 from .simhash import forest
@@ -221,7 +221,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     more = found.filter("u = v").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "cid")
     known = classes.select("a", "b", "cid", "n").join(more, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
     known = known.select("a", "b", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "cid").alias("component"))
-    out = rows.select("vec_id", "a", "b").join(known, ["a", "b"], "left")
+    out = lookup(rows.select("vec_id", "a", "b"), known, ["a", "b"])
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce("component", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, fresh, read
+from .common import arrow, durable, fresh, lookup, read
 
 #: Labelled rows, at most, that the model is fitted on: those with the smallest hashes of doc_id.
 TRAIN = 20_000
@@ -166,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rest = F.lit(_bounded(prior)) if (many or 0) < 2 else (F.lit(total) - F.col("own")) / 1e6 / (many - 1)
     host_prior = ((F.col("host_sum") - F.col("own")) / 1e6 + k_host * rest) / (F.col("host_n") - 1 + k_host)
     path_prior = ((F.col("sum") - F.col("own")) / 1e6 + k_path * host_prior) / (F.col("n") - 1 + k_path)
-    out = scored.join(paths, ["host", "path"]).select("doc_id", "evidence", host_prior.alias("host_prior"), path_prior.alias("path_prior"))
+    out = lookup(scored, paths, ["host", "path"]).select("doc_id", "evidence", host_prior.alias("host_prior"), path_prior.alias("path_prior"))
     bound = F.least(F.greatest("path_prior", F.lit(1e-3)), F.lit(1 - 1e-3))
     out = out.withColumn("quality", 1 / (1 + F.exp(-(F.col("evidence") + _logit(bound)))))
     kept = F.lit(True) if model is None else F.col("quality") >= 0.5

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, durable, fresh, gathered, read, steps, texts
+from .common import arrow, durable, fresh, gathered, lookup, read, steps, texts
 from .components import components
 from .repeats import mix, words
 
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return lookup(prints, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -477,7 +477,7 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     mark = fresh(docs, "kept_id")
-    kept = prints.join(nodes.join(least, "component").select("node", "component_id"), "node").filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    kept = lookup(prints.select("doc_id", "node"), nodes.join(least, "component").select("node", "component_id"), ["node"]).filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
     own = F.col(f"`{id_col}`")
     return docs.join(kept, own == F.col(mark), "left").filter(own.isNull() | F.col(mark).isNotNull()).drop(mark)
 

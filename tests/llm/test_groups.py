@@ -306,6 +306,20 @@ def test_fingerprints_in_steps():
         simhash.BITS_AT_ONCE = held
 
 
+def test_lookup_of_hot_keys(spark, monkeypatch):
+    from larkspur.llm import common
+
+    monkeypatch.setattr(common, "OFTEN_ROWS", 5)
+    monkeypatch.setattr(common, "OFTEN", 10)
+    left = [(k % 4 if k % 3 else 7, "x", k) for k in range(200)] + [(None, "x", 1), (8, None, 2), (9, "x", 3)]
+    table = [(k, "x", k * 10, f"v{k}") for k in (0, 1, 7, 9)] + [(None, "x", 5, "none")]
+    a = spark.createDataFrame(left, "key long, other string, n long")
+    b = spark.createDataFrame(table, "key long, other string, value long, name string")
+    held = {(k, o): (v, m) for k, o, v, m in table if k is not None}
+    want = sorted(((k, o, n, *held.get((k, o), (None, None))) for k, o, n in left), key=repr)
+    assert rows(common.lookup(a, b, ["key", "other"])) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(4900, 4960)]
