@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch; whole texts may be long, so batches are kept short.
 ARROW_ROWS = 1000
 #: Characters of text that one vectorised step works on at a time.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -42,6 +42,8 @@ from .common import arrow, drop, durable, read, steps, texts
 
 CAPACITY = 4096
 END = 1
+#: Characters that words are gathered from at a time: the more, the fewer are met again.
+STEP = 2_000_000
 #: Words that one memo generation of a worker holds.
 MEMO = 500_000
 #: Words with other than Latin letters and ASCII marks, one to a line: those that the pattern below might split otherwise than the tokenizer, or that NFC changes.
@@ -127,7 +129,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: in
     own = _TOKENIZERS.setdefault(path, None) or WordTokens(path)
     _TOKENIZERS[path] = own
     mark = np.array([end], "<u4").tobytes()
-    for ids, found in steps(batches):
+    for ids, found in steps(batches, STEP):
         out: list[tuple] = []
         for i, data in zip(ids, own.encode(found), strict=True):
             data += mark

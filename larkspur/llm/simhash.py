@@ -60,7 +60,7 @@ BITS_AT_ONCE = 1 << 20
 #: Rows of a leaf that its subtree is built from, and the subtree's greatest depth.
 LEAF_SAMPLE, LEAF_DEPTH = 1024, 6
 #: Pairs that are compared at once in memory.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def fingerprints(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
