@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_CHARS, arrow, drop, durable
+from .common import arrow, drop, durable, gathered
 
 U = np.uint64
 #: Rows (leaves, or parts of leaves) under one prefix that are ordered in memory.
@@ -51,7 +51,7 @@ FIT = 1024
 HOT, HOT_ROWS = 1000, 10_000
 #: Bytes of bodies that are ordered at a time, and of texts that are read at a time: a word has several, and a byte is a symbol of its own.
 ROOM = {True: 6_000_000, False: 700_000}
-READ = {True: STEP_CHARS, False: 800_000}
+READ = {True: 1_000_000, False: 800_000}
 
 RUNS = "h long, e1 long, e2 long, doc_id long, k long, a int, s int, n int"
 LEAVES = "g long, h long, e1 long, e2 long, least long, many long, o int, w int, n int, body binary"
@@ -77,7 +77,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0..n and those of its inverse, modulo 2^64; kept in the worker."""
     if len(_POWERS[0]) <= n:
         for i, base in enumerate((_BASE, _INVERSE)):
-            steps_ = np.full(max(n + 1, 1 << 21), base, U)
+            steps_ = np.full(max(n + 1, 1 << 20), base, U)
             steps_[0] = 1
             _POWERS[i] = np.multiply.accumulate(steps_)
     return _POWERS[0], _POWERS[1]
@@ -264,8 +264,8 @@ def _groups(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _marks(batches: Iterator[pa.RecordBatch], size: int, of_words: bool, method: str, room: int) -> Iterator[pa.RecordBatch]:
-    """Spans of windows that repeat, by leaf, with the smallest doc_id that the window starts in."""
+def _marks(batches: Iterator[pa.RecordBatch], size: int, of_words: bool, method: str, room: int, ordered: bool = True) -> Iterator[pa.RecordBatch]:
+    """Spans of windows that repeat, by leaf, with the smallest doc_id that the window starts in if that is asked for (``ordered``)."""
     import importlib
 
     equal: Callable = importlib.import_module(method).equal_windows
@@ -290,6 +290,8 @@ def _marks(batches: Iterator[pa.RecordBatch], size: int, of_words: bool, method:
             np.minimum.at(set_low, group, low[where])
             low[where] = set_low[group]
             repeats[where] = True
+        if not ordered:
+            low[:] = 0  # so that spans of neighbours are one
         at = np.flatnonzero(repeats)
         if len(at):
             r, x, y = row[at], within[at], low[at]
@@ -332,7 +334,7 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     if level.count() > leaves.count():  # rows that are equal have each cut their leaves out
         twice, level = level, durable(level.dropDuplicates([*LEAF]))
         drop(twice)
-    common = durable(leaves.filter(F.col("many") > most).select(*LEAF, F.lit(True).alias("common")))  # fewer than HOT
+    common = [r.e1 for r in leaves.filter(F.col("many") > most).select("e1").distinct().collect()]  # fewer than HOT
     drop(leaves)
     tables, marks = [level], None
     for stride in [*strides(size, gram)[1:], 0]:
@@ -345,7 +347,7 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
             tagged = tagged.filter("big").unionByName(tagged.filter("not big").join(others, "g", "left").select(*level.columns, F.coalesce("other", F.lit(False)).alias("big")))
         last = not named and (limit == fit or not sizes.limit(1).count())
         fits = level if last else tagged.filter("not big").drop("big")
-        found = arrow(fits.repartition(n, "g").sortWithinPartitions("g"), _marks, MARKS, size=size, of_words=of_words, method=method, room=ROOM[of_words])
+        found = arrow(fits.repartition(n, "g").sortWithinPartitions("g"), _marks, MARKS, size=size, of_words=of_words, method=method, room=ROOM[of_words], ordered=ordered)
         marks = found if marks is None else marks.unionByName(found)
         if last:
             break
@@ -358,16 +360,41 @@ def covered(docs: DataFrame, size: int, gram: int, of_words: bool, method: str,
     marks = durable(marks.groupBy(*LEAF).agg(F.collect_set(F.struct("lo", "hi", "low")).alias("marks")))  # at most one for each suffix of a run
     for t in tables:
         drop(t)
-    # A common leaf has at most one mark for each suffix of a run: few enough, with its name, to be sent. Both joins are from the
-    # runs' side; a run of a common leaf has a key of its own in the second, which nothing has and which spreads such runs.
-    sent = marks.join(F.broadcast(common), [*LEAF], "left_semi").withColumnRenamed("marks", "sent")
-    met = live.join(F.broadcast(sent), [*LEAF], "left")
-    own = F.when(F.col("sent").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "k", "s"))
-    met = met.withColumn("h", own).withColumn("e2", F.when(F.col("sent").isNull(), F.col("e2"))).join(marks, [*LEAF], "left")
-    marks = F.coalesce("sent", "marks")
-    hit = F.filter(marks, lambda x: x["low"] < F.col("doc_id")) if ordered else marks
-    spans = met.select("doc_id", "k", F.explode(F.transform(hit, lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))).alias("span"))
-    return spans.groupBy("doc_id", "k").agg(F.collect_set("span").alias("spans"))
+    # a common leaf has at most one mark for each suffix of a run: few enough to be sent to where its runs are
+    often = F.col("e1").isin(common) if common else F.lit(False)
+    sent = [(r.h, r.e1, r.e2, [(x.lo, x.hi, x.low) for x in r.marks]) for r in marks.filter(often).collect()]
+    hit = F.filter("marks", lambda x: x["low"] < F.col("doc_id")) if ordered else F.col("marks")
+    each = F.transform(hit, lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))
+    spans = live.filter(~often).join(marks, [*LEAF], "left").select("doc_id", "k", F.inline(each))
+    spans = spans.unionByName(arrow(live.filter(often).select(*LEAF, "doc_id", "k", "s"), _spans, "doc_id long, k long, lo int, hi int", marks=sent, ordered=ordered))
+    return spans.groupBy("doc_id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+
+def _spans(batches: Iterator[pa.RecordBatch], marks: list[tuple[int, int, int, list[tuple[int, int, int]]]], ordered: bool) -> Iterator[pa.RecordBatch]:
+    """Spans of the runs of a few leaves by their marks; those of a row that touch are one as far as they are in one batch."""
+    for b in gathered(batches):
+        h, e1, e2, s, k = (b.column(c).to_numpy() for c in (*LEAF, "s", "k"))
+        doc = pc.fill_null(b.column("doc_id"), np.iinfo(np.int64).min).to_numpy()
+        rows, los, his = [], [], []
+        for leaf in marks:
+            at = np.flatnonzero((e1 == leaf[1]) & (e2 == leaf[2]) & (h == leaf[0]))
+            if len(at):
+                lo, hi, low = np.array(leaf[3], np.int64).T
+                row, mark = np.repeat(at, len(lo)), np.tile(np.arange(len(lo)), len(at))
+                keep = doc[row] > low[mark] if ordered else np.ones(len(row), bool)
+                rows.append(row[keep])
+                los.append(lo[mark[keep]] + s[row[keep]])
+                his.append(hi[mark[keep]] + s[row[keep]])
+        if not rows or not sum(map(len, rows)):
+            continue
+        row, lo, hi = map(np.concatenate, (rows, los, his))
+        order = np.lexsort((lo, k[row], doc[row]))
+        row, lo, hi = row[order], lo[order], hi[order]
+        other = np.r_[True, (doc[row[1:]] != doc[row[:-1]]) | (k[row[1:]] != k[row[:-1]])]
+        reach = np.maximum.accumulate(hi + (np.cumsum(other) << 32)) & 0xFFFFFFFF  # the farthest end so far in the row
+        new = np.flatnonzero(other | np.r_[True, lo[1:] > reach[:-1]])
+        end = np.r_[new[1:], len(row)] - 1
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row[new])) for c in ("doc_id", "k")), pa.array(lo[new].astype(np.int32)), pa.array(reach[end].astype(np.int32))], ["doc_id", "k", "lo", "hi"])
 
 
 def same_row(x: str, y: str) -> Column:
