@@ -50,8 +50,8 @@ FIT = 1024
 #: A key with more than one in so many of all runs (and more than HOT_ROWS) is joined without a shuffle.
 HOT, HOT_ROWS = 1000, 10_000
 #: Bytes of bodies that are ordered at a time, and of texts that are read at a time: a word has several, and a byte is a symbol of its own.
-ROOM = {True: 6_000_000, False: 700_000}
-READ = {True: 1_000_000, False: 800_000}
+ROOM = {True: 6_000_000, False: 500_000}
+READ = {True: 1_000_000, False: 500_000}
 
 RUNS = "h long, e1 long, e2 long, doc_id long, k long, a int, s int, n int"
 LEAVES = "g long, h long, e1 long, e2 long, least long, many long, o int, w int, n int, body binary"
@@ -201,7 +201,7 @@ def _leaves(batches: Iterator[pa.RecordBatch], size: int, of_words: bool) -> Ite
                 body = b" ".join(body) if of_words else body
                 out.append((x["h"], x["h"], x["e1"], x["e2"], NONE if x["least"] is None else x["least"], x["many"], x["a"] - x["s"], 0, x["n"], body))
                 held += len(body)
-            if held > 16_000_000:
+            if held > 4_000_000:
                 yield _batch(out, LEAVES)
                 out, held = [], 0
         if out:
