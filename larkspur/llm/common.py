@@ -59,13 +59,13 @@ def arrow(df: DataFrame, target: Callable, schema: str, **params) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def steps(batches: Iterator[pa.RecordBatch], chars: int = STEP_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """(ids, texts) lists of about ``chars`` characters; one long text makes a list of its own."""
+def steps(batches: Iterator[pa.RecordBatch], chars: int = STEP_CHARS, key: str = "doc_id") -> Iterator[tuple[list, list[str]]]:
+    """(keys, texts) lists of about ``chars`` characters; one long text makes a list of its own."""
     ids: list[int] = []
     out: list[str] = []
     held = 0
     for batch in batches:
-        for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for i, x in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids.append(i)
             out.append(x)
             held += len(x)

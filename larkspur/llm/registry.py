@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, multi_index, oracle, packing, pii, quality, secrets, simhash, substring_dedup, suffix_array
+from . import byte_bpe, divergence, embedding_dedup, language_id, multi_index, oracle, packing, pii, quality, secrets, simhash, substring_dedup, suffix_array
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_suffix_array": suffix_array.op9_suffix_array,
         "op10_multi_index": multi_index.op10_multi_index,
+        "op11_divergence": divergence.op11_divergence,
+        "op13_language_id": language_id.op13_language_id,
     }
 
 
