@@ -59,6 +59,19 @@ def arrow(df: DataFrame, target: Callable, schema: str, **params) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside, and are as before after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def steps(batches: Iterator[pa.RecordBatch], chars: int = STEP_CHARS, key: str = "doc_id") -> Iterator[tuple[list, list[str]]]:
     """(keys, texts) lists of about ``chars`` characters; one long text makes a list of its own."""
     ids: list[int] = []

@@ -96,4 +96,22 @@ f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p))
 every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
   UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_panes": """
+WITH one AS (SELECT click_id, min(ROW(coalesce(arrived_at, ts), ts, kind, value)) AS c FROM clicks WHERE ts IS NOT NULL GROUP BY click_id),
+d AS (SELECT click_id, c[2] AS ts, coalesce(c[3], 'none') AS kind, CASE WHEN isfinite(c[4]) THEN floor(100 * c[4] + 0.5)::BIGINT ELSE 0 END AS cents, (epoch_us(c[1]) // 86400000000) AS day,
+  coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(click_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda t, i: xor(t >> 1, 3988292384 * (t & 1)))), 4294967295) % 30 - 23, 0) AS lag FROM one),
+e AS (SELECT coalesce(click_id, -1) AS click_id, kind, cents, least(9, day % 10 + greatest(0, lag)) AS batch, epoch_us(ts) - (day - day % 10) * 86400000000 AS event FROM d),
+r AS (SELECT *, floor(event / 3600000000.0)::BIGINT AS hour FROM e),
+w AS (SELECT b.batch, (SELECT max(event) FROM r WHERE r.batch < b.batch) AS w FROM range(10) b(batch)),
+x AS (SELECT r.*, coalesce(w.w >= (hour + 49) * 3600000000, false) AS late FROM r JOIN w USING (batch)),
+p AS (SELECT kind, hour, batch, count(*) AS n, sum(cents) AS cents FROM x WHERE NOT late GROUP BY ALL),
+t AS (SELECT kind, hour, batch, sum(n) OVER o AS n, sum(cents) OVER o AS cents, sum(n) OVER o - n AS n0, sum(cents) OVER o - cents AS cents0, min(batch) OVER (PARTITION BY kind, hour) AS first FROM p WINDOW o AS (PARTITION BY kind, hour ORDER BY batch)),
+a AS (SELECT kind, hour, greatest(first, (SELECT min(w.batch) FROM w WHERE w.w >= (hour + 13) * 3600000000)) AS at, first FROM (SELECT DISTINCT kind, hour, first FROM t) WHERE EXISTS (SELECT 1 FROM w WHERE w.w >= (hour + 13) * 3600000000)),
+f AS (SELECT a.at AS batch, hour, -1 AS click_id, arg_max(t.n, t.batch) AS n_rows, arg_max(t.cents, t.batch) AS cents, 'emit' AS record, kind FROM t JOIN a USING (kind, hour) WHERE t.batch <= a.at GROUP BY ALL
+  UNION ALL SELECT 9, hour, -1, arg_max(n, batch), arg_max(t.cents, batch), 'final', kind FROM t ANTI JOIN a USING (kind, hour) GROUP BY kind, hour
+  UNION ALL SELECT t.batch, hour, -1, n0, cents0, 'retract', kind FROM t JOIN a USING (kind, hour) WHERE t.batch > a.at
+  UNION ALL SELECT t.batch, hour, -1, n, cents, 'replace', kind FROM t JOIN a USING (kind, hour) WHERE t.batch > a.at
+  UNION ALL SELECT batch, hour, click_id, 1, cents, 'late', kind FROM x WHERE late)
+SELECT batch::BIGINT AS batch, hour::BIGINT AS hour, click_id::BIGINT AS click_id, n_rows::BIGINT AS n_rows, cents::BIGINT AS cents, record, kind FROM f""",
 }

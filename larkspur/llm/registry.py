@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, embedding_dedup, language_id, multi_index, oracle, packing, pii, quality, secrets, simhash, substring_dedup, suffix_array
+from . import byte_bpe, divergence, embedding_dedup, language_id, multi_index, oracle, packing, panes, pii, quality, secrets, simhash, substring_dedup, suffix_array
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_array": suffix_array.op9_suffix_array,
         "op10_multi_index": multi_index.op10_multi_index,
         "op11_divergence": divergence.op11_divergence,
+        "op12_panes": panes.op12_panes,
         "op13_language_id": language_id.op13_language_id,
     }
 
