@@ -22,7 +22,8 @@ recall: see the README).
 
 Defined results: a null label, or a vector that is null, zero or holds a null or non-finite
 component, links with nothing; vectors of different lengths don't link; rows that repeat a vec_id
-count as vectors of their own and link when equal; a vector without a vec_id has no links; an empty table gives an empty table; other
+count as vectors of their own: they link when they are near, and sharing the id alone connects nothing; a vector without a vec_id links like any
+other, is never the kept one, and where all that are reachable have none, component_id is null; an empty table gives an empty table; other
 columns, whatever their names, are not read.
 """
 
@@ -174,7 +175,7 @@ def links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
     """(u, v, links) over classes (label, cid, n, embedding): forest rows with links 0, and rows u = v with a class's links."""
     spark = classes.sparkSession
     many = classes.count()
-    points = sample(classes, max(pivot_count(many), MADE), by=("cid",)) if many else np.empty((0, 0))
+    points = sample(classes, max(pivot_count(many), MADE), by=("label", "embedding")) if many else np.empty((0, 0))
     if not len(points):
         return spark.createDataFrame([], OUT)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
@@ -210,19 +211,22 @@ def links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding"), F.col(f"`{label_col}`").cast("long").alias("raw"))
-    good = F.coalesce(usable() & F.col("raw").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
+    good = F.coalesce(usable() & F.col("raw").isNotNull(), F.lit(False))
     # vectors of another length are another label
     rows = rows.withColumn("label", F.when(good, F.xxhash64("raw", F.size("embedding"))))
     rows = rows.withColumns({"a": F.when(good, F.xxhash64("label", "embedding")), "b": F.when(good, F.xxhash64(F.lit(7), "embedding", "label"))})
-    # by the vectors themselves: a and b find the class again
-    classes = durable(rows.filter("label is not null").groupBy("label", "embedding", "a", "b").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")))
+    # by the vectors themselves, with a number of their own that is fixed once it is written: an id may stand for several vectors; a and b find the class again
+    classes = rows.filter("label is not null").groupBy("label", "embedding", "a", "b").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
     found = durable(links(classes.select("label", "cid", "n", "embedding"), **options))
     joined = components(found.filter("u != v"))
     more = found.filter("u = v").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "cid")
-    known = classes.select("a", "b", "cid", "n").join(more, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
-    known = known.select("a", "b", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "cid").alias("component"))
-    out = lookup(rows.select("vec_id", "a", "b"), known, ["a", "b"])
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce("component", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+    placed = classes.select("a", "b", "cid", "n", "least").join(more, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
+    placed = durable(placed.select("a", "b", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "cid").alias("component")))
+    known = lookup(placed, placed.groupBy("component").agg(F.min("least").alias("component_id")), ["component"])
+    out = lookup(rows.select("vec_id", "a", "b"), known.select("a", "b", "links", "component_id"), ["a", "b"])
+    component = F.when(F.col("a").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,12 +58,14 @@ a AS (SELECT *, list_sort({' || '.join(f'k{i}' for i in range(7))}) AS every, li
 SELECT doc_id, len(k0) AS n_email, len(k1) AS n_ip, len(k2) AS n_card, len(k3) AS n_phone,
  sha256(coalesce(array_to_string(list_transform(base, lambda x: {_PRIVATE_NAME}), ','), '')) AS base_sha256, coalesce(array_to_string(list_transform(every, lambda x: {_PRIVATE_NAME}), ','), '') AS spans FROM a""",
     "op7_embedding_dedup": """
-WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings),
+v AS (SELECT rid, label, embedding::DOUBLE[] AS e FROM every
   WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+l AS (SELECT a.rid AS u, b.rid AS w FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 r(u, w) AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
-c AS (SELECT vec_id, least(vec_id, coalesce((SELECT min(w) FROM r WHERE r.u = vec_id), vec_id)) AS component_id FROM embeddings)
-SELECT vec_id, (SELECT count(*) FROM l WHERE l.u = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+m AS (SELECT r.u, min(vec_id) AS low FROM r JOIN every ON every.rid = r.w GROUP BY r.u),
+c AS (SELECT rid, vec_id, least(vec_id, low) AS component_id FROM every LEFT JOIN m ON m.u = every.rid)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.u = c.rid) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM c""",
     "op8_secrets": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, {', '.join(f'{_spans(r)} AS k{i}' for i, r in enumerate(RULES))} FROM d),

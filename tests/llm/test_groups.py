@@ -384,7 +384,30 @@ def test_embedding_edges(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0], None)]
     got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=repr)
-    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (None, 0, None, True), (3, 0, 3, True)], key=repr)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (1, 0, 1, True), (2, 3, 1, False), (None, 3, 1, False), (3, 0, 3, True)], key=repr)
+
+
+def test_embedding_ids_repeat(spark):
+    """One id with two vectors that each have links, and vectors without an id: links and components are those of the vectors."""
+    rng = np.random.default_rng(3)
+    a, b, c = (rng.normal(size=8) for _ in range(3))
+    near = lambda x: x + rng.normal(size=8) * 0.005
+    rows = [(7, a), (7, b), (9, a), (8, near(b)), (12, near(b)), (None, near(a)), (None, c), (None, c), (7, -a)]
+    x = np.stack([r[1] / np.linalg.norm(r[1]) for r in rows])
+    linked = x @ x.T >= 0.98
+    for _ in rows:  # transitive closure
+        whole = linked @ linked
+        linked = whole
+    want = []
+    for i, (vec_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in np.flatnonzero(linked[i]) if rows[j][0] is not None]
+        low = min(ids, default=None)
+        want.append((vec_id, int((x[i] @ x.T >= 0.98).sum()) - 1, low, vec_id is not None and vec_id == low))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df).collect()), key=repr)
+    assert got == sorted(want, key=repr)
+    assert (9, 2, 7, False) in got
+    assert (12, 2, 7, False) in got
 
 
 def cloud(kind, n, width=16, seed=4):
