@@ -42,7 +42,11 @@ NEVER = -(1 << 63)
 FED = "kind string, hour long, event long, click_id long, cents long, shard int, w long, last boolean, batch long"
 SENT = "batch long, kind string, hour long, click_id long, n long, cents long, shard int, w long, last boolean"
 RESULT = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Each batch is a run of its own, whose state stores executors keep open until maintenance finds that it has ended.
+STORES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
+}
 
 
 def _micros(ts: Column) -> Column:
@@ -174,7 +178,7 @@ def revisions(clicks: DataFrame) -> DataFrame:
         place = F.when(F.col("n") == 0, F.col("shard")).when(whole, F.pmod(F.hash("click_id"), F.lit(SHARDS))).otherwise(F.pmod(F.hash("kind", "hour"), F.lit(SHARDS)))
         sent = sent.select("*", place.alias("place")).withColumn("shard", F.when(whole, -2).otherwise(F.col("shard")))
         states = sent.groupBy("place").transformWithStateInPandas(statefulProcessor=processor(), outputStructType=RESULT, outputMode="append", timeMode="none")
-        with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        with settings(spark, STORES):
             query = states.writeStream.format("parquet").outputMode("append").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     for name in ("cut", "in", "state"):
