@@ -26,7 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import STEP_CHARS, arrow, durable, read
@@ -85,14 +85,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _p(n: str, total: str, v: str) -> str:
-    """1 + floor(10^9 (n + 1) / (total + v)), by long division in steps of a thousand."""
+    """1 + floor(10^9 (n + 1) / (total + v)); where the product may not fit, by long division in steps of a thousand."""
     by = f"({total} + {v})"
     rest = [f"(({n} + 1) % {by})"]
-    out = f"1 + (({n} + 1) div {by}) * 1000000000"
+    out = f"(({n} + 1) div {by}) * 1000000000"
     for scale in (1_000_000, 1000, 1):
         out += f" + (({rest[-1]} * 1000) div {by}) * {scale}"
         rest.append(f"(({rest[-1]} * 1000) % {by})")
-    return f"({out})"
+    return f"(1 + if({by} < 9000000000, (({n} + 1) * 1000000000) div {by}, {out}))"
 
 
 def _f(p: str, q: str) -> str:
@@ -126,16 +126,21 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     held = known.select("lang", "lang_total", "v", F.struct("at", "source", "total", zero).alias("s"))
     langs = held.groupBy("lang", "lang_total", "v").agg(F.sort_array(F.collect_list("s")).alias("sources"))
 
-    one = "element_at(sources, e.at)"
-    entry = f"struct(e.at AS at, {one}.source AS source, {_p('e.n', f'{one}.total', 'v')} AS p, {one}.p0 AS p0)"
-    vectors = _salted(wide, langs, "term").select("lang", "term", "total", "lang_total", "v", F.expr(f"transform(entries, e -> {entry})").alias("entries"))
-
-    terms = vectors.select("lang", F.col("term").alias("item"), F.expr(_p("total", "lang_total", "v")).alias("q"), F.inline("entries")).filter("p > q")
+    # what a lambda computes is interpreted, so lambdas only make and pick pairs; the rest is compiled
+    vectors = _salted(wide, langs, "term")
+    terms = vectors.select("lang", F.col("term").alias("item"), "v", F.expr(_p("total", "lang_total", "v")).alias("q"), "sources", F.inline("entries"))
+    terms = terms.select("lang", "item", "q", F.expr("element_at(sources, at).source").alias("source"), F.expr(_p("n", "element_at(sources, at).total", "v")).alias("p")).filter("p > q")
     terms = terms.select("lang", "source", F.lit("term").alias("part"), "item", F.expr(_f("p", "q")).alias("value"))
 
-    shared = vectors.filter(F.size("entries") > 1).select("lang", "entries", F.explode("entries").alias("a"))
-    added = f"{_f('a.p', 'b.p')} - {_f('a.p', 'b.p0')} - {_f('a.p0', 'b.p')} + {_f('a.p0', 'b.p0')}"
-    shared = shared.select("lang", F.col("a.at").alias("a"), F.expr(f"inline(transform(filter(entries, b -> b.at <> a.at), b -> struct(b.at AS b, {added} AS value)))"))
+    entry = f"struct(e.at AS at, {_p('e.n', 'element_at(sources, e.at).total', 'v')} AS p, element_at(sources, e.at).p0 AS p0)"
+    shared = vectors.filter(F.size("entries") > 1).select("lang", F.expr(f"transform(entries, e -> {entry})").alias("entries"))
+    shared = shared.select("lang", "entries", F.explode("entries").alias("x")).select("lang", "x", F.explode(F.expr("filter(entries, y -> y.at > x.at)")).alias("y"))
+
+    def added(x: str, y: str) -> Column:
+        return F.expr(f"{_f(f'{x}.p', f'{y}.p')} - {_f(f'{x}.p', f'{y}.p0')} - {_f(f'{x}.p0', f'{y}.p')} + {_f(f'{x}.p0', f'{y}.p0')}")
+
+    shared = shared.groupBy("lang", F.col("x.at").alias("x"), F.col("y.at").alias("y")).agg(F.sum(added("x", "y")).alias("xy"), F.sum(added("y", "x")).alias("yx"))
+    shared = shared.select("lang", F.expr("inline(array(struct(x AS a, y AS b, xy AS value), struct(y AS a, x AS b, yx AS value)))"))
     often = wide.select("lang", F.inline("entries")).groupBy("lang", "at", "n").agg(F.count("*").alias("m"))
     often = _salted(often, langs, "n").select("lang", "m", "sources", F.expr("element_at(sources, at)").alias("a"), F.expr(_p("n", "element_at(sources, at).total", "v")).alias("p"))
     there = f"struct(a.at AS a, b.at AS b, m * ({_f('p', 'b.p0')} - {_f('a.p0', 'b.p0')}) AS value)"
