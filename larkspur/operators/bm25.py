@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .scratch import releasing
+from .scratch import keeping, releasing
 
 #: Decimals that scores are given with; ties at that are broken by document.
 DECIMALS = 6
@@ -37,7 +37,7 @@ def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFra
 
     Counted inside the row: sorted, equal tokens stand together, and a token's last place less that of the one before is its count.
     """
-    held = docs.select(F.col(id_col), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0)
+    held = docs.select(F.col(id_col), F.sort_array(tokens).alias("t")).filter(F.size("t") > 0)
     ends = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: ~F.get("t", i - 1).eqNullSafe(F.get("t", i)))
     held = held.select(id_col, F.size("t").alias("dl"), "t", ends.alias("ends"))
     each = F.transform("ends", lambda e, i: F.struct(F.get("t", e - 1).alias("term"), (e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).cast("long").alias("tf")))
@@ -131,7 +131,7 @@ def keyword_topk(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id
     held = docs.select(F.col(id_col).alias("_doc"), F.col(text_col), parsed.condition(tokens).alias("_ok"), parsed.constant(tokens).alias("_more"))
     rows = scored(held, tokens, parsed.terms, KEYWORD, ["_doc", "_ok", "_more"])
     best = rows.withColumn("score", F.round(F.col("score") + F.col("_more"), DECIMALS)).filter((F.col("score") > 0) & F.col("_ok"))
-    return releasing(best.select(F.col("_doc").alias("doc"), "score").orderBy(F.desc("score"), "doc").limit(k), rows)
+    return keeping(best.select(F.col("_doc").alias("doc"), "score").orderBy(F.desc("score"), "doc").limit(k), rows)
 
 
 def ngram_scores(docs: DataFrame, query: str, n: int = T.NGRAM_DEFAULT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def folder(spark: SparkSession) -> str:
 def releasing(result: DataFrame, *cached: DataFrame) -> DataFrame:
     """``result``, with what it reads from the cache released once it is no longer held.
 
-    What was derived from it meanwhile stays right: it reads its source again.
+    What is derived from it is right without the cache too, but reads its source again: return it through ``keeping``.
     """
 
     def release(frames: tuple[DataFrame, ...]) -> None:
@@ -32,3 +32,9 @@ def releasing(result: DataFrame, *cached: DataFrame) -> DataFrame:
 
     weakref.finalize(result, release, cached).atexit = False
     return result
+
+
+def keeping(result: DataFrame, source: DataFrame) -> DataFrame:
+    """``result``, with what ``source`` reads from the cache held as long as it is: ``source`` was derived from, and is not held by anyone else."""
+    weakref.finalize(result, lambda _: None, source).atexit = False
+    return result

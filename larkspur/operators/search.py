@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from . import bm25
-from .scratch import releasing
+from .scratch import keeping, releasing
 
 # Candidates and weights that results depend on.
 RERANK_FACTOR = 10
@@ -49,7 +49,8 @@ def ngram_rerank(candidates: DataFrame, docs: DataFrame, query: str, k: int, n:
         return candidates.select("doc", F.col("cosine").alias("score"), "cosine").orderBy(F.desc("score"), "doc").limit(k)
     out = bm25.ngram_scores(rows, query, n, "doc", "text", ["cosine"])
     blank = F.max("dl").over(Window.partitionBy(F.lit(1))) == 0  # over the few candidates
-    return out.select("doc", F.when(blank, F.col("cosine")).otherwise(F.col("score")).alias("score"), "cosine").orderBy(F.desc("score"), F.desc("cosine"), "doc").limit(k)
+    best = out.select("doc", F.when(blank, F.col("cosine")).otherwise(F.col("score")).alias("score"), "cosine").orderBy(F.desc("score"), F.desc("cosine"), "doc").limit(k)
+    return keeping(best, out)
 
 
 def vector_query(vectors: DataFrame, docs: DataFrame, query: str, query_vector: Sequence[float], k: int, n: int = T.NGRAM_DEFAULT) -> DataFrame:
@@ -66,7 +67,7 @@ def with_snippets(hits: DataFrame, docs: DataFrame, query: str, scaled: bool, id
     make = T.snippet_scaled if scaled else T.snippet_exact
     out = hits.join(found.select("doc", T.head(make(text, query)).alias("snippet")), "doc", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
     # a join keeps no order: the few hits are ranked again, ties as before
-    return out.orderBy(*[F.desc(c) for c in ("score", "cosine", "bm") if c in hits.columns], "doc")
+    return keeping(out.orderBy(*[F.desc(c) for c in ("score", "cosine", "bm") if c in hits.columns], "doc"), hits)
 
 
 def vector_query_snippets(vectors: DataFrame, docs: DataFrame, query: str, query_vector: Sequence[float], k: int, n: int = T.NGRAM_DEFAULT) -> DataFrame:
@@ -77,7 +78,7 @@ def hybrid_join(hits: DataFrame, vectors: DataFrame, query_vector: Sequence[floa
     """(doc, score, cosine) of hits that have a vector."""
     few = F.broadcast(hits)  # at most HYBRID_CANDIDATES rows: the vector table is scanned, never shuffled
     sim = F.round(V.cosine(F.col(vector_col), V.literal(query_vector)), COSINE_DECIMALS)
-    return vectors.select(F.col(id_col).alias("doc"), vector_col).join(few, "doc").select("doc", "score", sim.alias("cosine"))
+    return keeping(vectors.select(F.col(id_col).alias("doc"), vector_col).join(few, "doc").select("doc", "score", sim.alias("cosine")), hits)
 
 
 def fuse(joined: DataFrame, best: float, k: int) -> DataFrame:
@@ -93,7 +94,7 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector:
     if top is None:
         hits.unpersist()
         found = vector_query_snippets(vectors, docs, query, query_vector, k, n)
-        return found.select("doc", "score", T.head(F.col("snippet")).alias("snippet"))
+        return keeping(found.select("doc", "score", T.head(F.col("snippet")).alias("snippet")), found)
     joined = hybrid_join(hits, vectors, query_vector).persist()
     ranked = fuse(joined, top, k) if not joined.isEmpty() else hits.orderBy(F.desc("score"), "doc").limit(k)
     return releasing(with_snippets(ranked, docs, query, False).select("doc", "score", "snippet"), hits, joined)
@@ -103,9 +104,9 @@ def peer_topk(docs: DataFrame, query: str, limit: int = PEER_LIMIT, peer_col: st
     """(peer, doc, score): each peer ranks its own documents by its own statistics."""
     rows = docs.select(F.col(peer_col).alias("peer"), F.col(id_col).alias("doc"), text_col)
     tokens = T.keyword_tokens(F.coalesce(F.col(text_col), F.lit("")))
-    out = bm25.scored(rows, tokens, bm25._py_tokens(query), bm25.KEYWORD, ["peer", "doc"], ["peer"]).filter("score > 0")
+    out = bm25.scored(rows, tokens, bm25._py_tokens(query), bm25.KEYWORD, ["peer", "doc"], ["peer"])
     rank = F.row_number().over(Window.partitionBy("peer").orderBy(F.desc("score"), "doc"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= limit).select("peer", "doc", "score")
+    return keeping(out.filter("score > 0").withColumn("rank", rank).filter(F.col("rank") <= limit).select("peer", "doc", "score"), out)
 
 
 def merge_hits(*hits: DataFrame, limit: int) -> DataFrame:
@@ -118,9 +119,9 @@ def merge_hits(*hits: DataFrame, limit: int) -> DataFrame:
 
 def federated_search(docs: DataFrame, query: str, local_peer: str, limit: int = 10, peer_col: str = "source") -> DataFrame:
     """(peer, doc, score): the local peer's best ``limit`` and every other's best five, merged."""
-    ranked = peer_topk(docs, query, max(limit, PEER_LIMIT), peer_col)
+    found = peer_topk(docs, query, max(limit, PEER_LIMIT), peer_col)
     rank = F.row_number().over(Window.partitionBy("peer").orderBy(F.desc("score"), "doc"))
-    ranked = ranked.withColumn("rank", rank)
+    ranked = found.withColumn("rank", rank)
     local = ranked.filter((F.col("peer") == local_peer) & (F.col("rank") <= limit)).drop("rank")
     remote = ranked.filter((F.col("peer") != local_peer) & (F.col("rank") <= PEER_LIMIT)).drop("rank")
-    return merge_hits(local, remote, limit=limit)
+    return keeping(merge_hits(local, remote, limit=limit), found)

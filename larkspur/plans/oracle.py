@@ -126,6 +126,12 @@ SQL: dict[str, str] = {
     "scan_ext_filter": f"SELECT page_id, ext, ext IN ({', '.join(repr(e) for e in ('txt', 'md', 'rs', 'py', 'json', 'pdf', 'docx', 'xlsx', 'xls', 'csv', 'pptx'))}) AS wanted FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]\\.([^./]+)$', 1)) AS ext FROM pages)",
     "vector_roundtrip": "SELECT vec_id, len(embedding)::INT AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings",
     "keyword_index_topk": f"WITH {KEYWORD} SELECT doc, score FROM scored WHERE score > 0 ORDER BY score DESC, doc LIMIT 10",
+    "block_max_topk": f"WITH {KEYWORD} SELECT doc, score FROM scored WHERE score > 0 ORDER BY score DESC, doc LIMIT 10",
+    "boolean_index": f"WITH {bm25(DOCS, tokens('text'), ['the', 'the', 'estion', 'of', 'thering'], 1.2)} SELECT doc, score FROM scored JOIN toks USING (doc) WHERE (list_contains(tk, 'the') OR list_contains(tk, 'estion')) AND (list_contains(tk, 'of') OR list_contains(tk, 'thering')) AND NOT list_contains(tk, 'and') ORDER BY score DESC, doc LIMIT 10",
+    "phrase_index": f"WITH {bm25(DOCS, tokens('text'), ['of', 'the', 'estion'], 1.2)} SELECT doc, score FROM scored JOIN toks USING (doc) WHERE contains(' ' || array_to_string(tk, ' ') || ' ', ' of the ') AND NOT contains(' ' || array_to_string(tk, ' ') || ' ', ' the and ') ORDER BY score DESC, doc LIMIT 10",
+    "index_after_sync": f"""WITH moved AS (SELECT doc_id + 1 AS doc, coalesce(text, '') AS text FROM documents WHERE (doc_id + 1) % 7 = 0),
+now AS (SELECT * FROM moved UNION ALL SELECT doc_id, coalesce(text, '') FROM documents WHERE lang IS DISTINCT FROM 'fr' AND doc_id NOT IN (SELECT doc FROM moved)),
+{bm25('now', tokens('text'), QUERY.split(), 1.2)} SELECT doc, score FROM scored WHERE score > 0 ORDER BY score DESC, doc LIMIT 20""",
     "dir_listing": "SELECT source || '/' || doc_id AS name, lpad(n_chars::VARCHAR, 10, ' ') || '  ' || source || '/' || doc_id AS line FROM documents UNION ALL SELECT DISTINCT source, '   ' || source FROM documents",
     "doc_fetch": f"SELECT doc_id, left({TEXT}, 2000000) AS text, CASE WHEN {TEXT} = '' THEN 'empty_or_unreadable' ELSE '' END AS error FROM documents",
     "query_validate": f"SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty_query' WHEN length(t) > 4096 THEN 'query_too_long' WHEN regexp_matches(t, '{T.CONTROL}') THEN 'query_has_control_chars' ELSE 'ok' END AS verdict FROM (SELECT conv_id, turn, {strip(TEXT)} AS t FROM conversations)",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import validate as V
 from ..operators import access, bm25, login, search, sync
-from ..sources import files, index, tables
+from ..operators.scratch import folder, keeping
+from ..sources import files, index, segments, tables
 from ..streaming import live
 from . import fixtures as X
 
@@ -52,8 +53,6 @@ def scan_ext_filter(spark, d):
 
 @query
 def vector_roundtrip(spark, d):
-    from ..operators.scratch import folder
-
     where = f"{folder(spark)}/vectors"
     index.save(where, vectors=read(spark, d, "embeddings").select("vec_id", "embedding"))
     held = index.load(spark, where, "vectors")
@@ -62,13 +61,47 @@ def vector_roundtrip(spark, d):
 
 @query
 def keyword_index_topk(spark, d):
-    from ..operators.scratch import folder
-
     where = f"{folder(spark)}/keywords"
     index.build_keyword(read(spark, d, "documents"), where)
     return index.search_keyword(spark, where, QUERY, K)
 
 
+@query
+def block_max_topk(spark, d):
+    """Plain terms by the blocks of a segment index that can reach the best ten."""
+    held = segments.SegmentIndex(spark, f"{folder(spark)}/segments")
+    held.upsert(read(spark, d, "documents"))
+    return held.search_pruned(QUERY, K)[0]
+
+
+@query
+def boolean_index(spark, d):
+    """Groups, exclusions and boosts evaluated on postings."""
+    held = segments.SegmentIndex(spark, f"{folder(spark)}/segments")
+    held.upsert(read(spark, d, "documents"))
+    return held.search("(the^2 OR estion) AND (of OR thering) -and", K)
+
+
+@query
+def phrase_index(spark, d):
+    """A phrase by the positions in its terms' postings."""
+    held = segments.SegmentIndex(spark, f"{folder(spark)}/segments")
+    held.upsert(read(spark, d, "documents"))
+    return held.search('+"of the" -"the and" estion', K)
+
+
+@query
+def index_after_sync(spark, d):
+    """French documents go, every seventh one gets the text of the one before, and segments are merged on the way."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    held = segments.SegmentIndex(spark, f"{folder(spark)}/segments", merge=2)
+    held.upsert(docs)
+    held.delete(docs.filter("lang = 'fr'"))
+    moved = docs.select((F.col("doc_id") + 1).alias("doc_id"), "text").filter("doc_id % 7 = 0")
+    held.upsert(moved)
+    return held.search_pruned(QUERY, 20)[0]
+
+
 @query
 def dir_listing(spark, d):
     docs = read(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"), F.lit(False).alias("is_dir"), F.col("n_chars").alias("length"), "source")
@@ -191,7 +224,7 @@ def vec_lookup(spark, d):
 @query
 def ngram_bm25(spark, d):
     out = bm25.ngram_scores(read(spark, d, "documents"), QUERY)
-    return out.select("doc", "dl", "score")
+    return keeping(out.select("doc", "dl", "score"), out)
 
 
 @query
@@ -210,7 +243,8 @@ def vector_query(spark, d):
 @query
 def vector_query_snippets(spark, d):
     e = read(spark, d, "embeddings")
-    return search.vector_query_snippets(e, read(spark, d, "documents"), QUERY, search.vec_lookup(e, VECTOR_OF), 5).drop("cosine")
+    found = search.vector_query_snippets(e, read(spark, d, "documents"), QUERY, search.vec_lookup(e, VECTOR_OF), 5)
+    return keeping(found.drop("cosine"), found)
 
 
 @query
