@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import bm25, search, sync
-from .sources import files, index
+from .operators import search, sync
+from .sources import files
+from .sources.segments import SegmentIndex
 
 #: Texts to vectors; runs on executors when files are indexed and on the driver for a query.
 Encode = Callable[[list[str]], list[Sequence[float]]]
@@ -36,8 +37,12 @@ def encoded(encode: Encode, texts: list[str]) -> list[list[float]]:
     return [v or [0.0] * width for v in each]
 
 
+#: What the index keeps of a file besides its postings.
+KEPT = "path string, mtime long, sha256 string, text string, vec array<double>"
+
+
 class Corpus:
-    """Files of a folder as a searchable collection; all tables live in snapshots below ``home``.
+    """Files of a folder as a searchable collection, in one segment index below ``home``.
 
     Without an encoder there are no vectors: hybrid search then ranks by keywords alone.
     """
@@ -45,51 +50,55 @@ class Corpus:
     def __init__(self, spark: SparkSession, home: str, encode: Encode | None = None, ngram: int = T.NGRAM_DEFAULT) -> None:
         self.spark, self.home, self.encode, self.ngram = spark, home, encode, T.ngram_size(ngram)
 
+    def _index(self) -> SegmentIndex:
+        return SegmentIndex(self.spark, f"{self.home}/index")
+
     def table(self, name: str) -> DataFrame | None:
-        return index.load(self.spark, self.home, name)
+        """``texts`` (path, mtime, sha256, text) or ``vectors`` (path, sha256, vec); None before the first sync."""
+        live = self._index().live()
+        if live is None:
+            return None
+        rows = live.withColumnRenamed("doc", "path")
+        return rows.select("path", "mtime", "sha256", "text") if name == "texts" else rows.filter("vec is not null").select("path", "sha256", "vec")
 
     def sync(self, folder: str, reread: bool = False) -> None:
-        """Brings the indexes up to the folder's files; only new and changed ones are extracted and encoded.
+        """Brings the index up to the folder's files; only new and changed ones are extracted, encoded and written.
 
         A change is told by the time in whole seconds; ``reread`` extracts every file, so that a
-        change of content alone is seen too. What is gone leaves all tables.
+        change of content alone is seen too. What is gone, and what changed but can't be read, leaves the index.
         """
         found = files.crawl(self.spark, folder)
-        old = self.table("texts")
-        if old is None:
-            old = self.spark.createDataFrame([], "path string, mtime long, sha256 string, text string")
+        held = self._index()
+        old = held.live()
+        old = self.spark.createDataFrame([], KEPT) if old is None else old.withColumnRenamed("doc", "path").drop("dl")
         touched = sync.changed(found, old).select("path")
         work = found if reread else found.join(touched, "path", "left_semi")
         read = files.extract(work).filter("error is null").select("path", "mtime", F.sha2("text", 256).alias("sha256"), "text")
-        # what was extracted before and is neither touched nor gone
-        kept = old.join(found.select("path"), "path", "left_semi").join(read.select("path"), "path", "left_anti").join(touched, "path", "left_anti")
-        texts = read.unionByName(kept)
-        # only what was read now is tokenised; postings of what stays are taken over
-        docs = read.filter("text <> ''").select(F.col("path").alias("doc"), T.keyword_tokens(F.col("text")).alias("tokens"))
-        postings, lengths = bm25.postings(docs, F.col("tokens"), "doc"), docs.select("doc", F.size("tokens").alias("dl"))
-        if self.table("postings") is not None:
-            stays = kept.select(F.col("path").alias("doc"))
-            postings = postings.unionByName(self.table("postings").join(stays, "doc", "left_semi"))
-            lengths = lengths.unionByName(self.table("lengths").join(stays, "doc", "left_semi"))
-        tables = {"texts": texts, "lengths": lengths, "postings": index.by_term(postings), "totals": index.totals(lengths)}
-        if self.encode:
-            tables["vectors"] = self._vectors(texts)
-        index.save(self.home, **tables)
-
-    def _vectors(self, texts: DataFrame) -> DataFrame:
-        """(path, sha256, vec): encoded where the content is new, as they were elsewhere."""
-        encode = self.encode
-        live = texts.filter(files.extension(F.col("path")).isin(*files.EXTENSIONS) & (T.strip(F.col("text")) != ""))
-        old = self.table("vectors")
-        known = live.limit(0).select("path", "sha256", F.array(F.lit(0.0)).alias("vec")) if old is None else old
+        if reread:  # what is as it was isn't written again
+            read = read.join(old.select("path", "mtime", "sha256"), ["path", "mtime", "sha256"], "left_anti")
+        rows = self._encoded(read, old.join(found.select("path"), "path", "left_semi").join(touched, "path", "left_anti"), old)
+        held.upsert(rows, "path", "text", ("mtime", "sha256", "text", "vec"), blanks=False)
+        now = held.live()
+        if now is not None:  # gone, or changed and not read
+            lost = old.select("path").join(found.select("path"), "path", "left_anti")
+            stale = now.select(F.col("doc").alias("path"), "mtime").join(found.select("path", F.col("mtime").alias("seen")), "path").filter("mtime <> seen").select("path")
+            held.delete(lost.union(stale), "path")
+
+    def _encoded(self, read: DataFrame, stays: DataFrame, old: DataFrame) -> DataFrame:
+        """``read`` with vectors: as they were where the content is known, else encoded; and what stays without one though it may have one."""
+        if not self.encode:
+            return read.withColumn("vec", F.lit(None).cast("array<double>"))
+        encode, usable = self.encode, files.extension(F.col("path")).isin(*files.EXTENSIONS) & (T.strip(F.col("text")) != "")
+        rows = read.unionByName(stays.filter(F.col("vec").isNull() & usable).join(read.select("path"), "path", "left_anti").drop("vec"))
+        known = old.filter("vec is not null").select("path", "sha256", "vec")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
                     yield pd.DataFrame({"path": b["path"], "sha256": b["sha256"], "vec": encoded(encode, b["text"].tolist())})
 
-        new = live.join(known, ["path", "sha256"], "left_anti").select("path", "sha256", "text").mapInPandas(run, "path string, sha256 string, vec array<double>")
-        return new.unionByName(known.join(live, ["path", "sha256"], "left_semi").select("path", "sha256", "vec"))
+        new = rows.filter(usable).join(known, ["path", "sha256"], "left_anti").select("path", "sha256", "text").mapInPandas(run, "path string, sha256 string, vec array<double>")
+        return rows.join(new.unionByName(known), ["path", "sha256"], "left")
 
     def _docs(self) -> DataFrame:
         return self.table("texts").filter("text <> ''").select(F.col("path").alias("doc_id"), "text")
@@ -100,10 +109,8 @@ class Corpus:
         return self.spark.createDataFrame([], "vec_id string, embedding array<double>")
 
     def keyword_search(self, query: str, k: int = 10) -> DataFrame:
-        """(doc, score); plain terms are answered from the postings alone."""
-        if set('+-"()[]{}^:') & set(query) or {"AND", "OR", "NOT"} & set(query.split()):
-            return bm25.keyword_topk(self._docs(), query, k)
-        return index.search_keyword(self.spark, self.home, query, k)
+        """(doc, score), from the postings of the query's terms alone, whatever its grammar."""
+        return self._index().search(query, k)
 
     def vector_search(self, query: str, k: int = 10, refresh: str | None = None) -> DataFrame:
         """(doc, score, snippet); ``refresh``: a folder to sync first, as for a request from another peer."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +20,26 @@ def folder(spark: SparkSession) -> str:
     return f"{top}/larkspur-{uuid.uuid4().hex}"
 
 
+#: How many results read each cached plan: Spark caches equal plans once.
+_HELD: Counter[int] = Counter()
+
+
 def releasing(result: DataFrame, *cached: DataFrame) -> DataFrame:
     """``result``, with what it reads from the cache released once it is no longer held.
 
     What is derived from it is right without the cache too, but reads its source again: return it through ``keeping``.
     """
 
+    keys = [f.semanticHash() for f in cached]
+    _HELD.update(keys)
+
     def release(frames: tuple[DataFrame, ...]) -> None:
-        for f in frames:
-            if f.sparkSession.sparkContext._jsc is not None:  # else Spark has ended
-                f.unpersist()
+        for key, f in zip(keys, frames, strict=True):
+            _HELD[key] -= 1
+            if _HELD[key] <= 0:
+                del _HELD[key]
+                if f.sparkSession.sparkContext._jsc is not None:  # else Spark has ended
+                    f.unpersist()
 
     weakref.finalize(result, release, cached).atexit = False
     return result

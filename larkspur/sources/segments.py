@@ -75,23 +75,35 @@ class SegmentIndex:
 
     # writing
 
-    def upsert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Adds documents; those that are there are replaced."""
-        rows = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-        rows = rows.select("doc", T.keyword_tokens(F.col("text")).alias("tokens"))
-        name = self._lengths(rows.select("doc", F.size("tokens").alias("dl")))
+    def upsert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), blanks: bool = True) -> None:
+        """Adds documents; those that are there are replaced.
+
+        ``keep`` names columns that ``live`` gives back; without ``blanks`` an empty text is kept but is no document of the statistics.
+        """
+        more = [c for c in keep if c != "text"]
+        one = F.max(F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)).alias("x")
+        rows = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(one).select("doc", "x.*")
+        tokens = T.keyword_tokens(F.col("text"))
+        counted = F.lit(True) if blanks else F.col("text") != ""
+        name = self._lengths(rows.select("doc", F.when(counted, F.size(tokens)).alias("dl"), *keep))
         segment = self._sized(name, 0)
-        if not segment["docs"]:
+        if not segment["rows"]:
+            self._remove(name)
             return
-        pairs, ends, each = _places(F.col("tokens"))
-        held = rows.filter(F.size("tokens") > 0).select("doc", F.size("tokens").alias("dl"), pairs.alias("pairs")).select("doc", "dl", "pairs", ends.alias("ends"))
+        held = self._table(name, "docs") if "text" in keep else rows  # then the source need not be read again
+        pairs, ends, each = _places(tokens)
+        held = held.select("doc", "text", F.size(tokens).alias("dl"), pairs.alias("pairs")).filter("dl > 0").select("doc", "dl", "pairs", ends.alias("ends"))
         self._postings(segment, held.select("doc", "dl", F.inline(each)))
         self._bury(self._table(name, "docs").select("doc"))
         self._add(segment)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
-        self._bury(ids.select(F.col(id_col).alias("doc")).filter("doc is not null").distinct())
-        self._save()
+        if self._bury(ids.select(F.col(id_col).alias("doc")).filter("doc is not null").distinct()):
+            self._save()
+
+    def _remove(self, name: str) -> None:
+        fs, path = _fs(self.spark, f"{self.home}/{name}")
+        fs.delete(path, True)
 
     def _table(self, name: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.home}/{name}/{table}")
@@ -102,8 +114,8 @@ class SegmentIndex:
         return name
 
     def _sized(self, name: str, level: int) -> dict:
-        n, total = self._table(name, "docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return {"name": name, "level": level, "docs": n, "blocks": -(-n // self.block), "avgdl": max(total, 1) / max(n, 1), "total": total}
+        rows, n, total = self._table(name, "docs").agg(F.count("*"), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return {"name": name, "level": level, "rows": rows, "docs": n, "blocks": -(-n // self.block), "avgdl": max(total, 1) / max(n, 1), "total": total}
 
     def _postings(self, segment: dict, places: DataFrame) -> None:
         """places: (doc, dl, term, at)."""
@@ -121,18 +133,21 @@ class SegmentIndex:
         each = [self.spark.read.parquet(f"{self.home}/{d}") for d in self.state["dead"]]
         return reduce(DataFrame.unionByName, each) if each else None
 
-    def _bury(self, ids: DataFrame) -> None:
-        """Tombstones for the living documents of these ids; the counts lose them."""
+    def _bury(self, ids: DataFrame) -> bool:
+        """Tombstones for the living documents of these ids; the counts lose them. Whether there were any."""
         live = self._union("docs", lambda t: t.select("doc", "dl"))
         if live is None:
-            return
+            return False
         if (dead := self._dead()) is not None:
             live = live.join(dead, ["segment", "doc"], "left_anti")
         name = f"dead-{uuid.uuid4().hex}"
         live.join(ids, "doc", "left_semi").select("segment", "doc", "dl").write.parquet(f"{self.home}/{name}")
-        n, total = self.spark.read.parquet(f"{self.home}/{name}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        if n:
-            self.state = {**self.state, "dead": [*self.state["dead"], name], "n_docs": self.state["n_docs"] - n, "total": self.state["total"] - total}
+        rows, n, total = self.spark.read.parquet(f"{self.home}/{name}").agg(F.count("*"), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        if not rows:
+            self._remove(name)
+            return False
+        self.state = {**self.state, "dead": [*self.state["dead"], name], "n_docs": self.state["n_docs"] - n, "total": self.state["total"] - total}
+        return True
 
     def _add(self, segment: dict) -> None:
         self.state = {**self.state, "segments": [*self.state["segments"], segment], "n_docs": self.state["n_docs"] + segment["docs"], "total": self.state["total"] + segment["total"]}
@@ -149,7 +164,7 @@ class SegmentIndex:
         docs, hits = self._union("docs", lambda t: t).filter(here), self._union("postings", lambda t: t.select("term", F.inline("hits"))).filter(here)
         if dead is not None:
             docs, hits = (x.join(dead.select("segment", "doc"), ["segment", "doc"], "left_anti") for x in (docs, hits))
-        segment = self._sized(self._lengths(docs.select("doc", "dl")), level)
+        segment = self._sized(self._lengths(docs.drop("segment")), level)
         self._postings(segment, hits.select("doc", "dl", "term", "at"))
         kept = [s for s in self.state["segments"] if s["name"] not in names]
         rest = []
@@ -159,19 +174,27 @@ class SegmentIndex:
         self.state = {**self.state, "segments": [*kept, segment], "dead": rest}
 
     def _save(self) -> None:
-        """The new list takes the old one's place; then what no list names goes."""
+        """The new list takes the old one's place. What the old one names stays for who still reads it; what only lists before it named goes."""
         fs, path = _fs(self.spark, f"{self.home}/SEGMENTS")
         before = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.home}/SEGMENTS").collect())) if fs.exists(path) else None
+        names = lambda state: {s["name"] for s in state["segments"]} | {*state["dead"]}
+        gone = {*before.get("old", [])} - names(before) - names(self.state) if before else set()
+        self.state = {**self.state, "old": sorted(names(before)) if before else []}
         out = fs.create(path, True)
         out.write(json.dumps(self.state).encode())
         out.close()
-        if before:
-            gone = {s["name"] for s in before["segments"]} | {*before["dead"]}
-            for name in gone - {s["name"] for s in self.state["segments"]} - {*self.state["dead"]}:
-                fs.delete(_fs(self.spark, f"{self.home}/{name}")[1], True)
+        for name in gone:
+            self._remove(name)
 
     # reading
 
+    def live(self) -> DataFrame | None:
+        """(doc, dl, kept columns...) of living documents; None if nothing was ever added."""
+        docs, dead = self._union("docs", lambda t: t), self._dead()
+        if docs is not None and dead is not None:
+            docs = docs.join(dead.select("segment", "doc"), ["segment", "doc"], "left_anti")
+        return None if docs is None else docs.drop("segment")
+
     def _hits(self, wanted: Column, blocks: DataFrame | None = None) -> DataFrame:
         """(segment, block, term, doc, dl, at) of living documents, of these (segment, block) alone if given."""
         rows = self._union("postings", lambda t: t.filter(wanted).select("term", "block", "hits"))
