@@ -150,6 +150,7 @@ now AS (SELECT * FROM moved UNION ALL SELECT doc_id, coalesce(text, '') FROM doc
     "bm25_topk": f"WITH {KEYWORD} SELECT doc, score FROM scored WHERE score > 0 ORDER BY score DESC, doc LIMIT 10",
     "bm25_boolean": f"WITH {bm25(DOCS, tokens('text'), ['the', 'of', 'the', 'estion'], 1.2)} SELECT doc, score FROM scored JOIN toks USING (doc) WHERE score > 0 AND list_contains(tk, 'the') AND NOT list_contains(tk, 'and') ORDER BY score DESC, doc LIMIT 10",
     "cosine_topk": f"SELECT vec_id AS doc, {SIM} AS cosine FROM embeddings ORDER BY cosine DESC, doc LIMIT 10",
+    "cosine_pruned": f"SELECT vec_id AS doc, {SIM} AS cosine FROM embeddings ORDER BY cosine DESC, doc LIMIT 10",
     "vec_lookup": f"SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS place, unnest(embedding) AS value FROM embeddings WHERE vec_id = {VECTOR_OF}",
     "ngram_bm25": f"WITH {bm25(DOCS, grams('text'), gram_list(QUERY), 1.5)} SELECT doc, dl::INT AS dl, score FROM scored",
     "ngram_rerank": f"WITH {rerank(50, 50)} SELECT doc, score, cosine FROM ranked",
@@ -187,6 +188,11 @@ SELECT coalesce(p.doc_id, r.doc_id) AS req_id, p.source AS peer, 'd/' || p.doc_i
     "iam_group_rights": f'SELECT m."user", bit_or(g.rights) AS rights FROM ({X.MEMBERSHIPS} UNION ALL SELECT c_name, unnest([c_mktsegment, c_nationkey::VARCHAR, \'gone\']) FROM customer) m JOIN ({RIGHTS_OF}) g ON m.grp = g.name GROUP BY m."user"',
     "iam_groups_list": f"SELECT name, (CASE WHEN rights < 0 THEN rights::HUGEINT + 18446744073709551616 ELSE rights::HUGEINT END)::VARCHAR AS rights FROM ({RIGHTS_OF}) ORDER BY name",
     "iam_longest_prefix": f"{BEST_RULE} SELECT page_id, path_id FROM best",
+    "iam_prefix_intervals": f"""WITH rules AS (SELECT path_id, prefix FROM ({X.PATHS}) UNION ALL SELECT 'r' || page_id, left(url, (8 + page_id % 40)::INT) FROM pages),
+ first AS (SELECT prefix, min(path_id) AS path_id FROM rules WHERE prefix IS NOT NULL GROUP BY prefix), n AS (SELECT max(length(prefix)) AS most FROM first),
+ heads AS (SELECT page_id, left(url, k::INT) AS prefix, k FROM (SELECT page_id, url, unnest(range(0, least(length(url), most) + 1)) AS k FROM pages, n)),
+ best AS (SELECT page_id, arg_max(path_id, k) AS path_id FROM heads JOIN first USING (prefix) GROUP BY page_id)
+SELECT page_id, path_id FROM pages LEFT JOIN best USING (page_id)""",
     "iam_access_check": f"""{BEST_RULE},
  asked(right_name, wanted, public_scope) AS (VALUES {', '.join(f"('{n}', {w}, {str(p).lower()})" for n, w, p in X.WANTED)}),
  who(session) AS (VALUES ('s-ann'), ('s-bob'), ('s-old'), ('s-cyd'), ('s-dan'), ('s-none')),

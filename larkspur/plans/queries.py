@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import validate as V
-from ..operators import access, bm25, login, search, sync
+from ..operators import access, balls, bm25, intervals, login, search, sync
 from ..operators.scratch import folder, keeping
 from ..sources import files, index, segments, tables
 from ..streaming import live
@@ -215,6 +215,14 @@ def cosine_topk(spark, d):
     return search.cosine_topk(e, search.vec_lookup(e, VECTOR_OF), K)
 
 
+@query
+def cosine_pruned(spark, d):
+    """The same ten from cells in the order of their bounds."""
+    e, where = read(spark, d, "embeddings"), f"{folder(spark)}/balls"
+    balls.build(e, where)
+    return balls.topk(spark, where, search.vec_lookup(e, VECTOR_OF), K)[0]
+
+
 @query
 def vec_lookup(spark, d):
     e = read(spark, d, "embeddings")
@@ -449,6 +457,15 @@ def iam_longest_prefix(spark, d):
     return out.select("page_id", F.col("rule_path_id").alias("path_id"))
 
 
+@query
+def iam_prefix_intervals(spark, d):
+    """The fixed rules, and a rule for a part of each page's address: as many as there are pages."""
+    pages = read(spark, d, "pages").select("page_id", F.col("url").alias("path"))
+    made = pages.select(F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("path_id"), F.expr("left(path, cast(8 + page_id % 40 as int))").alias("prefix"))
+    out = intervals.longest_prefix(pages, values(spark, X.PATHS).select("path_id", "prefix").unionByName(made))
+    return out.select("page_id", F.col("rule_path_id").alias("path_id"))
+
+
 @query
 def iam_access_check(spark, d):
     pages = read(spark, d, "pages").select("page_id", F.col("url").alias("path"))

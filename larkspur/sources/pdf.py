@@ -23,6 +23,10 @@ _STRING = re.compile(rb"[()\\]")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 #: Operators that move the text position.
 MOVES = ("Td", "TD", "Tm", "T*")
+#: Bytes that a compressed stream, or a member of an archive, may have.
+INFLATED = 1 << 28
+#: Objects that never end are looked through to the end of the file, until that adds up to so many times its length.
+RESCANS = 16
 
 
 class BrokenPdf(ValueError):
@@ -134,7 +138,10 @@ def decoded(stream: Stream, get: Any) -> bytes:
     data, filters = stream.data, get(stream.entries.get("Filter"))
     for f in filters if isinstance(filters, list) else [filters] if filters else []:
         if f in ("FlateDecode", "Fl"):
-            data = zlib.decompressobj().decompress(data)
+            inflate = zlib.decompressobj()
+            data = inflate.decompress(data, INFLATED)
+            if inflate.unconsumed_tail:
+                raise BrokenPdf(f"a stream has more than {INFLATED} bytes")
         elif f in ("ASCIIHexDecode", "AHx"):
             digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
             data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
@@ -154,13 +161,16 @@ class Pdf:
     def of(cls, data: bytes) -> Pdf:
         if b"%PDF-" not in data[:1024]:
             raise BrokenPdf("no PDF header")
-        pdf, at, packed = cls(), 0, []
+        pdf, at, packed, lost = cls(), 0, [], 0
         trailers = []
         while m := re.compile(rb"(\d+)[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+obj\b|\btrailer\b").search(data, at):
             lexer = Lexer(data, m.end())
             try:
                 found = lexer.next()
-            except BrokenPdf:
+            except BrokenPdf as e:
+                lost += len(data) - m.end()
+                if lost > RESCANS * len(data):
+                    raise BrokenPdf("too many objects that never end") from e
                 at = m.end()
                 continue
             at = lexer.at
@@ -171,7 +181,7 @@ class Pdf:
                 begin = lexer.at + 6
                 begin += 2 if data.startswith(b"\r\n", begin) else 1
                 size = found.get("Length")
-                end = begin + int(size) if isinstance(size, float) else -1
+                end = begin + int(size) if isinstance(size, float) and size <= len(data) else -1
                 if end < 0 or not data[end : end + 12].lstrip(_SPACE).startswith(b"endstream"):
                     end = data.find(b"endstream", begin)
                     end = len(data) if end < 0 else end
@@ -200,7 +210,7 @@ class Pdf:
             numbers = [places.next() for _ in range(2 * int(s.entries["N"]))]
             for number, at in zip(numbers[::2], numbers[1::2], strict=True):
                 self.objects.setdefault(int(number), Lexer(body, first + int(at)).next())
-        except (BrokenPdf, KeyError, TypeError, ValueError, zlib.error):
+        except (KeyError, TypeError, ValueError, OverflowError, zlib.error):
             return
 
     def get(self, x: Any) -> Any:
