@@ -246,3 +246,8 @@ SELECT path_id, prefix, CASE WHEN e IS NULL AND row_number() OVER (PARTITION BY
  judged AS (SELECT attempt, "user", challenge, CASE WHEN c_custkey % 7 = 0 THEN 'invalid_input' WHEN c_custkey % 11 = 0 THEN 'not_found' WHEN c_custkey % 6 = 1 OR c_custkey % 13 = 0 THEN 'unauthorized' WHEN c_custkey % 4 = 0 THEN 'expired' WHEN locked THEN 'locked' WHEN c_custkey % 3 = 0 OR attempt % 2 = 1 THEN 'unauthorized' ELSE 'ok' END AS verdict FROM tries)
 SELECT attempt, "user", challenge, verdict, CASE WHEN verdict = 'ok' THEN {X.NOW + 900}::BIGINT END AS session_expires FROM judged""",
 }
+
+SQL["merged_search_stream"] = """WITH e AS (SELECT event_id, user_id, coalesce(value, 0.0) AS score, min(event_id) OVER (PARTITION BY user_id) AS opened FROM events),
+ h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, 'p' || event_id % 3, event_id::VARCHAR) AS rank FROM e WHERE event_id % 2 >= opened % 2)
+SELECT 'n' || user_id % 4 AS origin, user_id AS search_id, rank::INT AS rank, 'p' || event_id % 3 AS peer, event_id::VARCHAR AS doc, score FROM h WHERE rank <= 1 + user_id % 5"""
+SQL["doc_fetch_stream"], SQL["login_finish_stream"] = SQL["doc_fetch_upsert"], SQL["login_finish"]

@@ -12,7 +12,7 @@ from ..functions import validate as V
 from ..operators import access, balls, bm25, intervals, login, search, sync
 from ..operators.scratch import folder, keeping
 from ..sources import files, index, segments, tables
-from ..streaming import live
+from ..streaming import live, stateful
 from . import fixtures as X
 
 QUERY = "thering estion of the"
@@ -710,3 +710,63 @@ def login_finish(spark, d):
     tries = made.select("user", "challenge", F.when(key % 3 == 0, "no").otherwise(right).alias("proof"), F.explode(F.array(key * 2, key * 2 + 1)).alias("attempt"))
     users = p.filter("c_custkey % 7 <> 0").select("user", "locked", "pw_hash")
     return login.finish(tries, held, users, "node-1", X.NOW)
+
+
+# Streams: fed in two parts, the query being started anew for the second
+
+
+def _streamed(spark, parts, plan, mode="append"):
+    """The folder that holds what ``plan`` of a stream over the parts has written."""
+    top = folder(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{top}/in")
+        stateful.run(plan(spark.readStream.schema(part.schema).parquet(f"{top}/in")), f"{top}/out", f"{top}/state", mode)
+    return f"{top}/out"
+
+
+@query
+def merged_search_stream(spark, d):
+    """A search for each user, opened by their first event; every event is a hit. Those with even numbers come first."""
+    e = read(spark, d, "events").select("event_id", "user_id", F.coalesce("value", F.lit(0.0)).alias("score"))
+    key = [F.concat(F.lit("n"), (F.col("user_id") % 4).cast("string")).alias("origin"), F.col("user_id").alias("search_id")]
+    none = F.lit(None).cast("string")
+    opens = e.groupBy("user_id").agg(F.min("event_id").alias("event_id")).select(*key, (1 + F.col("user_id") % 5).cast("int").alias("lim"), none.alias("peer"), none.alias("doc"), F.lit(0.0).alias("score"), "event_id")
+    hits = e.select(*key, F.lit(None).cast("int").alias("lim"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("peer"), F.col("event_id").cast("string").alias("doc"), "score", "event_id")
+    rows = opens.unionByName(hits)
+    out = _streamed(spark, [rows.filter(F.col("event_id") % 2 == k).drop("event_id") for k in (0, 1)], stateful.merge_hits, "update")
+    return stateful.latest(spark, out, stateful.MERGED, ["origin", "search_id"])
+
+
+@query
+def doc_fetch_stream(spark, d):
+    """Fetches, then their responses, as a stream of upserts."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("req_id"), F.col("source").alias("peer"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), _text().alias("text"))
+    failed = F.col("req_id") % 5 == 0
+    asked = docs.filter("req_id % 7 <> 0").select("req_id", "peer", "path", F.lit(None).cast("boolean").alias("done"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("string")
+    answers = docs.filter("req_id % 3 <> 0").select("req_id", none.alias("peer"), none.alias("path"), F.lit(True).alias("done"), F.when(failed, "").otherwise(F.col("text")).alias("text"), F.when(failed, "not_found").otherwise("").alias("error"))
+    out = _streamed(spark, [asked, answers], lambda s: s)
+    rows = stateful.upserted(spark, out, "req_id long, peer string, path string, done boolean, text string, error string", "req_id", [])
+    return rows.select("req_id", "peer", "path", F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def login_finish_stream(spark, d):
+    """The challenges and attempts of login_finish; second attempts come after a restart."""
+    p, key = _people(spark, d), F.col("c_custkey")
+    ts, none, at = F.timestamp_seconds(F.lit(X.NOW)).alias("ts"), F.lit(None).cast("string"), F.lit(None).cast("long")
+    challenge, nonce = F.md5("pw_hash"), F.unhex(F.lit("00ff"))
+    held = p.filter("c_custkey % 11 <> 0").select(
+        ts, challenge.alias("challenge"), F.when(key % 13 == 0, "other").otherwise(F.col("user")).alias("owner"), F.when(key % 4 == 0, X.NOW - 1).otherwise(X.NOW).cast("long").alias("expires"),
+        (key % 6 == 1).alias("used"), nonce.alias("nonce"), at.alias("attempt"), none.alias("user"), none.alias("proof"), at.alias("now"),
+    )
+    right = access.login_proof("pw_hash", "nonce", "challenge", "node")
+    made = p.select("c_custkey", "user", challenge.alias("challenge"), "pw_hash", nonce.alias("nonce"), F.lit("node-1").alias("node"))
+    tries = made.select(
+        ts, "challenge", none.alias("owner"), at.alias("expires"), F.lit(None).cast("boolean").alias("used"), F.lit(None).cast("binary").alias("nonce"),
+        F.explode(F.array(key * 2, key * 2 + 1)).alias("attempt"), "user", F.when(key % 3 == 0, "no").otherwise(right).alias("proof"), F.lit(X.NOW).cast("long").alias("now"),
+    )
+    users = p.filter("c_custkey % 7 <> 0").select("user", "locked", "pw_hash")
+    parts = [held.unionByName(tries.filter("attempt % 2 = 0")), tries.filter("attempt % 2 = 1")]
+    out = _streamed(spark, parts, lambda s: stateful.finish(s, users, "node-1"))
+    return spark.read.schema(stateful.JUDGED).parquet(out).drop("epoch")
