@@ -75,9 +75,10 @@ def statistics(rows: DataFrame, terms: list[str], by: list[str] | None = None) -
     return out.select(*(by or []), "n_docs", (F.greatest("total_len", F.lit(1)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"), F.array(*[f"df{i}" for i in range(len(terms))]).cast("array<long>").alias("dfs"))
 
 
-def score(weights: list[float], f: Formula) -> Column:
-    """BM25 from dl, tfs, n_docs, avgdl and dfs; ``weights``: how often the query names each term, or its boosts."""
-    part = F.arrays_zip(F.col("tfs"), F.col("dfs"), F.array(*map(F.lit, weights)).cast("array<double>").alias("qf"))
+def score(weights: list[float], f: Formula, places: list[int] | None = None) -> Column:
+    """BM25 from dl, tfs, n_docs, avgdl and dfs; ``weights``: how often the query names each term, or its boosts; ``places``: where in tfs and dfs the terms are."""
+    at = lambda c: F.col(c) if places is None else F.array(*[F.get(c, F.lit(i)) for i in places]).cast("array<long>")
+    part = F.arrays_zip(at("tfs").alias("tfs"), at("dfs").alias("dfs"), F.array(*map(F.lit, weights)).cast("array<double>").alias("qf"))
     share = 1 - f.b + f.b * F.greatest(F.col("dl"), F.lit(1)) / F.col("avgdl")
 
     def add(total: Column, x: Column) -> Column:

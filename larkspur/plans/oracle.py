@@ -251,3 +251,5 @@ SQL["merged_search_stream"] = """WITH e AS (SELECT event_id, user_id, coalesce(v
  h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, 'p' || event_id % 3, event_id::VARCHAR) AS rank FROM e WHERE event_id % 2 >= opened % 2)
 SELECT 'n' || user_id % 4 AS origin, user_id AS search_id, rank::INT AS rank, 'p' || event_id % 3 AS peer, event_id::VARCHAR AS doc, score FROM h WHERE rank <= 1 + user_id % 5"""
 SQL["doc_fetch_stream"], SQL["login_finish_stream"] = SQL["doc_fetch_upsert"], SQL["login_finish"]
+SQL["hybrid_many"] = f"""SELECT 1::BIGINT AS query_id, * FROM ({SQL["hybrid_topk"].replace("LIMIT 10", "LIMIT 5").replace("SELECT f.doc", "SELECT row_number() OVER (ORDER BY f.score DESC, f.bm DESC, f.doc)::INT AS rank, 'fused' AS branch, f.doc")})
+UNION ALL SELECT 2, * FROM ({SQL["hybrid_fallback_vector"].replace("SELECT ranked.doc", "SELECT row_number() OVER (ORDER BY score DESC, cosine DESC, ranked.doc)::INT AS rank, 'vector' AS branch, ranked.doc")})"""

@@ -279,6 +279,14 @@ def hybrid_fallback_bm25(spark, d):
     return search.hybrid_search(read(spark, d, "documents"), e.filter(F.lit(False)), QUERY, search.vec_lookup(e, VECTOR_OF), K)
 
 
+@query
+def hybrid_many(spark, d):
+    """A query with hits and one without, in one plan."""
+    e = read(spark, d, "embeddings")
+    v = search.vec_lookup(e, VECTOR_OF)
+    return search.hybrid_many(read(spark, d, "documents"), e, [(1, QUERY, v), (2, NO_HIT, v)], 5)
+
+
 @query
 def peer_topk(spark, d):
     return search.peer_topk(read(spark, d, "documents"), QUERY)

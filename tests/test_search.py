@@ -110,6 +110,26 @@ def test_hybrid_and_fallbacks(spark, docs):
     assert [r.doc for r in search.hybrid_search(docs, vectors, "zzz", [1.0, 0.0], 2).collect()] == [1, 2]
 
 
+def test_many_queries_go_as_each_alone(spark):
+    texts = ["banana split", "banana bread banana", "only kiwi here", None, "", "kiwi tart", "fig", "fig fig jam and more words", "nabana"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [-1.0, 0.2]), (6, [0.6, 0.8]), (8, None), (99, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    asked = ["banana", "kiwi", "zzz", '+"banana bread" -split', "fig^2 OR banana", "bad (", " ", "anan", "?!"]
+    queries = [(100 + i, t, [1.0, float(i)]) for i, t in enumerate(asked)] + [(200 + i, "fig", [0.0, 1.0]) for i in range(search.TOGETHER)]
+    rows = search.hybrid_many(docs, vectors, queries, 3).collect()
+    ways = {}
+    for ident, text, v in queries[: len(asked) + 1]:
+        got = sorted((r for r in rows if r.query_id == ident), key=lambda r: r["rank"])
+        assert [(r.doc, r.score, r.snippet) for r in got] == [tuple(r) for r in search.hybrid_search(docs, vectors, text, v, 3).collect()], text
+        assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+        ways[text] = {r.branch for r in got}
+    assert ways == {"banana": {"fused"}, "kiwi": {"keyword"}, "zzz": {"vector"}, '+"banana bread" -split': {"fused"}, "fig^2 OR banana": {"fused"}, "bad (": {"vector"}, " ": set(), "anan": {"vector"}, "?!": {"vector"}, "fig": {"fused"}}
+    assert {tuple(r)[1:] for r in rows if r.query_id >= 200} == {tuple(r)[1:] for r in rows if r.query_id == 200}
+    assert len({r.query_id for r in rows}) == len(queries) - 1
+    assert search.hybrid_many(docs, vectors, [], 3).count() == 0
+    assert search.hybrid_many(docs.limit(0), vectors.limit(0), queries[:2], 3).count() == 0
+
+
 def test_peers_have_their_own_statistics(spark):
     rows = [(1, "a", "x y"), (2, "a", "x z"), (3, "b", "x"), (4, "b", "w w w")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
