@@ -45,8 +45,7 @@ RESULT = "batch long, hour long, click_id long, n_rows long, cents long, record
 #: Each batch is a run of its own, whose state stores executors keep open until maintenance finds that it has ended. There is a store for each
 #: partition, however few its panes are, so stores don't take disk ahead of need. A commit
 #: writes two files a partition, each by way of another name; a sum file beside each would double that, and file systems keep sums of their own.
-#: Files are moved by the file system itself: a move by way of its other interface starts three processes a file where the folder is a mounted one. A file of a
-#: version that stands already is kept, and a version's rows are the same whoever writes them, so a task run twice is no loss.
+#: Files are moved by the file system's plain rename, which took less time here than the default way (README).
 STORES = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
