@@ -74,3 +74,21 @@ def test_challenges_work_once(spark, tmp_path):
         feed(spark, tmp_path, [attempt(n, "b", "ann", proof("b"), now)], MESSAGES, plan)
     rows = {r.attempt: r.verdict for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert rows[13] == "not_found"
+
+
+def test_challenges_share_groups(spark, tmp_path):
+    """What a batch asks of its state grows with the groups, not with the challenges."""
+    users = spark.createDataFrame([("ann", False, "h")], "user string, locked boolean, pw_hash string")
+    at, c, big = spark.sql("SELECT timestamp_seconds(1000)").first()[0], lambda k: f"{k:032d}", 2**60 + 1
+    proof = lambda k: hashlib.sha256(hashlib.sha256(b"h").digest() + b"\0" + c(k).encode() + b"node").hexdigest()
+    issued = [(at, c(k), "ann", 1060 + k % 2, False, bytearray(b"\0"), None, None, None, None) for k in range(400)]
+    tries = [(at, c(k), None, None, None, None, big + k, "ann", proof(k), 1001) for k in range(400)]
+    top = tmp_path
+    for rows in (issued + tries[::2], tries):  # even ones come again, after a restart
+        spark.createDataFrame(rows, MESSAGES).write.mode("append").parquet(f"{top}/in")
+        plan = stateful.finish(spark.readStream.schema(MESSAGES).parquet(f"{top}/in"), users, "node", buckets=8)
+        query = stateful.run(plan, f"{top}/out", f"{top}/state")
+        timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress if p["stateOperators"]]
+        assert timers and max(timers) <= 16
+    got = sorted((r.attempt, r.verdict) for r in spark.read.parquet(f"{top}/out").collect())
+    assert got == sorted([(big + k, "ok") for k in range(400)] + [(big + k, "unauthorized") for k in range(0, 400, 2)])
