@@ -92,3 +92,22 @@ def test_challenges_share_groups(spark, tmp_path):
         assert timers and max(timers) <= 16
     got = sorted((r.attempt, r.verdict) for r in spark.read.parquet(f"{top}/out").collect())
     assert got == sorted([(big + k, "ok") for k in range(400)] + [(big + k, "unauthorized") for k in range(0, 400, 2)])
+
+
+def test_searches_share_groups(spark, tmp_path):
+    """Many searches take few groups, and come out as each by itself."""
+    rows = [("a", 2**60 + 1 + k, 3, None, None, None) for k in range(300)] + [("a", 2**60 + 1 + k, None, "p", f"d{n}", float(n * k % 7)) for k in range(300) for n in range(5)]
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, HITS).write.mode("append").parquet(f"{tmp_path}/in")
+        query = stateful.run(stateful.merge_hits(spark.readStream.schema(HITS).parquet(f"{tmp_path}/in"), buckets=4), f"{tmp_path}/out", f"{tmp_path}/state", "update")
+        assert query.exception() is None
+    got = {}
+    for r in sorted(stateful.latest(spark, f"{tmp_path}/out", stateful.MERGED, ["origin", "search_id"]).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.search_id, []).append((r.score, r.doc))
+    want = {}
+    for k in range(300):
+        # a search that opens in the second part has lost the first part's hits
+        late = rows.index(("a", 2**60 + 1 + k, 3, None, None, None)) % 2
+        mine = [(float(n * k % 7), f"d{n}") for i, n in ((300 + 5 * k + n, n) for n in range(5)) if i % 2 >= late]
+        want[2**60 + 1 + k] = sorted(mine, key=lambda x: (-x[0], x[1]))[:3]
+    assert got == want
