@@ -2,7 +2,8 @@
 
 A segment is written once. Its documents are dealt into blocks by their hash, and its postings table has a row for each
 (term, block): how many documents, the highest score of any of them (``top``), and the documents with length and
-positions. Rows are range-sorted by (term, block), so that a query's terms and blocks are pushed-down filters.
+positions. A block is inverted where its documents are, so only texts are shuffled, never a row a token; each file holds whole
+blocks, sorted by (term, block), so that a query's terms and blocks are pushed-down filters.
 What an upsert or a delete takes away is a row of a tombstone table; documents of the same segment never
 share an id. Once a level has MERGE segments they become one of the next level: postings are taken over
 without the dead, no text is read again. So what a sync writes follows what has changed.
@@ -48,13 +49,54 @@ def _impact(tf: Column, dl: Column, avgdl: float | Column) -> Column:
     return tf * (F_.k1 + 1) / (tf + F_.k1 * (1 - F_.b + F_.b * F.greatest(dl, F.lit(1)) / avgdl))
 
 
-def _places(tokens: Column) -> tuple[Column, Column, Column]:
-    """A document's tokens with their places, sorted; where each term ends in them; and array<(term, positions)>, each from the columns before."""
-    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
-    ends = F.filter(F.sequence(F.lit(1), F.size("pairs")), lambda i: ~F.get("pairs", i - 1)["term"].eqNullSafe(F.get("pairs", i)["term"]))
-    begin = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
-    each = F.transform("ends", lambda e, i: F.struct(F.get("pairs", e - 1)["term"].alias("term"), F.transform(F.slice("pairs", begin(i) + 1, e - begin(i)), lambda p: p["at"]).alias("at")))
-    return pairs, ends, each
+def _inverted(avgdl: float):  # noqa: ANN202
+    """For ``mapInArrow``: (block, doc, dl, tokens), in order of blocks, to (term, block, n, top, hits). It holds a batch and what a block has from the batch before."""
+
+    def invert(rows):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        rows = rows.combine_chunks()
+        block, doc, dl, tokens = (c.chunk(0) for c in rows.columns)
+        block, size = block.to_numpy(), np.diff(tokens.offsets.to_numpy())
+        words = tokens.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(size)), size)
+        at = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype("int32")
+        key = block[row].astype("int64") * len(words.dictionary) + words.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # within a (block, term) documents and places keep their order
+        key, row, at = key[order], row[order], at[order]
+        of_term = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(of_term | np.append(True, row[1:] != row[:-1]))  # of each (block, term, document)
+        begin = np.flatnonzero(of_term[first])  # of each (block, term), among those
+        tf, row = np.diff(np.append(first, len(key))), row[first]
+        impact = tf * (F_.k1 + 1) / (tf + F_.k1 * (1 - F_.b + F_.b * np.maximum(dl.to_numpy()[row], 1) / avgdl))
+        lists = lambda begins, values: pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)).astype("int32")), values)
+        hits = pa.StructArray.from_arrays([doc.take(pa.array(row)), dl.take(pa.array(row)), lists(first, pa.array(at))], ["doc", "dl", "at"])
+        each = key[first[begin]]
+        return pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(each % len(words.dictionary))), pa.array((each // len(words.dictionary)).astype("int32")), pa.array(np.diff(np.append(begin, len(first)))),
+             pa.array(np.maximum.reduceat(impact, begin)), lists(begin, hits)], ["term", "block", "n", "top", "hits"],
+        )
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            last = rows["block"][-1]
+            whole = rows.filter(pc.not_equal(rows["block"], last))
+            waiting = rows.filter(pc.equal(rows["block"], last))
+            if whole.num_rows:
+                yield invert(whole)
+        if waiting is not None:
+            yield invert(waiting)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -90,10 +132,15 @@ class SegmentIndex:
         if not segment["rows"]:
             self._remove(name)
             return
-        held = self._table(name, "docs") if "text" in keep else rows  # then the source need not be read again
-        pairs, ends, each = _places(tokens)
-        held = held.select("doc", "text", F.size(tokens).alias("dl"), pairs.alias("pairs")).filter("dl > 0").select("doc", "dl", "pairs", ends.alias("ends"))
-        self._postings(segment, held.select("doc", "dl", F.inline(each)))
+        if "text" in keep:  # then the source need not be read again
+            held = self._table(name, "docs").select("doc", "text").withColumn("block", self._block(segment)).repartition("block")
+        else:
+            held = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+            held = held.withColumn("block", self._block(segment)).repartition("block").groupBy("block", "doc").agg(F.max("text").alias("text"))
+        held = held.select("block", "doc", tokens.alias("tokens")).filter(F.size("tokens") > 0).select("block", "doc", F.size("tokens").alias("dl"), "tokens").sortWithinPartitions("block")
+        kind = held.schema["doc"].dataType.simpleString()
+        schema = f"term string, block int, n long, top double, hits array<struct<doc:{kind},dl:int,at:array<int>>>"
+        self._written(segment, held.mapInArrow(_inverted(segment["avgdl"]), schema))
         self._bury(self._table(name, "docs").select("doc"))
         self._add(segment)
 
@@ -117,12 +164,17 @@ class SegmentIndex:
         rows, n, total = self._table(name, "docs").agg(F.count("*"), F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return {"name": name, "level": level, "rows": rows, "docs": n, "blocks": -(-n // self.block), "avgdl": max(total, 1) / max(n, 1), "total": total}
 
+    def _block(self, segment: dict) -> Column:
+        return F.pmod(F.xxhash64("doc"), F.lit(max(segment["blocks"], 1))).cast("int")
+
     def _postings(self, segment: dict, places: DataFrame) -> None:
         """places: (doc, dl, term, at)."""
-        block = F.pmod(F.xxhash64("doc"), F.lit(max(segment["blocks"], 1))).cast("int")
-        rows = places.withColumn("block", block).repartitionByRange("term", "block")
-        rows = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(_impact(F.size("at"), F.col("dl"), F.lit(segment["avgdl"]))).alias("top"), F.collect_list(F.struct("doc", "dl", "at")).alias("hits"))
-        rows.sortWithinPartitions("term", "block").write.parquet(f"{self.home}/{segment['name']}/postings")
+        rows = places.withColumn("block", self._block(segment)).repartition("block")
+        top = F.max(_impact(F.size("at"), F.col("dl"), F.lit(segment["avgdl"])))
+        self._written(segment, rows.groupBy("term", "block").agg(F.count("*").alias("n"), top.alias("top"), F.collect_list(F.struct("doc", "dl", "at")).alias("hits")))
+
+    def _written(self, segment: dict, postings: DataFrame) -> None:
+        postings.sortWithinPartitions("term", "block").write.parquet(f"{self.home}/{segment['name']}/postings")
 
     def _union(self, table: str, f) -> DataFrame | None:  # noqa: ANN001
         each = [f(self._table(s["name"], table)).withColumn("segment", F.lit(s["name"])) for s in self.state["segments"]]

@@ -93,3 +93,19 @@ def test_caches_are_read(spark, sf_dir):
     for name in ("ngram_bm25", "peer_topk", "federated_topk", "vector_query", "vector_query_snippets"):
         df = registered[name](spark, sf_dir)
         assert "InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_blocks_are_inverted_across_batches():
+    """A block that two batches share gives one row a term; nothing but whole blocks is held."""
+    import pyarrow as pa
+
+    from larkspur.sources.segments import _inverted
+
+    docs = [(0, 7, ["b", "a", "b"]), (1, 1, ["a"]), (1, 2, ["c", "a"]), (1, 3, ["a", "a"]), (2, 9, ["é"])]
+    batch = lambda d: pa.RecordBatch.from_arrays([pa.array([x[0] for x in d], "int32"), pa.array([x[1] for x in d]), pa.array([len(x[2]) for x in d], "int32"), pa.array([x[2] for x in d])], ["block", "doc", "dl", "tokens"])
+    out = list(_inverted(2.0)(iter([batch(docs[:2]), batch(docs[2:3]), batch(docs[3:])])))
+    got = {(r["term"], r["block"]): (r["n"], [(h["doc"], h["dl"], h["at"]) for h in r["hits"]]) for b in out for r in b.to_pylist()}
+    assert sum(b.num_rows for b in out) == len(got) == 5
+    assert got == {("a", 0): (1, [(7, 3, [1])]), ("b", 0): (1, [(7, 3, [0, 2])]), ("a", 1): (3, [(1, 1, [0]), (2, 2, [1]), (3, 2, [0, 1])]), ("c", 1): (1, [(2, 2, [0])]), ("é", 2): (1, [(9, 1, [0])])}
+    tops = {(r["term"], r["block"]): r["top"] for b in out for r in b.to_pylist()}
+    assert tops["b", 0] == pytest.approx(2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2)))
