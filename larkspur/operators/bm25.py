@@ -68,6 +68,27 @@ def matched(docs: DataFrame, tokens: Column, terms: list[str], keep: list[str])
     return held.select(*keep, "dl", F.transform(wanted, lambda w: F.size(F.filter("hits", lambda h: h == w))).alias("tfs"))
 
 
+def matched_ngrams(docs: DataFrame, text: Column, n: int, terms: list[str], keep: list[str]) -> DataFrame:
+    """As ``matched`` with ``T.char_ngrams``, which aren't made: lengths and occurrences are counted in the text itself.
+
+    A word of L letters has max(1, L + 3 - n) n-grams. Between words stand two marks, and a term has marks at its ends alone, so it never lies across them.
+    """
+    n = T.ngram_size(n)
+    held = docs.select(*keep, T.normalize(text).alias("_norm"))
+    marked = F.when(F.col("_norm") == "", "").otherwise(F.concat(F.lit("_"), F.replace(F.col("_norm"), F.lit(" "), F.lit("__")), F.lit("_")))
+    words = F.when(F.col("_norm") == "", 0).otherwise(F.octet_length("_norm") - F.octet_length(F.replace(F.col("_norm"), F.lit(" "), F.lit(""))) + 1)
+    longer = F.octet_length(F.regexp_replace("_norm", f"(?:^| )[^ ]{{1,{n - 2}}}", ""))
+    held = held.select(*keep, (words + longer).alias("dl"), marked.alias("_marked"))
+
+    def count(term: str) -> Column:
+        inner = term.strip("_")
+        if any(inner.startswith(inner[k:]) for k in range(1, len(inner))):  # it can overlap itself
+            return F.regexp_count("_marked", F.lit(f"(?={term})")).cast("long")
+        return ((F.octet_length("_marked") - F.octet_length(F.replace(F.col("_marked"), F.lit(term), F.lit("")))) / len(term)).cast("long")
+
+    return held.select(*keep, "dl", F.array(*map(count, terms)).cast("array<long>").alias("tfs"))
+
+
 def statistics(rows: DataFrame, terms: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., n_docs, avgdl, dfs): one row per collection."""
     dfs = [F.sum((F.get("tfs", F.lit(i)) > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
@@ -94,9 +115,12 @@ def scored(docs: DataFrame, tokens: Column, query: list[str] | Mapping[str, floa
     The rows that statistics and scores share are cached until the result is no longer held.
     """
     counts = Counter(query)  # of a list's tokens, or the weights that a mapping gives them
+    return _ranked(matched(docs, tokens, list(counts), keep), counts, f, keep, by)
+
+
+def _ranked(rows: DataFrame, counts: Mapping[str, float], f: Formula, keep: list[str], by: list[str] | None = None) -> DataFrame:
     terms = list(counts)
-    # a row per document with a few numbers, which statistics and scores both read: tokens are made once
-    rows = matched(docs, tokens, terms, keep).persist()
+    rows = rows.persist()  # a row per document with a few numbers, which statistics and scores both read: texts are read once
     stats = statistics(rows, terms, by)
     joined = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))  # one row
     return releasing(joined.select(*keep, "dl", F.round(score([counts[t] for t in terms], f), DECIMALS).alias("score")), rows)
@@ -137,7 +161,7 @@ def keyword_topk(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id
 
 def ngram_scores(docs: DataFrame, query: str, n: int = T.NGRAM_DEFAULT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc, keep..., dl, score) of every document by character n-grams, zero scores included."""
-    terms = _py_ngrams(query, n)
+    counts = Counter(_py_ngrams(query, n))
     rows = docs.select(F.col(id_col).alias("doc"), text_col, *(keep or []))
-    tokens = T.char_ngrams(F.coalesce(F.col(text_col), F.lit("")), n)
-    return scored(rows, tokens, terms, NGRAM, ["doc", *(keep or [])])
+    rows = matched_ngrams(rows, F.coalesce(F.col(text_col), F.lit("")), n, list(counts), ["doc", *(keep or [])])
+    return _ranked(rows, counts, NGRAM, ["doc", *(keep or [])])

@@ -149,3 +149,14 @@ def test_plans_are_narrow(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan and "SortMergeJoin" not in plan
     base = bm25.matched(docs, T.keyword_tokens(F.col("text")), ["the"], ["doc_id"])._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in base
+
+
+def test_ngrams_are_counted_in_the_text(spark):
+    """Lengths and occurrences without making n-grams equal those of the n-grams."""
+    texts = ["", None, "a", "Of the of of", "aaaaaaa aaaa aa", "ababababa bab", "the-the the_the thethe!", "été der  Straße 12345", "x" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    for n in (3, 4, 5, 6):
+        terms = sorted(set(bm25._py_ngrams("of the aaaaaaa ababa thethe a aa 12345 estion", n)))
+        want = bm25.matched(docs, T.char_ngrams(F.col("text"), n), terms, ["doc_id"])
+        got = bm25.matched_ngrams(docs, F.col("text"), n, terms, ["doc_id"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), n
