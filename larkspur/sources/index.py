@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def save(folder: str, **tables: DataFrame) -> str:
-    """Writes a snapshot and makes it the live one; returns its folder."""
+def save(folder: str, **tables: DataFrame | Callable[[str], DataFrame]) -> str:
+    """Writes a snapshot and makes it the live one; returns its folder. The first is a table; others may be made from the snapshot's folder, which holds those before."""
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     for name, table in tables.items():
-        table.write.parquet(f"{folder}/{version}/{name}")
+        (table(f"{folder}/{version}") if callable(table) else table).write.parquet(f"{folder}/{version}/{name}")
     fs, path = _fs(spark, f"{folder}/LIVE")
     before = spark.read.text(f"{folder}/LIVE").first()[0] if fs.exists(path) else ""
     out = fs.create(path, True)
@@ -49,18 +50,15 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
 
 
 def by_term(postings: DataFrame) -> DataFrame:
-    """Range-sorted, so that a query's terms are a pushed-down filter on few row groups."""
-    return postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
-
-
-def totals(lengths: DataFrame) -> DataFrame:
-    """(n_docs, total): the one row of statistics that a query needs."""
-    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).coalesce(1)
+    """Each file sorted where its documents are, so that a query's terms are a pushed-down filter on few pages of it; nothing is shuffled or sampled."""
+    return postings.sortWithinPartitions("term", "doc")
 
 
 def build_keyword(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> str:
     tokens = docs.select(F.col(id_col).alias("doc"), T.keyword_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    return save(folder, postings=by_term(bm25.postings(tokens, F.col("tokens"), "doc")), totals=totals(tokens.select(F.size("tokens").alias("dl"))))
+    lengths = lambda at: docs.sparkSession.read.parquet(f"{at}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    total = lambda at: docs.agg(F.count("*").alias("n_docs")).crossJoin(lengths(at)).coalesce(1)  # noqa: E731  one row each; tokens are made once
+    return save(folder, postings=by_term(bm25.postings(tokens, F.col("tokens"), "doc")), totals=total)
 
 
 def search_keyword(spark: SparkSession, folder: str, query: str, k: int = 10) -> DataFrame:

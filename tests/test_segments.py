@@ -109,3 +109,14 @@ def test_blocks_are_inverted_across_batches():
     assert got == {("a", 0): (1, [(7, 3, [1])]), ("b", 0): (1, [(7, 3, [0, 2])]), ("a", 1): (3, [(1, 1, [0]), (2, 2, [1]), (3, 2, [0, 1])]), ("c", 1): (1, [(2, 2, [0])]), ("é", 2): (1, [(9, 1, [0])])}
     tops = {(r["term"], r["block"]): r["top"] for b in out for r in b.to_pylist()}
     assert tops["b", 0] == pytest.approx(2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2)))
+
+
+def test_keyword_postings_are_sorted_in_place(spark, tmp_path):
+    """A build neither samples nor shuffles postings; each file is in order of terms."""
+    from larkspur.sources import index
+
+    docs = frame(spark, {1: "pear of the apple", 2: "", 3: None, 4: "apple apple fig"}).repartition(2, "doc_id")
+    assert "RepartitionByExpression" not in index.by_term(spark.range(3).selectExpr("id doc", "'a' term"))._jdf.queryExecution().optimizedPlan().toString()
+    home = index.build_keyword(docs, f"file://{tmp_path}/kw")
+    assert [tuple(r) for r in spark.read.parquet(f"{home}/totals").select("n_docs", "total").collect()] == [(4, 7)]
+    assert rows(index.search_keyword(spark, f"file://{tmp_path}/kw", "apple fig", 5)) == rows(bm25.keyword_topk(docs, "apple fig", 5))
