@@ -6,6 +6,8 @@ same way.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,24 +172,46 @@ def page_clean(s: Column) -> Column:
 
 def py_page_clean(s: str) -> str:
     """``page_clean`` where a page is at hand in Python; tested to be equal."""
-    import regex
+    control, control_but, symbols, _, spaces = _patterns()
 
     def gibberish(line: str) -> bool:
-        bare = regex.sub(_py(CONTROL), "", line)
-        n = len(bare)
-        few = n >= 10 and (len(regex.findall(ALNUM, bare)) / n < 0.20 or len(regex.findall(_py(SYMBOL), bare)) / n > 0.70)
-        return n == 0 or few or bool(regex.search(_py(SYMBOL) + "{12}", bare))
+        bare = control.sub("", line)
+        n, marks = len(bare), _symbols(bare)
+        few = n >= 10 and (marks / n > 0.70 or _alnums(bare) / n < 0.20)
+        return n == 0 or few or (marks >= 12 and bool(symbols.search(bare)))
 
-    lines = [x.strip(SPACES) for x in regex.sub(_py(CONTROL_BUT_TAB_AND_LINE), "", s).split("\n")]
-    return "\n".join(regex.sub(f"[{SPACES}]+", " ", x).strip(" ") for x in lines if x and not gibberish(x))
+    lines = [x.strip(SPACES) for x in control_but.sub("", s).split("\n")]
+    return "\n".join(spaces.sub(" ", x).strip(" ") for x in lines if x and not gibberish(x))
 
 
 def py_page_plausible(s: str) -> bool:
     """``page_plausible`` in Python."""
+    n = len(bare := _patterns()[0].sub("", s))
+    return bool(s.strip(SPACES)) and len(s) >= 5 and n > 0 and not (n >= 40 and _alnums(bare) / n < 0.15)
+
+
+@functools.cache
+def _patterns() -> tuple:
     import regex
 
-    n = len(bare := regex.sub(_py(CONTROL), "", s))
-    return bool(s.strip(SPACES)) and len(s) >= 5 and n > 0 and not (n >= 40 and len(regex.findall(ALNUM, bare)) / n < 0.15)
+    return tuple(regex.compile(p) for p in (_py(CONTROL), _py(CONTROL_BUT_TAB_AND_LINE), _py(SYMBOL) + "{12}", f"{ALNUM}+", f"[{SPACES}]+"))
+
+
+_ALNUM_BYTES = (UPPER + LOWER + "0123456789").encode()
+_SYMBOL_BYTES = bytes(c for c in range(33, 127) if c not in _ALNUM_BYTES)
+
+
+def _symbols(s: str) -> int:
+    raw = s.encode("utf-8", "surrogatepass")  # symbols are ASCII, whose bytes stand for nothing else
+    return len(raw) - len(raw.translate(None, _SYMBOL_BYTES))
+
+
+def _alnums(s: str) -> int:
+    """Letters and digits, counted without a list of them."""
+    if s.isascii():
+        raw = s.encode()
+        return len(raw) - len(raw.translate(None, _ALNUM_BYTES))
+    return sum(m.end() - m.start() for m in _patterns()[3].finditer(s))
 
 
 def _py(pattern: str) -> str:

@@ -94,3 +94,15 @@ def test_cosine(spark):
     cases = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0, 2.0, 2.0], [1.0], 1 / 3), ([float("nan")], [1.0], 0.0)]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(X.cosine(F.col("a"), F.col("b"))).collect()] == pytest.approx([c for _, _, c in cases])
+
+
+def test_page_rules_hold_no_character_by_itself():
+    import tracemalloc
+
+    page = "words," * 200_000
+    assert T.py_page_clean("warm up 1") == "warm up 1" and T.py_page_plausible("warm up 1")
+    tracemalloc.start()
+    assert T.py_page_plausible(page) and T.py_page_clean(page) == page.strip()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(page)
