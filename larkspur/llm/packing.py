@@ -35,6 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from .common import arrow, drop, durable, read, steps, texts
 CAPACITY = 4096
 END = 1
 #: Characters that words are gathered from at a time: the more, the fewer are met again.
-STEP = 2_000_000
+STEP = 4_000_000
 #: Words that one memo generation of a worker holds.
 MEMO = 500_000
 #: Words with other than Latin letters and ASCII marks, one to a line: those that the pattern below might split otherwise than the tokenizer, or that NFC changes.
@@ -61,16 +62,20 @@ class WordTokens:
     other, and a word's are those of its pre-tokens. Both are kept: words in a memo of two
     generations, so that each is worked out about once, and pre-tokens in another, so that case
     and marks around a word cost no second encoding. Words with other than Latin letters and ASCII
-    marks, or with a special token in them, go to the tokenizer as they are.
+    marks, or with a special token in them, go to the tokenizer as they are; other pre-tokens, found
+    already, go to its model alone. Words are split, numbered and put together again as Arrow columns, so that Python
+    meets each word once in a step.
     """
 
     #: Stands between words while they are joined; no id has such bytes, at any offset.
     BETWEEN = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)  # a vocabulary installed on every executor
+        self.model = Tokenizer(self.tokenizer.model)  # the same merges, for lower-cased pre-tokens between spaces
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = re.compile(f"^.*(?:{special or '(?!)'}).*$", re.MULTILINE)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -83,7 +88,7 @@ class WordTokens:
     def pre_tokens(self, parts: list[str]) -> None:
         """Learns pre-tokens, many encoded as one text: each has one id that ends it, its last."""
         lines = [" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        for i, e in enumerate(self.model.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             data = ids.tobytes()
@@ -106,17 +111,35 @@ class WordTokens:
         self.pre_tokens([*(set(parts) - self.parts.keys())])
         self.new.update(zip(missing, b"".join(map(self.parts.__getitem__, parts)).split(self.BETWEEN), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [x.encode().split() for x in texts]
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these words, which differ."""
         if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
-        missing = set().union(*words) - self.new.keys()
-        for w in missing & self.old.keys():
-            self.new[w] = self.old[w]
-        self.learn([*(missing - self.new.keys())])
-        get = self.new.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        found = [*map(self.new.get, words)]
+        places = [k for k, ids in enumerate(found) if ids is None]
+        missing = []
+        for k in places:
+            if (ids := self.old.get(words[k])) is None:
+                missing.append(words[k])
+            else:
+                self.new[words[k]] = ids
+        self.learn(missing)
+        for k in places:
+            found[k] = self.new[words[k]]
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))  # what begins or ends with white space has an empty word there
+        numbered = words.flatten().dictionary_encode()
+        known = self.known(numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(known, pa.large_binary()).take(numbered.indices)
+        _, at, data = ids.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        begins = np.frombuffer(at, np.int64)[ids.offset :][words.offsets.to_numpy()].tolist()
+        held = memoryview(data)
+        return [bytes(held[x:y]) for x, y in zip(begins, begins[1:], strict=False)]
 
 
 _TOKENIZERS: dict[str, WordTokens] = {}

@@ -1,5 +1,6 @@
 """Operators that judge each document alone, against plain rewritings."""
 
+import random
 import re
 import struct
 import zlib
@@ -139,6 +140,35 @@ def test_word_tokens_equal_library(reference):
         assert list(np.frombuffer(got, "<u4")) == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_word_tokens_split_as_library(reference, monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 50)
+    own, draw = packing.WordTokens(P.path("word_bpe_49k.json")), random.Random(5)
+    marks = [*"abZ09 '.,!#-_éÉßſŉİıÀ×÷øΣ漢", *" \t\n\r\x0b\x0c\x1c\x85\xa0\u2028\x00", "'s", "'LL", "<|endoftext|>"]
+    rounds = [[], [""], [" ", ""], [" a ", "a"], *(["".join(draw.choices(marks, k=draw.randint(0, 60))) for _ in range(20)] for _ in range(40))]
+    for texts in rounds:
+        assert [np.frombuffer(got, "<u4").tolist() for got in own.encode(texts)] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_tokens_meet_a_word_once_in_a_step(reference):
+    asked = []
+
+    class Memo(dict):
+        def get(self, word):
+            asked.append(word)
+            return super().get(word)
+
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    own = packing.WordTokens(P.path("word_bpe_49k.json"))
+    own.tokenizer, own.new = None, Memo()  # plain words need the merges alone
+    texts = ["Plain words, that repeat; plain words isn't 12é\n"] * 500
+    want = reference.encode(texts[0], add_special_tokens=False).ids
+    assert all(np.frombuffer(got, "<u4").tolist() == want for got in own.encode(texts))
+    assert 0 < len(asked) <= 2 * len({*texts[0].encode().split(), b""})
+
+
 def check_places(rows, capacity=4096):
     """Sequences are filled from 0 without gaps or overlaps; returns how many there are."""
     used = {}
