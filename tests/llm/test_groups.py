@@ -112,6 +112,15 @@ def test_repeats_edges(spark):
     assert by_id(substring_dedup.dedup_words(long))[12][1] == 20_001
 
 
+def test_passages_of_over_50_words_by_their_bytes(spark):
+    """Two documents share 399 bytes, two share 400, over 50 words each: bytes go from 400 on and at both places, words at the second place."""
+    shared = [" ".join(f"{c}{k:05}" for k in range(55)).ljust(n - 2, c) for c, n in (("p", 399), ("q", 400))]
+    docs = [(i, f"{i}|{shared[i > 2]}|{i}") for i in (1, 2, 3, 4)]
+    assert rows(suffix_array.dedup_bytes(frame(spark, docs))) == sorted(bytes_brute(docs), key=repr)
+    assert {i: x[1] for i, x in by_id(suffix_array.dedup_bytes(frame(spark, docs))).items()} == {1: 0, 2: 0, 3: 400, 4: 400}
+    assert {i: x[1] for i, x in by_id(substring_dedup.dedup_words(frame(spark, docs))).items()} == {1: 0, 2: 53, 3: 0, 4: 53}
+
+
 def some_suffixes(seed, symbols=3, depth=5):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(depth, 3 * depth, 40)
